@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity, url_filters
+from . import bpe, html_extract, toxicity, url_filters, warc
 from .common import crc_fold
 
 
@@ -25,6 +25,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    parts = warc.build_index(warc.archive(pages))
+    found = warc.lookup(parts, pages.select(warc.url_key(F.col("url")).alias("key"), "page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+typed AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last FROM digests)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM typed
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -57,10 +76,16 @@ SELECT page_id, host, path, rule, verdict FROM ranked WHERE k = 1
 """
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op5_url_filters": op5_url_filters,
+    "op6_html_text": op6_html_text,
 }
 
-ORACLE: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL}
