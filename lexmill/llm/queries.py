@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, toxicity, url_filters, warc
+from . import bpe, cap_filters, html_extract, toxicity, url_filters, warc
 from .common import crc_fold
 
 
@@ -80,12 +80,17 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_html_text": op6_html_text,
+    "op9_cap_filters": op9_cap_filters,
 }
 
 ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL}
