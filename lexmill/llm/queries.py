@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, html_extract, toxicity, url_filters, warc
+from . import bpe, cap_filters, html_extract, quality, toxicity, url_filters, warc
 from .common import crc_fold
 
 
@@ -84,6 +84,13 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_html_text": op6_html_text,
     "op9_cap_filters": op9_cap_filters,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL}
