@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, html_extract, quality, toxicity, url_filters, warc
+from . import bpe, cap_filters, html_extract, order_minhash, quality, toxicity, url_filters, warc
 from .common import crc_fold
 
 
@@ -80,6 +80,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_html_text": op6_html_text,
+    "op7_order_minhash": op7_order_minhash,
     "op9_cap_filters": op9_cap_filters,
     "op10_quality": op10_quality,
 }
