@@ -63,11 +63,11 @@ def best_window(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, i
     start = at.copy()
     for i in range(1, len(item) + 1):
         # candidates: diagonal, up; then insertions by running minimum over (value - position, later start first)
-        diagonal = np.append(np.int64(1 << 40), row[:-1] + (text != item[i - 1]))
-        up = row + 1
-        take = diagonal <= up
-        value = np.where(take, diagonal, up)
-        origin = np.where(take, np.append(0, start[:-1]), start)
+        value, origin = row + 1, start.copy()
+        diagonal = row[:-1] + (text != item[i - 1])
+        take = diagonal <= value[1:]
+        value[1:][take] = diagonal[take]
+        origin[1:][take] = start[:-1][take]
         key = (value - at) * (m + 2) + (m - origin)
         best = np.minimum.accumulate(key)
         value = np.floor_divide(best, m + 2)

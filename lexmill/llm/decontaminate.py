@@ -73,6 +73,7 @@ class Items:
     item: np.ndarray
     offset: np.ndarray
     seen: np.ndarray
+    short: list[np.ndarray]
 
     @classmethod
     def of(cls, q: int, rows: list[tuple]) -> Items:
@@ -88,7 +89,7 @@ class Items:
         new = np.append(True, hashes[1:] != hashes[:-1])
         seen = np.zeros(1 << 22, dtype=bool)
         seen[hashes >> np.uint64(42)] = True
-        return cls(q, [i for i, _ in rows], texts, budget, np.maximum(1, size + 1 - q - q * budget), hashes[new], np.append(np.flatnonzero(new), len(hashes)), item, offset, seen)
+        return cls(q, [i for i, _ in rows], texts, budget, np.maximum(1, size + 1 - q - q * budget), hashes[new], np.append(np.flatnonzero(new), len(hashes)), item, offset, seen, [gram_hashes(points(t), Q_SHORT) for t in texts])
 
     def matches(self, x: np.ndarray, text: str, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item, edits, first, end) of every verified region; ``text`` holds the documents at ``starts``."""
@@ -119,6 +120,8 @@ class Items:
             if b <= a:
                 continue
             exact = text.find(own, a, b)
+            if exact < 0 and m >= LONG and np.isin(self.short[i], gram_hashes(x[a:b], Q_SHORT)).sum() < m + 1 - Q_SHORT - Q_SHORT * e:
+                continue  # the same bound for shorter q-grams within the region
             if exact >= 0:
                 out.append((doc, i, 0, exact - begin, exact - begin + m))
             elif e and (window := best_window(points(own).astype(np.int64), x[a:b].astype(np.int64), e)):
