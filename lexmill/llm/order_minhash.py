@@ -220,3 +220,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nameless = rows.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
     out = told.union(nameless)
     return out.select(F.col("id").alias(id_col), "copy_of", "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class: that of the least id. Of rows that share its id the one of
+    the least text stays. Rows without id stay."""
+    kept = near_duplicates(docs, id_col, text_col, similarity).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
+    rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    one = rows.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("__row"))
+    return one.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))

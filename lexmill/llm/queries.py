@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, decontaminate, html_extract, order_minhash, quality, toxicity, url_filters, warc
+from . import bpe, cap_filters, decontaminate, html_extract, order_minhash, quality, secret_scan, toxicity, url_filters, warc
 from .common import crc_fold
 
 
@@ -88,6 +88,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_html_text": op6_html_text,
     "op7_order_minhash": op7_order_minhash,
+    "op8_secret_scan": op8_secret_scan,
     "op9_cap_filters": op9_cap_filters,
     "op10_quality": op10_quality,
 }

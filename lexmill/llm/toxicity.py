@@ -269,3 +269,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, score double, passages array<struct<first: bigint, end: bigint, score: double, surprisal: double>>")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns. Needs no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordScores(model.table, model.background)
+        for slab in by_slabs(batches, text_col):
+            scores = [model.score(model.evidence(*model.scan(text or "", words)[:2])) for text in slab.column(text_col).to_pylist()]
+            yield slab.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
