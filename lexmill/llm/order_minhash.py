@@ -1,20 +1,21 @@
 """Near-duplicate documents by Order MinHash.
 
 A document's k-mers are its runs of five words, each labelled with how often it has occurred before.
-A sketch takes the two k-mers of least hash and keeps them in text order, so that both content and
+A sketch takes the three k-mers of least hash and keeps them in text order, so that both content and
 order decide whether two sketches agree. Documents that share a sketch are candidates, and a banded
 word alignment verifies them: linked if edits <= (1 - 0.8) x words of the longer one.
 
 Documents with the same words are collapsed first. The members of a sketch bucket are not compared
 with each other but with hubs: first with one, then, where members of different classes remain, with
 ever more, until none is left. A member linked to a hub leaves its bucket. No link is lost by that: if
-x is linked to hub h and y is beyond half of the longer one's words from h, then x and y can't be
-linked (triangle inequality at similarity 0.8), and where y is nearer, x and y are compared themselves.
+x is linked to hub h and y is not, the triangle inequality tells for most whether x and y can be linked,
+and where they can, they are compared themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,9 +31,7 @@ from .components import components
 from .toxicity import pieces
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, least similarity of a link.
-K, ELL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
-#: Beyond this share of the longer one's words from a hub, nothing linked to the hub can be linked.
-FAR = 0.5
+K, ELL, SKETCHES, SIMILARITY = 5, 3, 32, 0.8
 #: Hubs of a bucket in the rounds: 1, then 8 times as many each round.
 MORE_HUBS = 8
 #: Hash values of k-mers that are held at a time.
@@ -133,22 +132,38 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, words array<int>")
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b`` and ``near``: 2 linked, 1 within the far limit, 0 beyond."""
+def cannot_link(x: np.ndarray, y: np.ndarray, budget: int) -> bool:
+    """Whether too few pairs of adjacent words are shared: an edit breaks two of the longer text's at most."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(y) < 2:
+        return False
+    pairs = [(t[:-1].astype(np.int64) << 32) ^ t[1:] for t in (x, y)]
+    return int(np.isin(pairs[0], pairs[1]).sum()) < len(x) - 1 - 2 * budget
+
+
+def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """``a``, ``b``, ``edits`` (null beyond the pair's ``cap``) and ``near``: whether they are at most ``share`` of the longer text's words.
+
+    A null cap stands for that share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, near = batch.column("x"), batch.column("y"), []
+            left, right, caps, found, near = batch.column("x"), batch.column("y"), batch.column("cap").to_pylist(), [], []
             for row in range(batch.num_rows):
                 x, y = np.asarray(left[row].values), np.asarray(right[row].values)
-                longest = max(len(x), len(y))
-                edits = banded_distance(x, y, int(FAR * longest))
-                near.append(0 if edits is None else 2 if edits <= (1 - similarity) * longest + 1e-9 else 1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.int32())], ["a", "b", "near"])
+                budget = int(share * max(len(x), len(y)) + 1e-9)
+                cap = budget if caps[row] is None else min(caps[row], max(len(x), len(y)))
+                edits = None if cannot_link(x, y, cap) else banded_distance(x, y, cap)
+                found.append(edits)
+                near.append(edits is not None and edits <= budget)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int32()), pa.array(near, pa.bool_())], ["a", "b", "edits", "near"])
 
     texts = words.groupBy("id").agg(F.first("words").alias("words"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near int"), "aligned")
+    cap = F.col("cap") if "cap" in pairs.columns else F.lit(None)
+    return written(both.select("a", "b", cap.cast("int").alias("cap"), "x", "y").mapInArrow(run, "a long, b long, edits int, near boolean"), "aligned")
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
@@ -164,8 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one k-mer, the whole text. Rows that share an id count as one document. Rows without id get null classes
     and are kept. Ids must be whole numbers.
     """
-    if similarity < SIMILARITY:
-        raise ValueError(f"the far limit holds for similarities of {SIMILARITY} or more")
+    if not 0 < similarity < 1:
+        raise ValueError("the similarity must lie between 0 and 1")
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), filled(F.col("text")).alias("text"))
     sketched = written(_sketched(rows.where(F.col("id").isNotNull())), "sketches")
     distinct = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
@@ -177,10 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(members.select("id").distinct(), "id", "left_semi")
     words = written(_words(texts), "words")
 
+    budget = 1 - similarity
     # each member and the first hub it has
     first = members.where(F.col("hub.id") != F.col("id")).groupBy("id").agg(F.min("hub").alias("hub")).select("id", F.col("hub.id").alias("to"))
-    known = _verified(_pairs(first, "id", "to"), words, similarity)
-    label = written(components(known.where("near = 2").select("a", "b")), "labels")
+    known = _verified(_pairs(first, "id", "to"), words, budget)
+    label = written(components(known.where("near").select("a", "b")), "labels")
 
     def mixed(state: DataFrame) -> DataFrame:
         """Only the buckets that still hold members of different classes."""
@@ -188,27 +204,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         return written(marked.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "label"), "open")
 
-    state, hubs = mixed(members.select("bucket", "id", "n")), 1
+    # linked texts have lengths within a factor of the similarity: they share a band of lengths or are in adjacent ones
+    band = F.floor(F.log("n") / math.log(1 / similarity)).cast("int")
+    banded = mixed(members.select("bucket", "id", "n")).select(F.explode(F.array(band, band + 1)).alias("band"), "bucket", "id", "n")
+    state, hubs = mixed(banded.select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n")), 1
     while not state.isEmpty():
         slot = F.pmod(F.xxhash64("id", F.lit(hubs)), F.lit(hubs))
         chosen = state.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id").alias("rank"), F.col("id"), F.col("n"))).alias("hub"))
         chosen = chosen.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
         met = state.join(chosen, "bucket").where(F.col("id") != F.col("hub"))
         met = met.withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub"))
-        near_enough = F.abs(F.col("n") - F.col("hub_n")) <= FAR * F.greatest("n", "hub_n")
-        fresh = met.where(near_enough).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = written(known.union(_verified(fresh, words, similarity)), "aligned")
-        judged = written(met.join(known, ["a", "b"], "left").select("bucket", "id", "label", "hub", F.coalesce("near", F.lit(0)).alias("near")), "judged")
-        # members near a hub but not linked to it, with those that are
-        across = (
-            judged.where("near = 1").select("bucket", "hub", F.col("id").alias("y"), F.col("label").alias("y_label"))
-            .join(judged.where("near = 2").select("bucket", "hub", F.col("id").alias("x"), F.col("label").alias("x_label")), ["bucket", "hub"])
-            .where("x_label <> y_label")
-        )
+        longest = F.greatest("n", "hub_n")
+        apart = F.abs(F.col("n") - F.col("hub_n"))
+        fresh = met.where(apart <= budget * longest + 1e-9).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        known = written(known.union(_verified(fresh, words, budget)), "aligned")
+        judged = written(met.join(known, ["a", "b"], "left").select("bucket", "id", "n", "label", "hub", "hub_n", "a", "b", "edits", F.coalesce("near", F.lit(False)).alias("near")), "judged")
+        # A member y that is not linked to a hub may still be linked to an x that is: then, by the triangle
+        # inequality, y is within edits(hub, x) + edits(x, y) of the hub. Such members are compared with such x.
+        linked = judged.where("near").select("bucket", "hub", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("edits").alias("x_edits"))
+        reach = linked.groupBy("bucket", "hub").agg(F.min("x_label").alias("low"), F.max("x_label").alias("high"), F.max("x_edits").alias("radius"))
+        others = judged.where(~F.col("near")).select("bucket", "hub", "hub_n", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), "a", "b")
+        others = others.join(reach, ["bucket", "hub"]).where("low <> high or low <> y_label")
+        cap = F.floor(F.col("radius") + budget * F.greatest(F.col("hub_n") + F.col("radius"), F.col("y_n")))
+        others = others.withColumn("cap", cap).where(F.abs(F.col("y_n") - F.col("hub_n")) <= F.col("cap"))
+        placed = _verified(others.groupBy("a", "b").agg(F.max("cap").alias("cap")), words, budget).where("edits is not null").select("a", "b", F.col("edits").alias("y_edits"))
+        across = others.select("bucket", "hub", "y", "y_n", "y_label", "a", "b").join(placed, ["a", "b"]).drop("a", "b").join(linked, ["bucket", "hub"])
+        allowed = budget * F.greatest("x_n", "y_n") + 1e-9
+        across = across.where((F.col("x_label") != F.col("y_label")) & (F.col("y_edits") - F.col("x_edits") <= allowed) & (F.abs(F.col("x_n") - F.col("y_n")) <= allowed))
         across = _pairs(across, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = written(known.union(_verified(across, words, similarity)), "aligned")
-        label = written(components(known.where("near = 2").select("a", "b")), "labels")
-        gone = judged.where("near = 2").select("bucket", "id").union(chosen.select("bucket", F.col("hub").alias("id"))).distinct()
+        known = written(known.union(_verified(across, words, budget)), "aligned")
+        label = written(components(known.where("near").select("a", "b")), "labels")
+        gone = linked.select("bucket", F.col("x").alias("id")).union(chosen.select("bucket", F.col("hub").alias("id"))).distinct()
         state = mixed(state.select("bucket", "id", "n").join(gone, ["bucket", "id"], "left_anti"))
         hubs *= MORE_HUBS
 
