@@ -89,7 +89,7 @@ def lookup(entries: DataFrame, term: str, limit: int = 10) -> DataFrame:
 def search(entries: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Exact entries, then those that hold the words in order, then those that hold all of them; fewer other words first."""
     words = python_words(query)
-    names = F.concat(F.array(F.struct(F.lit(0).alias("k"), F.col("normalized_form").alias("x")), F.struct(F.lit(1), F.col("canonical_surface_form"))), F.transform("variants", lambda v: F.struct(F.lit(2).alias("k"), v.alias("x"))))
+    names = F.concat(F.array(F.struct(F.lit(0).alias("k"), F.col("normalized_form").alias("x")), F.struct(F.lit(1).alias("k"), F.col("canonical_surface_form").alias("x"))), F.transform("variants", lambda v: F.struct(F.lit(2).alias("k"), v.alias("x"))))
 
     def rank(name: Column) -> Column:
         spaced = T.spaced(T.normalize(name["x"]))
@@ -98,7 +98,7 @@ def search(entries: DataFrame, query: str, limit: int = 10) -> DataFrame:
         for w in words:
             all_in = all_in & F.contains(spaced, F.lit(f" {w} "))
         joined = " ".join(words)
-        return F.when(F.trim(spaced) == joined, F.struct(name["k"].alias("rank"), F.lit(0).alias("extra"))).when(F.contains(spaced, F.lit(f" {joined} ")), F.struct(F.lit(3), extra)).when(all_in, F.struct(F.lit(4), extra))
+        return F.when(F.trim(spaced) == joined, F.struct(name["k"].alias("rank"), F.lit(0).alias("extra"))).when(F.contains(spaced, F.lit(f" {joined} ")), F.struct(F.lit(3).alias("rank"), extra.alias("extra"))).when(all_in, F.struct(F.lit(4).alias("rank"), extra.alias("extra")))
 
     best = F.array_min(F.filter(F.transform(names, rank), lambda x: x.isNotNull()))
     return entries.withColumn("best", best).where("best is not null").orderBy("best", "normalized_form", "canonical_surface_form").limit(limit)

@@ -29,7 +29,7 @@ def files(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
-    return files(spark, root, *patterns).select("path", "relative_path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files(spark, root, *patterns).select("path", "relative_path", F.decode("content", "UTF-8").alias("text"))
 
 
 def html_paragraphs(pages: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
