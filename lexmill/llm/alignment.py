@@ -5,26 +5,77 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Cells of a band that are compared at once; wider bands are filled row by row.
+CELLS = 3_000_000
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
     """Unit-cost edit distance of two integer sequences, or none if it exceeds ``budget``.
 
-    Only diagonals within the budget are filled, a row at a time; insertions along a row are a running
-    minimum. It stops at the first row that is all beyond the budget.
+    Only diagonals within a band are looked at. The band starts narrow and doubles until the distance
+    fits into it or the budget is reached, so that near copies cost little.
     """
     if len(a) > len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if m - n > budget:
+    if len(b) - len(a) > budget:
         return None
-    same = min(n, m)
-    head = int(np.argmin(np.append(a[:same] == b[:same], False)))  # equal ends cost nothing
+    same = len(a)
+    head = int(np.argmin(np.append(a == b[:same], False)))  # equal ends cost nothing
     a, b = a[head:], b[head:]
-    same = min(len(a), len(b))
-    tail = int(np.argmin(np.append(a[len(a) - same :][::-1] == b[len(b) - same :][::-1], False)))
+    same = len(a)
+    tail = int(np.argmin(np.append(a[::-1] == b[len(b) - same :][::-1], False)))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     n, m = len(a), len(b)
-    if not n or not m or not budget:
-        return max(n, m) if max(n, m) <= budget else None
+    if not n or not budget:
+        return m if m <= budget else None
+    budget = min(budget, m)
+    band = min(budget, max(16, 2 * (m - n)))
+    while (2 * band + 1) * (n + 1) <= CELLS:
+        found = _by_diagonals(a, b, band)
+        if found is not None or band == budget:
+            return found
+        band = min(budget, 3 * band)
+    return _by_rows(a, b, budget)
+
+
+def _by_diagonals(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
+    """How far each diagonal of the band gets with 0, 1, 2 ... edits, all diagonals of the band at a time.
+
+    Diagonal k holds the places (i, i + k - band). ``runs`` tells for each place where its run of equal elements ends.
+    """
+    n, m = len(a), len(b)
+    width = 2 * band + 1
+    padded = np.full(n + m + 2 * width, np.iinfo(np.int64).min)
+    padded[band : band + m] = b
+    windows = np.lib.stride_tricks.sliding_window_view(padded, n)[:width]  # row k: b shifted by k - band
+    at = np.arange(n + 1, dtype=np.int32)
+    stop = np.full((width, n + 1), n, dtype=np.int32)
+    np.copyto(stop[:, :n], at[:n], where=windows != a)
+    runs = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
+    diagonal = np.arange(width)
+    offset = diagonal - band
+    most = np.minimum(n, m - offset)  # of i on each diagonal
+    none = np.int64(-(1 << 30))
+    reach = np.full(width, none)
+    reach[band] = runs[band, 0]
+    goal = m - n + band
+    for edits in range(band + 1):
+        if reach[goal] >= n:
+            return edits
+        step = reach + 1  # a replaced element
+        step[1:] = np.maximum(step[1:], reach[:-1])  # one of b more
+        step[:-1] = np.maximum(step[:-1], reach[1:] + 1)  # one of a more
+        step = np.minimum(step, most)
+        ok = (step >= 0) & (step + offset >= 0)
+        step[~ok] = none
+        reach = step
+        reach[ok] = np.minimum(runs[diagonal[ok], step[ok]], most[ok])
+    return None
+
+
+def _by_rows(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
+    """Row by row: insertions along a row are a running minimum; stops at a row that is all beyond the budget."""
+    n, m = len(a), len(b)
     budget = min(budget, m)
     # row[k]: distance of a[:i] and b[:i + k - budget]
     width = 2 * budget + 1

@@ -1,7 +1,7 @@
 """Near-duplicate documents by Order MinHash.
 
 A document's k-mers are its runs of five words, each labelled with how often it has occurred before.
-A sketch takes the two k-mers of least hash and keeps them in text order, so that both content and
+A sketch takes the three k-mers of least hash and keeps them in text order, so that both content and
 order decide whether two sketches agree. Documents that share a sketch are candidates, and a banded
 word alignment verifies them: linked if edits <= (1 - 0.8) x words of the longer one.
 
@@ -31,7 +31,7 @@ from .components import components
 from .toxicity import pieces
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, least similarity of a link.
-K, ELL, SKETCHES, SIMILARITY = 5, 2, 24, 0.8
+K, ELL, SKETCHES, SIMILARITY = 5, 3, 36, 0.8
 #: Hubs of a bucket in the rounds: 1, then 8 times as many each round.
 MORE_HUBS = 8
 #: Hash values of k-mers that are held at a time.
@@ -41,6 +41,7 @@ WORDS_HELD = 400_000
 
 _WORD = re.compile(r"\w+")
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch", seed=j) for j in range(SKETCHES)], dtype=np.uint64)
+_SEEDS_32 = (_SEEDS >> np.uint64(32)).astype(np.uint32)
 
 
 class WordHashes(dict):
@@ -58,19 +59,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str, known: WordHashes) -> tuple[np.ndarray, str]:
-    """The hash of each word of the lower-cased text, and a digest of the words in order.
+    """The hash of each word of the lower-cased text, and a digest of these hashes in order.
 
     A text without words has the digest of the text itself.
     """
-    digest, parts = hashlib.sha256(), []
+    parts = []
     for piece in pieces(text.lower()):
         words = _WORD.findall(piece)
         parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
-        digest.update("".join(w + " " for w in words).encode("utf-8", "surrogatepass"))
     hashes = parts[0] if len(parts) == 1 else np.concatenate(parts)
-    if not len(hashes):
-        digest.update(b"\n" + text.encode("utf-8", "surrogatepass"))
-    return hashes, digest.hexdigest()[:32]
+    exact = hashes.tobytes() or b"\n" + text.encode("utf-8", "surrogatepass")
+    return hashes, hashlib.sha256(exact).hexdigest()[:32]
 
 
 def sketches(words: np.ndarray) -> np.ndarray:
@@ -87,18 +86,18 @@ def sketches(words: np.ndarray) -> np.ndarray:
     new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     seen = np.empty(len(kmer), dtype=np.uint64)  # how often the k-mer came before
     seen[order] = (np.arange(len(kmer)) - np.repeat(new, np.diff(np.append(new, len(kmer))))).astype(np.uint64)
-    labelled = _mix(kmer + seen * np.uint64(0xD6E8FEB86659FD93))
+    labelled = (_mix(kmer + seen * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
     out = np.empty(SKETCHES, dtype=np.uint64)
     together = max(1, min(SKETCHES, AT_ONCE // len(labelled)))
     for j in range(0, SKETCHES, together):
         seeds = _SEEDS[j : j + together]
-        h = (labelled[None, :] ^ seeds[:, None]) * np.uint64(0x7FB5D329728EA185)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x81DADEF4BC2DD44D)
+        h = (labelled[None, :] ^ _SEEDS_32[j : j + together, None]) * np.uint32(0x7FEB352D)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x846CA68B)
         places = []
         for _ in range(min(ELL, len(labelled))):
             least = h.argmin(axis=1)
-            h[np.arange(len(seeds)), least] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            h[np.arange(len(seeds)), least] = np.uint32(0xFFFFFFFF)
             places.append(least)
         value = seeds
         for at in np.sort(np.stack(places), axis=0):  # in text order
@@ -217,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         longest = F.greatest("n", "hub_n")
         apart = F.abs(F.col("n") - F.col("hub_n"))
         fresh = met.where(apart <= budget * longest + 1e-9).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = written(known.union(_verified(fresh, words, budget)), "aligned")
+        known = known.union(_verified(fresh, words, budget))
         judged = written(met.join(known, ["a", "b"], "left").select("bucket", "id", "n", "label", "hub", "hub_n", "a", "b", "edits", F.coalesce("near", F.lit(False)).alias("near")), "judged")
         # A member y that is not linked to a hub may still be linked to an x that is: then, by the triangle
         # inequality, y is within edits(hub, x) + edits(x, y) of the hub. Such members are compared with such x.
@@ -232,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         allowed = budget * F.greatest("x_n", "y_n") + 1e-9
         across = across.where((F.col("x_label") != F.col("y_label")) & (F.col("y_edits") - F.col("x_edits") <= allowed) & (F.abs(F.col("x_n") - F.col("y_n")) <= allowed))
         across = _pairs(across, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = written(known.union(_verified(across, words, budget)), "aligned")
+        known = known.union(_verified(across, words, budget))
         label = written(components(known.where("near").select("a", "b")), "labels")
         gone = linked.select("bucket", F.col("x").alias("id")).union(chosen.select("bucket", F.col("hub").alias("id"))).distinct()
         state = mixed(state.select("bucket", "id", "n").join(gone, ["bucket", "id"], "left_anti"))
