@@ -37,6 +37,7 @@ DICTIONARY = (
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
     r"|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?"
+    r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|(?<=://)[^\s/:@]{1,100}:[^\s/@]{3,200}(?=@)"
     r"|(?<=(?i:password|passwd|pwd|secret)[\"']?[ \t]{0,2}[:=][ \t]{0,2}[\"']?)[^\s\"'|;,<>]{6,}"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
@@ -96,9 +97,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     prose = F.concat(F.translate(F.substring(g, 1, 12), "0123456789", "eairtnoshl"), F.lit(" "), F.translate(F.substring(g, 13, 7), "0123456789", "eairtnoshl"), F.lit(" "))
     nothing = F.lit("")
     join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    some = lambda *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(len(options))) + 1).cast("int"))
+    some = lambda *options: F.element_at(F.array(*(F.lit(o) for o in options)), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(len(options))) + 1).cast("int"))
     kinds = [  # label, before, candidate, after
-        (1, some("", "", "key: ", "AWS_ACCESS_KEY_ID="), join("AKIA", F.upper(F.translate(F.substring(h, 1, 16), "0189", "QXWZ"))), nothing),
+        (1, some("", "", "key: ", "AWS_ACCESS_KEY_ID="), join("AKIA", F.upper(some(F.translate(F.substring(h, 1, 16), "0189", "QXWZ"), F.translate(F.substring(h, 1, 16), "0123456789", "QXWZRTYUIO")))), nothing),
         (1, some('token = "', "token: ", 'TOKEN="', "access_token="), F.substring(h, 1, 40), some('"', "", "'")),
         (1, some("password=", "password: ", "passwd=", 'PASSWORD = "'), F.substring(h, 1, 18), some("", '"')),
         (1, some('TOKEN = "', "SECRET=", "API_KEY: "), F.upper(F.substring(h, 1, 40)), some('"', "")),

@@ -338,7 +338,7 @@ def test_queries_match_sql(spark, data):
     for name, sql in queries.ORACLE.items():
         mine = queries.QUERIES[name](spark, data)
         theirs = c.execute(sql).df()[mine.columns]
-        rows = lambda f: sorted(tuple(str(None if v != v else v).removesuffix(".0") for v in r) for r in f.astype(object).itertuples(index=False))
+        rows = lambda f: sorted(tuple(str(v).removesuffix(".0") for v in r) for r in f.astype(object).where(f.notna(), None).itertuples(index=False))
         assert rows(mine.toPandas()) == rows(theirs)
 
 
