@@ -32,8 +32,8 @@ from .toxicity import pieces
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, least similarity of a link.
 K, ELL, SKETCHES, SIMILARITY = 5, 3, 36, 0.8
-#: Hubs of a bucket in the rounds: 1, then 8 times as many each round.
-MORE_HUBS = 8
+#: Hubs of a bucket in the rounds: 1, then 16 times as many each round.
+MORE_HUBS = 16
 #: Hash values of k-mers that are held at a time.
 AT_ONCE = 1_000_000
 #: Word hashes that a worker remembers.
@@ -197,9 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = _verified(_pairs(first, "id", "to"), words, budget)
     label = written(components(known.where("near").select("a", "b")), "labels")
 
+    def with_label(rows: DataFrame, node: str, name: str) -> DataFrame:
+        return rows.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
     def mixed(state: DataFrame) -> DataFrame:
         """Only the buckets that still hold members of different classes."""
-        marked = state.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        marked = with_label(state, "id", "label")
         open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
         return written(marked.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "label"), "open")
 
@@ -216,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         longest = F.greatest("n", "hub_n")
         apart = F.abs(F.col("n") - F.col("hub_n"))
         fresh = met.where(apart <= budget * longest + 1e-9).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.union(_verified(fresh, words, budget))
+        fresh_links = _verified(fresh, words, budget)
+        known = known.union(fresh_links)
         judged = written(met.join(known, ["a", "b"], "left").select("bucket", "id", "n", "label", "hub", "hub_n", "a", "b", "edits", F.coalesce("near", F.lit(False)).alias("near")), "judged")
         # A member y that is not linked to a hub may still be linked to an x that is: then, by the triangle
         # inequality, y is within edits(hub, x) + edits(x, y) of the hub. Such members are compared with such x.
@@ -227,12 +231,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cap = F.floor(F.col("radius") + budget * F.greatest(F.col("hub_n") + F.col("radius"), F.col("y_n")))
         others = others.withColumn("cap", cap).where(F.abs(F.col("y_n") - F.col("hub_n")) <= F.col("cap"))
         placed = _verified(others.groupBy("a", "b").agg(F.max("cap").alias("cap")), words, budget).where("edits is not null").select("a", "b", F.col("edits").alias("y_edits"))
-        across = others.select("bucket", "hub", "y", "y_n", "y_label", "a", "b").join(placed, ["a", "b"]).drop("a", "b").join(linked, ["bucket", "hub"])
-        allowed = budget * F.greatest("x_n", "y_n") + 1e-9
-        across = across.where((F.col("x_label") != F.col("y_label")) & (F.col("y_edits") - F.col("x_edits") <= allowed) & (F.abs(F.col("x_n") - F.col("y_n")) <= allowed))
-        across = _pairs(across, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.union(_verified(across, words, budget))
-        label = written(components(known.where("near").select("a", "b")), "labels")
+        others = others.select("hub", "y", "y_n", "y_label", "a", "b").distinct().join(placed, ["a", "b"]).drop("a", "b")
+        if not fresh_links.where("near").isEmpty():
+            label = written(components(known.where("near").select("a", "b")), "labels")
+        if not (others := written(others, "placed")).isEmpty():
+            spokes = written(linked.select("hub", "x", "x_n", "x_edits").distinct(), "spokes")
+            # a class takes in a member by any one link: a few of the hub's spokes are tried first, then all that may still link
+            for share in (256, 16, 1):
+                part = spokes.where(F.pmod(F.xxhash64("x"), F.lit(256)) < 256 // share)
+                met = with_label(others.drop("y_label"), "y", "y_label").join(with_label(part, "x", "x_label"), "hub")
+                allowed = budget * F.greatest("x_n", "y_n") + 1e-9
+                met = met.where((F.col("x_label") != F.col("y_label")) & (F.col("y_edits") - F.col("x_edits") <= allowed) & (F.abs(F.col("x_n") - F.col("y_n")) <= allowed))
+                found = _verified(_pairs(met, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti"), words, budget)
+                known = known.union(found)
+                if not found.where("near").isEmpty():
+                    label = written(components(known.where("near").select("a", "b")), "labels")
         gone = linked.select("bucket", F.col("x").alias("id")).union(chosen.select("bucket", F.col("hub").alias("id"))).distinct()
         state = mixed(state.select("bucket", "id", "n").join(gone, ["bucket", "id"], "left_anti"))
         hubs *= MORE_HUBS
