@@ -24,8 +24,8 @@ from .common import by_slabs, crc_fold, filled, only, written
 
 #: Labelled documents that training reads at most (those of the smallest hash of their id).
 TRAIN_ROWS = 20_000
-#: Units with a log-odds beyond so many standard errors get a score of their own; the most certain first.
-LEAST_Z, MOST_UNITS = 3.0, 20_000
+#: Units with a log-odds beyond so many standard errors and this size get a score of their own; the most certain first.
+LEAST_Z, LEAST_ODDS, MOST_UNITS = 4.0, 1.0, 20_000
 #: A unit must occur in so many labelled documents.
 LEAST_DOCS = 5
 #: Pseudo-documents of the prior.
@@ -114,6 +114,8 @@ class Model:
             tokens = _WORD.findall(piece)
             parts.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.float64, count=len(tokens)))
         scores = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        again = np.flatnonzero((scores[1:] == scores[:-1]) & (scores[1:] > 0)) + 1
+        scores[again] = self.background  # a word said over and over is evidence once
         return len(scores), maximal_segments(scores), scores
 
     def surprisal(self, score: float, n: int) -> float:
@@ -145,7 +147,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, label_name: str = "sample") -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out fold: ``text``, ``y``; as a table of its own.
 
-    A document labelled several times counts once, with its largest label; null ids and labels are left out.
+    A document labelled several times counts once, with its largest label, and so do equal texts; null ids and labels are left out.
     """
     marks = (
         only(labels, id="doc_id", y=label)
@@ -156,7 +158,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .limit(rows)
     )
     texts = only(docs, id="doc_id", text="text").withColumn("text", filled(F.col("text")))
-    return written(texts.join(F.broadcast(marks), "id").select("text", "y"), label_name)
+    # equal texts teach once, so that copies don't make chance words look certain
+    return written(texts.join(F.broadcast(marks), "id").groupBy("text").agg(F.max("y").alias("y")), label_name)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -190,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         counted.where((F.col("unit") != "\n") & (pooled < 0.5))
         .select("unit", (odds[0] - odds[1]).alias("score"), error.alias("error"))
         .withColumn("z", F.abs(F.col("score") / F.col("error")))
-        .where((F.col("z") >= LEAST_Z) & (F.abs("score") >= 0.5))
+        .where((F.col("z") >= LEAST_Z) & (F.abs("score") >= LEAST_ODDS))
         .orderBy(F.desc("z"), "unit")
         .limit(MOST_UNITS)
     )
