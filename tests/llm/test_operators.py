@@ -323,7 +323,7 @@ def test_pipeline(spark, data):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, data)
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and 0 < out.count() < 200
+    assert out.columns == ["doc_id", "n_tokens", "token_ids"] and 0 < out.count() < 200
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
