@@ -33,8 +33,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``ids`` and ``n_tokens`` of every document."""
-    return bpe.encode(docs).selectExpr("doc_id", "ids", "cast(size(ids) AS bigint) AS n_tokens")
+    """``doc_id``, ``n_tokens`` and ``token_ids`` of every document."""
+    return bpe.encode(docs).selectExpr("doc_id", "cast(size(ids) AS bigint) AS n_tokens", "ids AS token_ids")
 
 
 STAGES: list[tuple[str, Stage]] = [
