@@ -147,8 +147,15 @@ NON_TEXT = ("non-text", "non text", "illustration", "no readable text", "no text
 def page_quality(text: Column) -> dict[str, Column]:
     """Counts and warnings of a transcribed page."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")), lambda x: x != "")
-    long_ = F.array_sort(F.filter(lines, lambda x: F.length(x) >= 8))
-    repeated = F.size(F.filter(F.transform(long_, lambda x, i: (F.get(long_, i - 1) == x) | (F.get(long_, i + 1) == x)), lambda x: F.coalesce(x, F.lit(False))))
+    # one pass over the sorted lines: the second of equal lines counts for two, each further one for itself
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = x == acc["last"]
+        grown = acc["total"] + F.when(same, F.when(acc["run"] == 1, 2).otherwise(1)).otherwise(0)
+        return F.struct(x.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"), grown.alias("total"))
+
+    repeated = F.aggregate(F.array_sort(F.filter(lines, lambda x: F.length(x) >= 8)), start, step, lambda acc: acc["total"])
     count = F.size(lines)
     ratio = F.when(count > 0, repeated / count).otherwise(F.lit(0.0))
     words = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_'-])(?=['-]*[\p{L}\p{N}_])[\p{L}\p{N}_'-]+"))

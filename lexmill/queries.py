@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -224,7 +224,7 @@ FROM p a JOIN p b ON a.book = b.book AND b.ordinal BETWEEN a.ordinal - 2 AND a.o
 )
 def passage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source as one file of passages in order: the neighbourhood of every passage."""
-    from pyspark.sql import Window
+
 
     rows = passages(spark, sf_dir).withColumn("ordinal", F.dense_rank().over(Window.partitionBy("book").orderBy("id")) - 1)
     near = search.neighbours(rows.select("id", F.lit("all").alias("source"), F.col("book").alias("relative_path"), "ordinal"), 2)
@@ -379,3 +379,44 @@ def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.lit("p0001").alias("passage_id"), "text")
     out = graph.validate(claims, where, per_document=1)
     return out.select(F.col("document_id").cast("long").alias("doc_id"), "position", "reason")
+
+
+@query(
+    f"""WITH {sql_passages()}, each AS (SELECT source, relative_path, anchor, {sql_normal('text')} AS normal, count(*) AS n FROM passages GROUP BY ALL)
+SELECT source, count(DISTINCT relative_path)::BIGINT AS files, count(*)::BIGINT AS passages, sum(n - 1)::BIGINT AS duplicates FROM each GROUP BY source"""
+)
+def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.ingest_counters(passages(spark, sf_dir))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, source AS book, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(lag(text) OVER (PARTITION BY book ORDER BY page_number), '\s+'), lambda x: x <> '') AS words FROM p)
+SELECT doc_id, array_to_string(words[greatest(len(words) - 19, 1):], ' ') AS context FROM w"""
+)
+def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a source as pages of a book: the last twenty words of the page before."""
+
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.coalesce("text", F.lit("")).alias("text"), F.lit("complete").alias("status"))
+    pages = docs.withColumn("page_number", F.dense_rank().over(Window.partitionBy("book").orderBy("doc_id")))
+    return corpus.page_context(pages, 20).select("doc_id", "context")
+
+
+@query()
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the pages with anchors and ordinals."""
+    from .sources import files
+
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("page_id").cast("string").alias("relative_path"), F.col("html").alias("text"))
+    return files.html_paragraphs(pages).select("relative_path", "anchor", "ordinal", "title", "text")
+
+
+@query(
+    rf"""SELECT doc_id, count(*)::BIGINT AS sentences, max(length(s))::BIGINT AS longest FROM (
+  SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS s FROM documents) GROUP BY doc_id"""
+)
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = corpus.sentences(T.collapse(F.coalesce("text", F.lit(""))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("s")).where(F.size("s") > 0)
+    return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
