@@ -34,6 +34,8 @@ from .toxicity import pieces
 K, ELL, SKETCHES, SIMILARITY = 5, 3, 36, 0.8
 #: Hubs of a bucket in the rounds: 1, then 16 times as many each round.
 MORE_HUBS = 16
+#: From so many pairs on, a few are tried first.
+MANY_PAIRS = 50_000
 #: Hash values of k-mers that are held at a time.
 AT_ONCE = 1_000_000
 #: Word hashes that a worker remembers.
@@ -165,6 +167,19 @@ def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
     return written(both.select("a", "b", cap.cast("int").alias("cap"), "x", "y").mapInArrow(run, "a long, b long, edits int, near boolean"), "aligned")
 
 
+def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after further links: only classes that a link joins are looked at."""
+    ends = links.where("near").select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end, "left").withColumn(f"{end}_class", F.coalesce(f"{end}_class", end))
+    joins = written(ends.where("a_class <> b_class").select("a_class", "b_class").distinct(), "joins")
+    if joins.isEmpty():
+        return label
+    merged = written(components(joins, "a_class", "b_class").select(F.col("node").alias("component"), F.col("component").alias("to")), "merged")
+    nodes = label.union(merged.select("component", "component")).distinct()  # a class of one document had no row so far
+    return written(nodes.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.where(F.col(one) != F.col(other)).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
@@ -232,20 +247,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         others = others.withColumn("cap", cap).where(F.abs(F.col("y_n") - F.col("hub_n")) <= F.col("cap"))
         placed = _verified(others.groupBy("a", "b").agg(F.max("cap").alias("cap")), words, budget).where("edits is not null").select("a", "b", F.col("edits").alias("y_edits"))
         others = others.select("hub", "y", "y_n", "y_label", "a", "b").distinct().join(placed, ["a", "b"]).drop("a", "b")
-        if not fresh_links.where("near").isEmpty():
-            label = written(components(known.where("near").select("a", "b")), "labels")
-        if not (others := written(others, "placed")).isEmpty():
+        others = written(others, "placed")
+        found = fresh_links
+        if not others.isEmpty():
             spokes = written(linked.select("hub", "x", "x_n", "x_edits").distinct(), "spokes")
-            # a class takes in a member by any one link: a few of the hub's spokes are tried first, then all that may still link
-            for share in (256, 16, 1):
-                part = spokes.where(F.pmod(F.xxhash64("x"), F.lit(256)) < 256 // share)
+
+            def still_open(part: DataFrame) -> DataFrame:
                 met = with_label(others.drop("y_label"), "y", "y_label").join(with_label(part, "x", "x_label"), "hub")
                 allowed = budget * F.greatest("x_n", "y_n") + 1e-9
                 met = met.where((F.col("x_label") != F.col("y_label")) & (F.col("y_edits") - F.col("x_edits") <= allowed) & (F.abs(F.col("x_n") - F.col("y_n")) <= allowed))
-                found = _verified(_pairs(met, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti"), words, budget)
-                known = known.union(found)
-                if not found.where("near").isEmpty():
-                    label = written(components(known.where("near").select("a", "b")), "labels")
+                return _pairs(met, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+            # a class takes in a member by any one link: where there are many pairs, a few of the hub's spokes are tried first
+            if still_open(spokes).count() > MANY_PAIRS:
+                label = relabelled(label, found)
+                for share in (256, 16):
+                    found = _verified(still_open(spokes.where(F.pmod(F.xxhash64("x"), F.lit(256)) < 256 // share)), words, budget)
+                    known, label = known.union(found), relabelled(label, found)
+            found = _verified(still_open(spokes), words, budget).union(found)
+            known = known.union(found.join(known.select("a", "b"), ["a", "b"], "left_anti"))
+        label = relabelled(label, found)
         gone = linked.select("bucket", F.col("x").alias("id")).union(chosen.select("bucket", F.col("hub").alias("id"))).distinct()
         state = mixed(state.select("bucket", "id", "n").join(gone, ["bucket", "id"], "left_anti"))
         hubs *= MORE_HUBS
