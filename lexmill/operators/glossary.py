@@ -26,23 +26,23 @@ def lookup_forms(word: Column) -> Column:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """``doc_id``, position, surface and normal form of every term token."""
+    """``doc_id``, position and surface of every term token."""
     surfaces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0))
-    each = docs.select("doc_id", F.posexplode(surfaces).alias("at", "surface"))
-    return each.withColumn("term", T.normalize(F.col("surface")))
+    return docs.select("doc_id", F.posexplode(surfaces).alias("at", "surface"))
 
 
 def candidates(docs: DataFrame, baseline: DataFrame, least: int = 3) -> DataFrame:
     """Terms whose base forms the baseline (``word``) lacks: frequency, documents, surfaces and priority.
 
-    Terms are counted before the anti join, so the baseline meets each distinct term once.
+    Terms are counted before they meet the baseline, so that it meets each distinct term once.
     """
-    each = positions(docs).where((F.length("term") >= least) & F.col("surface").rlike(r"\p{L}"))
-    counted = each.groupBy("term", "doc_id", "surface").agg(F.count(F.lit(1)).alias("n"))
+    counted = positions(docs).groupBy("doc_id", "surface").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("term", T.normalize(F.col("surface"))).where((F.length("term") >= least) & F.col("surface").rlike(r"\p{L}"))
     terms = counted.groupBy("term").agg(F.sum("n").alias("frequency"), F.countDistinct("doc_id").alias("documents"), F.array_sort(F.collect_set("surface")).alias("surfaces"))
-    known = baseline.select(F.col("word").alias("form")).distinct()
-    english = terms.select("term", F.explode(lookup_forms(F.col("term"))).alias("form")).join(known, "form", "left_semi").select("term").distinct()
-    return terms.join(english, "term", "left_anti").withColumn("priority", priority(F.array(F.lit("not_in_english_baseline")), F.col("documents"), F.lit(1)))
+    known = baseline.select(F.col("word").alias("form"), F.lit(True).alias("known")).distinct()
+    forms = terms.withColumn("form", F.explode(lookup_forms(F.col("term")))).join(known, "form", "left")
+    told = forms.groupBy("term").agg(*(F.first(c).alias(c) for c in ("frequency", "documents", "surfaces")), F.max(F.coalesce("known", F.lit(False))).alias("english"))
+    return told.where(~F.col("english")).drop("english").withColumn("priority", priority(F.array(F.lit("not_in_english_baseline")), F.col("documents"), F.lit(1)))
 
 
 def priority(reasons: Column, documents: Column, tokens: Column) -> Column:

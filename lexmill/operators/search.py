@@ -33,8 +33,15 @@ def passages_of(docs: DataFrame) -> DataFrame:
 
 
 def with_words(passages: DataFrame) -> DataFrame:
-    """Adds the spaced words of each field; worth storing when many queries follow."""
-    return passages.withColumns({f"{f}_words": T.spaced(T.normalize(F.coalesce(F.col(f), F.lit("")))) for f in FIELDS if f"{f}_words" not in passages.columns})
+    """Adds the spaced words of each field; worth storing when many queries follow.
+
+    They come out of a generator of one row, so that filters on them are not pushed into it: each text is
+    normalised once, however many terms are looked for.
+    """
+    missing = [f for f in FIELDS if f"{f}_words" not in passages.columns]
+    if not missing:
+        return passages
+    return passages.select("*", F.inline(F.array(F.struct(*(T.spaced(T.normalize(F.coalesce(F.col(f), F.lit("")))).alias(f"{f}_words") for f in missing)))))
 
 
 def citation() -> Column:
@@ -149,12 +156,10 @@ def fan_out(
     within(limit=limit, per_query_limit=per_query_limit, max_per_document=max_per_document)
     asked = distinct_queries(queries)
     plans = [parse(q) for q in asked]
-    scored = with_words(in_scope(passages, where, book, title)).withColumn(
-        "runs",
-        F.filter(F.array(*(F.when(matches(p), F.struct(F.lit(i).alias("q"), F.lit(q).alias("query"), score(p).alias("score"))) for i, (q, p) in enumerate(zip(asked, plans, strict=True)))), lambda x: x.isNotNull()),
-    )
+    words = with_words(in_scope(passages, where, book, title))
+    runs = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(q).alias("query"), F.when(matches(p), score(p)).alias("score")) for i, (q, p) in enumerate(zip(asked, plans, strict=True))))
     keep = ["id", "source", "title", "book", "relative_path", "anchor"]
-    each = scored.where(F.size("runs") > 0).select(*keep, F.explode("runs").alias("run"))
+    each = words.select(*keep, F.explode(runs).alias("run")).where(F.col("run.score").isNotNull())
     rank = F.row_number().over(Window.partitionBy("run.q").orderBy(*ordering(F.desc("run.score"))))
     best = each.withColumn("rank", rank).where(F.col("rank") <= per_query_limit)
     run = F.struct("run.q", "run.query", "rank", "run.score")
