@@ -1,9 +1,10 @@
 """Near-duplicate documents by Order MinHash.
 
-A document's k-mers are its runs of five words, each labelled with how often it has occurred before.
-A sketch takes the three k-mers of least hash and keeps them in text order, so that both content and
+A document's k-mers are its runs of four words, each labelled with how often it has occurred before.
+A sketch takes the two k-mers of least hash and keeps them in text order, so that both content and
 order decide whether two sketches agree. Documents that share a sketch are candidates, and a banded
-word alignment verifies them: linked if edits <= (1 - 0.8) x words of the longer one.
+word alignment verifies them: linked if edits <= (1 - 0.8) x words of the longer one. Texts of up to
+50 words are also candidates if they share a segment (see ``segments``), which misses no link.
 
 Documents with the same words are collapsed first. The members of a sketch bucket are not compared
 with each other but with hubs: first with one, then, where members of different classes remain, with
@@ -31,7 +32,9 @@ from .components import components
 from .toxicity import pieces
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, least similarity of a link.
-K, ELL, SKETCHES, SIMILARITY = 5, 3, 36, 0.8
+K, ELL, SKETCHES, SIMILARITY = 4, 2, 64, 0.8
+#: Pairs whose longer text has at most so many words meet by segments too.
+SHORT = 50
 #: Hubs of a bucket in the rounds: 1, then 16 times as many each round.
 MORE_HUBS = 16
 #: From so many pairs on, a few are tried first.
@@ -74,15 +77,45 @@ def word_hashes(text: str, known: WordHashes) -> tuple[np.ndarray, str]:
     return hashes, hashlib.sha256(exact).hexdigest()[:32]
 
 
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of ``k`` words; none if there are fewer words."""
+    count = max(0, len(words) - k + 1)
+    run = np.zeros(count, dtype=np.uint64)
+    for i in range(k):
+        run = _mix(run * np.uint64(0x9E3779B97F4A7C15) + words[i : count + i])
+    return run
+
+
+def segments(words: np.ndarray, share: float) -> np.ndarray:
+    """Keys of which any two texts of at most SHORT words share one if they are within the allowed edits.
+
+    A text of n words that may have d edits is cut into d + 1 segments. In another text of at most n words
+    within d edits one segment, say number i from 0, stands unchanged with at most i edits before it and d - i
+    after it, which bounds its place. Each text gives the segments of its own length and the runs that can be
+    segments of a longer text.
+    """
+    n, keys, by_length = len(words), [np.zeros(0, dtype=np.uint64)], {}
+    for longer in range(max(n, 1), SHORT + 1):
+        budget = int(share * longer + 1e-9)
+        apart = longer - n
+        if apart > budget:
+            break
+        for i in range(budget + 1 if budget else 0):  # without edits the texts are equal
+            first, end = i * longer // (budget + 1), (i + 1) * longer // (budget + 1)
+            low, high = first + max(-i, -apart - (budget - i)), first + min(i, budget - i - apart)
+            if end - first not in by_length:
+                by_length[end - first] = _runs(words, end - first)
+            run = by_length[end - first][max(low, 0) : max(high + 1, 0)]
+            keys.append(_mix(run + np.uint64((longer * (SHORT + 1) + i) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)))
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
 def sketches(words: np.ndarray) -> np.ndarray:
     """The order-sensitive sketches of a document; none without words."""
     n = len(words)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    k = min(K, n)
-    kmer = np.zeros(n - k + 1, dtype=np.uint64)
-    for i in range(k):
-        kmer = _mix(kmer * np.uint64(0x9E3779B97F4A7C15) + words[i : n - k + 1 + i])
+    kmer = _runs(words, min(K, n))
     order = np.argsort(kmer, kind="stable")
     ranked = kmer[order]
     new = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
@@ -108,19 +141,20 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sketched(rows: DataFrame) -> DataFrame:
+def _sketched(rows: DataFrame, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for slab in by_slabs(batches, "text"):
-            keys, counts, lists = [], [], []
+            keys, counts, lists, cuts = [], [], [], []
             for text in slab.column("text").to_pylist():
                 words, key = word_hashes(text, known)
                 keys.append(key)
                 counts.append(len(words))
                 lists.append(sketches(words))
-            yield pa.RecordBatch.from_arrays([slab.column("id"), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "n", "sketches"])
+                cuts.append(segments(words, share))
+            yield pa.RecordBatch.from_arrays([slab.column("id"), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64()))], ["id", "key", "n", "sketches", "segments"])
 
-    return rows.mapInArrow(run, "id long, key string, n long, sketches array<long>")
+    return rows.mapInArrow(run, "id long, key string, n long, sketches array<long>, segments array<long>")
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -189,16 +223,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``copy_of`` is the least id of the documents with the same words, ``class_id`` the least id that
     links reach, ``kept`` whether the id is that one. A null text counts as empty; texts without words
-    are copies of each other only if they are equal, and link with nothing else. Texts of fewer than five words have
+    are copies of each other only if they are equal, and link with nothing else. Texts of fewer than four words have
     one k-mer, the whole text. Rows that share an id count as one document. Rows without id get null classes
     and are kept. Ids must be whole numbers.
     """
     if not 0 < similarity < 1:
         raise ValueError("the similarity must lie between 0 and 1")
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), filled(F.col("text")).alias("text"))
-    sketched = written(_sketched(rows.where(F.col("id").isNotNull())), "sketches")
-    distinct = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    buckets = distinct.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select(F.xxhash64("j", "s").alias("bucket"), "id", "n").distinct()
+    sketched = written(_sketched(rows.where(F.col("id").isNotNull()), 1 - similarity), "sketches")
+    distinct = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("segments").alias("segments"))
+    buckets = distinct.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select(F.xxhash64("j", "s").alias("bucket"), "id", "n")
+    buckets = buckets.union(distinct.select(F.explode("segments").alias("bucket"), F.col("rep").alias("id"), "n")).distinct()
     hub = F.min(F.struct(F.xxhash64("id").alias("rank"), F.col("id"))).alias("hub")
     shared = buckets.groupBy("bucket").agg(hub, F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     members = written(buckets.join(shared.select("bucket", "hub"), "bucket"), "members")

@@ -238,6 +238,45 @@ def test_near_duplicates(spark):
     assert order_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_short_near_duplicates_equal_brute_force(spark):
+    r = random.Random(6)
+    texts = ["a b c d e f g", "a b c d e f x", "k l m n o", "k l x n o", "k l m n", "p q r s", "p q r t"]
+    for g in range(150):
+        base = words(5000 + g, r.randrange(5, 51), 10**6)
+        texts.append(" ".join(base))
+        for _ in range(2):
+            t = list(base)
+            for _ in range(r.choice([len(t) // 5, len(t) // 5, len(t) // 5 + 1])):
+                at = r.randrange(len(t))
+                t[at : at + 1] = r.choice([["new"], [], ["new", t[at]]])
+            texts.append(" ".join(t))
+    split = [t.split() for t in texts]
+    label = list(range(len(split)))
+    for i in range(len(split)):
+        for j in range(i):
+            longest = max(len(split[i]), len(split[j]))
+            if abs(len(split[i]) - len(split[j])) * 5 <= longest <= 50 and set(split[i]) & set(split[j]) and distance(split[i], split[j]) * 5 <= longest:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {g["doc_id"]: g["class_id"] for g in order_minhash.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts)) if len(split[i]) <= 50] == [label[i] for i in range(len(texts)) if len(split[i]) <= 50]
+
+
+def test_pairs_near_the_threshold_meet(spark):
+    r, rows = random.Random(7), []
+    for g in range(100):
+        base = words(7000 + g, r.randrange(60, 250), 10**6)
+        t = list(base)
+        for at in r.sample(range(len(t)), int(r.uniform(0.15, 0.2) * len(t))):
+            t[at] = f"n{r.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(t))]
+    got = {g["doc_id"]: g["class_id"] for g in order_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert all(got[2 * g] == 2 * g for g in range(100))
+    found = sum(got[2 * g + 1] == 2 * g for g in range(100))
+    print("found", found)
+    assert found >= 97
+
+
 def test_order_matters():
     known = order_minhash.WordHashes()
     a, key = order_minhash.word_hashes("One two three four five six seven eight", known)
