@@ -4,8 +4,9 @@ A small tolerant reader builds the tree of a page. Elements that never hold the
 menus, forms, adverts, reader comments ...) are dropped by tag, role or the words of their class
 and id. Each remaining node gets its characters and tags, link characters and link tags, and from
 them the composite text density; the sum over a node's children scores the node. The node of the
-largest sum is the article's core; its neighbours on the path to the body are taken in as long as
-their density reaches the least density of that path.
+largest sum is the article's core, and the least density on its path to the body is the threshold.
+Outside the core only what reaches the threshold is taken: of each such node below nodes that reach
+it too, the part of the largest sum. The ``article`` and ``main`` tags break ties only.
 """
 
 from __future__ import annotations
@@ -60,13 +61,15 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("block", "chars", "children", "density", "dropped", "link_chars", "link_tags", "own", "parent", "sum", "tag", "tags", "top")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.sum = 0.0
+        self.density = self.own = self.sum = 0.0
+        self.block = parent is None or tag in BLOCK or tag in ("td", "th")
+        self.top = self
 
 
 def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -165,7 +168,7 @@ def in_order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Counts and composite densities of every kept node; bottom up without recursion."""
+    """Counts, densities, sums and best parts of all kept nodes that are blocks or hold some; bottom up without recursion."""
     nodes = in_order(root)
     for node in reversed(nodes):
         for c in node.children:
@@ -176,50 +179,60 @@ def measure(root: Node) -> list[Node]:
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
+                node.block |= c.block
         if node.tag == "a":
             node.link_chars = node.chars
     whole, linked = max(1, root.chars), root.link_chars
-    for node in nodes:
-        if not node.chars:
-            continue
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        plain = max(1, node.chars - node.link_chars)
-        base = math.log(c / plain * node.link_chars + linked / whole * c + math.e)
-        ratio = c / lc * t / lt
-        node.density = max(0.0, c / t * math.log(max(ratio, 1.0) + 1e-9) / base) if base > 0 else 0.0
-    for node in nodes:
-        if node.parent is not None:
-            node.parent.sum += node.density
-    for node in nodes:  # text directly in a node counts like a child that holds it
-        own = sum(len(_WHITE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
-        node.sum += own
+
+    def density(chars: int, tags: int, link_chars: int, link_tags: int) -> float:
+        if chars <= 0:
+            return 0.0
+        t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+        base = math.log(chars / max(1, chars - link_chars) * link_chars + linked / whole * chars + math.e)
+        return chars / t * math.log(max(chars / lc * t / lt, 1.0) + 1e-9) / base
+
+    nodes = [n for n in nodes if n.block]
+    for node in reversed(nodes):
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags)
+        below = [c for c in node.children if isinstance(c, Node) and c.block and not c.dropped]
+        # text directly in a node, with its inline elements, counts like a child that holds it
+        node.own = density(
+            node.chars - sum(c.chars for c in below),
+            node.tags - sum(c.tags + 1 for c in below),
+            node.link_chars - sum(c.link_chars for c in below),
+            node.link_tags - sum(c.link_tags + (c.tag == "a") for c in below),
+        )
+        node.sum = node.own + sum(c.density for c in below)
+        node.top = max([node, *(c.top for c in below)], key=lambda n: (n.sum, n.chars, n.tag in ("article", "main")))
     return nodes
 
 
-def main_node(root: Node) -> Node | None:
-    """The subtree of the article; none if the page has no text."""
-    nodes = [n for n in measure(root) if n.chars]
-    if not nodes:
-        return None
-    articles = [n for n in nodes if n.tag in ("article", "main")]
-    best = max(articles or nodes, key=lambda n: (n.sum, n.chars))
-    if articles:
-        return best
-    path, node = [], best
+def main_nodes(root: Node) -> tuple[set[Node], set[Node], float]:
+    """The nodes whose text is the article's, their ancestors, and the threshold."""
+    measure(root)
+    path, node = [], root.top
     while node is not None:
         path.append(node)
         node = node.parent
-    least = min((n.density for n in path if n.density > 0), default=0.0)
-    for node in path[1:]:  # the widest ancestor on the path that is text rather than links
-        if node.tag in ("html", "body") and len(node.children) > 1 and best.chars >= 0.5 * node.chars and best.tag in ("div", "section", "td"):
-            break
-        if node.density >= least and node.link_chars < 0.5 * node.chars:
-            best = node
-    return best
-
-
-def blocks_of(top: Node) -> list[str]:
-    """The kept blocks below a node in page order: references decoded, white space made one space, trimmed."""
+    least = min(n.density for n in path)
+    taken, above, todo = {root.top}, set(path[1:]), [root]
+    while todo:
+        node = todo.pop()
+        if node in taken or not node.chars or node.density < least:
+            continue
+        top = node.top
+        taken.add(top)
+        up = top.parent
+        while up is not None and up not in above:
+            above.add(up)
+            up = up.parent
+        todo.extend(c for c in node.children if isinstance(c, Node) and c.block and not c.dropped)
+    return taken, above, least
+
+
+def blocks_of(root: Node) -> list[str]:
+    """The article's blocks in page order: references decoded, white space made one space, trimmed."""
+    taken, above, least = main_nodes(root)
     blocks: list[str] = []
     open_text: list[str] = []
 
@@ -229,7 +242,7 @@ def blocks_of(top: Node) -> list[str]:
         if text:
             blocks.append(text)
 
-    todo: list[Node | str | None] = [top]
+    todo: list[Node | str | None] = [root]
     while todo:
         item = todo.pop()
         if item is None:
@@ -243,14 +256,16 @@ def blocks_of(top: Node) -> list[str]:
                 todo.append(None)
             elif item.tag in ("td", "th"):
                 open_text.append(" ")
-            todo.extend(reversed(item.children))
+            inside = item.children
+            if item in above and item not in taken:  # of an ancestor only what is taken or leads there, and its own text if dense enough
+                inside = [c for c in inside if (c in taken or c in above if isinstance(c, Node) and c.block else item.own >= least)]
+            todo.extend(reversed(inside))
     cut()
     return blocks
 
 
 def main_text(page: str) -> str:
-    top = main_node(parse(page))
-    return "\n".join(blocks_of(top)) if top is not None else ""
+    return "\n".join(blocks_of(parse(page)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, url_col: str = "url") -> DataFrame:

@@ -208,6 +208,18 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_density_decides_without_tags():
+    story = ["The ferry left the northern harbour before dawn with a load of timber and salted fish on board. " * 2, "Its captain had sailed that coast for thirty years and knew each of the shoals by its colour. " * 2]
+    told = "".join(f"<p>{t}</p>" for t in story)
+    want = "\n".join(t.strip() for t in story)
+    menu = "<div><ul>" + "".join(f'<li><a href="/{k}">Part {k}</a></li>' for k in range(12)) + "</ul><div>All rights reserved.</div></div>"
+    assert html_extract.main_text(f'<body><div id="page">{menu}<div>{told}</div></div></body>') == want
+    assert html_extract.main_text(f'<body>{menu}<article><a href="/x">Read the other one</a></article><div>{told}</div></body>') == want
+    # a second part that reaches the threshold is taken in, in page order
+    more = "<div><p>" + story[0] + "</p></div>"
+    assert html_extract.main_text(f"<body><div>{more}{menu}<div>{told}{told}</div></div></body>") == "\n".join([story[0].strip(), want, want])
+
+
 # --- 7 ---
 
 
