@@ -33,14 +33,20 @@ DICTIONARY = (
     " value version video view watch website week welcome window word world write year your"
 ).split()
 
-#: The candidates: key blocks, signed tokens, credentials in URLs, values after a secret word, and long runs with a digit.
+#: Parts of long words in prose.
+SYLLABLES = "ver schaft heit ung tion ment er lich keit in est ando ble con pre ist ge zu ach tre ous ing sch the".split()
+
+#: The candidates: key blocks, signed tokens, credentials in URLs, values assigned to a secret word or after "bearer", and long
+#: runs with a digit, with letters of both cases or after a secret word. The first look behind of the assigned values only saves time.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
     r"|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
     r"|(?<=://)[^\s/:@]{1,100}:[^\s/@]{3,200}(?=@)"
-    r"|(?<=(?i:password|passwd|pwd|secret)[\"']?[ \t]{0,2}[:=][ \t]{0,2}[\"']?)[^\s\"'|;,<>]{6,}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"|(?<=[:=][ \t]{0,2}[\"']?)(?<=(?i:" + SECRET_WORDS + r")[\"']?[ \t]{0,2}[:=][ \t]{0,2}[\"']?)[^\s\"'|;,<>]{6,}"
+    r"|(?<=(?i:bearer)[ \t]{1,2}[\"']?)[^\s\"'|;,<>]{6,}"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?:(?=[A-Za-z+/_-]*[0-9]|[A-Z+/_-]*[a-z][a-z+/_-]*[A-Z]|[a-z+/_-]*[A-Z][A-Z+/_-]*[a-z])"
+    r"|(?<=(?i:" + SECRET_WORDS + r")[\"']?[ \t]{1,2}(?:(?i:is)[ \t]{1,2})?[\"']?))[A-Za-z0-9+/_-]{16,}={0,2}"
 )
 #: Characters before and after a candidate that count as its neighbourhood.
 BEFORE, AFTER = 40, 20
@@ -87,13 +93,17 @@ def feature_columns() -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """``before``, ``candidate``, ``after`` and ``label``: findings of sixteen kinds, made by rule from digests of row numbers."""
+    """``before``, ``candidate``, ``after`` and ``label``: findings of 24 kinds, made by rule from digests of row numbers."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     g = F.sha2(F.concat(F.lit("context"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[\r\n]", "")
     digits = F.translate(h, "abcdef", "314159")
     word = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id"), F.lit(len(DICTIONARY))) + 1).cast("int"))
     more = F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    several = lambda options, seed: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(options))) + 1).cast("int"))
+    third, size = several(DICTIONARY, 3), (F.lit(16) + F.pmod(F.xxhash64("id", F.lit(4)), F.lit(17))).cast("int")
+    letters = F.translate(b64, "0123456789+/=", "qXwZkVjBhGtRm")  # of both cases
+    long_word = F.concat(*(several(SYLLABLES, 10 + k) for k in range(5)))
     prose = F.concat(F.translate(F.substring(g, 1, 12), "0123456789", "eairtnoshl"), F.lit(" "), F.translate(F.substring(g, 13, 7), "0123456789", "eairtnoshl"), F.lit(" "))
     nothing = F.lit("")
     join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
@@ -114,6 +124,14 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (0, some("", "path ", "file:"), join("/", word, "/", more, F.substring(digits, 1, 2), "/", word), some("/", ".html", ".py")),
         (0, some("password=", "token: ", 'api_key="'), some("your_password_here1", "changeme_please_01", "xxxxxxxxxxxxxxx1", "example_token_0001", "placeholder-value-1", "<password>", "********"), some("", '"')),
         (0, some("sha256 ", "checksum: ", "md5 ", "etag "), F.substring(h, 1, 64), nothing),
+        (1, some("", "in ", 'token = "', "api_key="), letters.substr(F.lit(1), size), nothing),
+        (1, some("token ", "key: ", "secret=", "credential is "), F.lower(letters).substr(F.lit(1), size), nothing),
+        (1, some("api_key='", 'token="', "Authorization: Bearer ", "access_key: "), b64.substr(F.lit(1), size - 8), some("", "'", '"')),
+        (0, some("", "", "the ", "key "), some(F.initcap(long_word), long_word, F.initcap(join(long_word, word)), F.upper(long_word)), some("", ".", ",")),
+        (0, some("", "see ", "by ", "token "), join(F.initcap(word), some("", "-", "/", "_"), F.initcap(more), some("", "-", "/", "_"), F.initcap(third)), nothing),
+        (0, some("key: ", "secret: ", "auth: ", "bearer ", "token=", "password: "), some(word, word, several(SYLLABLES, 20), join(several(SYLLABLES, 20), several(SYLLABLES, 21)), join(word, "_", more)), some("", ".", "s")),
+        (0, some("", "in ", "the "), join(F.initcap(word), F.initcap(more), some(F.initcap(third), third, "")), nothing),
+        (0, some("", "of ", "card ", "token "), F.substring(digits, 1, 16), some(" token", ' token = "', " password", " key", ".", "")),
         (0, some("/", "url /", ""), join(word, "-", F.substring(digits, 1, 4), "-", F.substring(digits, 5, 2), "-", more, "-", word), some("", "/", ".html")),
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))

@@ -315,6 +315,15 @@ def test_secrets(spark):
     assert secret_scan.redact(frame.union(frame)).count() == 2 * len(rows)
 
 
+def test_secrets_after_any_secret_word_and_without_digits(spark):
+    secrets = ["q7Xp2LmZ9", "Zk4pT9vQ2x", "hQ8zLw3Rt5", "QhZkXwPvRtLmBnCsDfGj", "qWxZrTyPlKmNbVcD", "f3a9c1d07b"]
+    places = ["api_key='{}' end", "access_key: {} end", "Authorization: Bearer {} end", "seen {} here", 'token = "{}"', "credential={}"]
+    plain = ["the key: important things", "auth: required by law", "the bearer should sign", "Donaudampfschifffahrt and Karl-Heinz-Strasse", "api_key=your_key_here", "InternationalBusinessMachines"]
+    rows = [(i, p.format(t)) for i, (p, t) in enumerate(zip(places, secrets))] + [(100 + i, t) for i, t in enumerate(plain)]
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(spark, rows)).collect()}
+    assert clean == {i: t.replace(secrets[i], "[secret]") if i < 100 else t for i, t in rows}
+
+
 # --- 9 ---
 
 
