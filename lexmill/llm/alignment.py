@@ -5,15 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-#: Cells of a band that are compared at once; wider bands are filled row by row.
-CELLS = 3_000_000
-
-
-def banded_distance(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
+def banded_distance(a: np.ndarray, b: np.ndarray, budget: int, least: int = 0) -> int | None:
     """Unit-cost edit distance of two integer sequences, or none if it exceeds ``budget``.
 
-    Only diagonals within a band are looked at. The band starts narrow and doubles until the distance
-    fits into it or the budget is reached, so that near copies cost little.
+    Only diagonals within a band are looked at. The band starts narrow, somewhat beyond ``least`` (edits known
+    to be needed), and widens until the distance fits into it or the budget is reached, so that near copies cost little.
     """
     if len(a) > len(b):
         a, b = b, a
@@ -28,77 +24,45 @@ def banded_distance(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
     n, m = len(a), len(b)
     if not n or not budget:
         return m if m <= budget else None
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    rest = b.tolist()
     budget = min(budget, m)
-    band = min(budget, max(16, 2 * (m - n)))
-    while (2 * band + 1) * (n + 1) <= CELLS:
-        found = _by_diagonals(a, b, band)
+    band = min(budget, max(8, 2 * (m - n), least + least // 4))
+    while True:
+        found = _in_band(places, n, rest, band)
         if found is not None or band == budget:
             return found
         band = min(budget, 3 * band)
-    return _by_rows(a, b, budget)
 
 
-def _by_diagonals(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    """How far each diagonal of the band gets with 0, 1, 2 ... edits, all diagonals of the band at a time.
+def _in_band(places: dict[int, int], n: int, b: list[int], band: int) -> int | None:
+    """The distance if it is within the band: the cells of a column of the band are the bits of whole numbers.
 
-    Diagonal k holds the places (i, i + k - band). ``runs`` tells for each place where its run of equal elements ends.
+    Bit t of column j is row j - band + t; ``more`` and ``less`` have the bits whose cell is one above or below
+    the cell before it in the column, ``level`` those that equal their neighbour on the diagonal. A column
+    follows from the one before by a few operations on all bits together. Cells just outside the band count as
+    one more than their neighbours inside, which no path within the band needs.
     """
-    n, m = len(a), len(b)
-    width = 2 * band + 1
-    padded = np.full(n + m + 2 * width, np.iinfo(np.int64).min)
-    padded[band : band + m] = b
-    windows = np.lib.stride_tricks.sliding_window_view(padded, n)[:width]  # row k: b shifted by k - band
-    at = np.arange(n + 1, dtype=np.int32)
-    stop = np.full((width, n + 1), n, dtype=np.int32)
-    np.copyto(stop[:, :n], at[:n], where=windows != a)
-    runs = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-    diagonal = np.arange(width)
-    offset = diagonal - band
-    most = np.minimum(n, m - offset)  # of i on each diagonal
-    none = np.int64(-(1 << 30))
-    reach = np.full(width, none)
-    reach[band] = runs[band, 0]
-    goal = m - n + band
-    for edits in range(band + 1):
-        if reach[goal] >= n:
-            return edits
-        step = reach + 1  # a replaced element
-        step[1:] = np.maximum(step[1:], reach[:-1])  # one of b more
-        step[:-1] = np.maximum(step[:-1], reach[1:] + 1)  # one of a more
-        step = np.minimum(step, most)
-        ok = (step >= 0) & (step + offset >= 0)
-        step[~ok] = none
-        reach = step
-        reach[ok] = np.minimum(runs[diagonal[ok], step[ok]], most[ok])
-    return None
-
-
-def _by_rows(a: np.ndarray, b: np.ndarray, budget: int) -> int | None:
-    """Row by row: insertions along a row are a running minimum; stops at a row that is all beyond the budget."""
-    n, m = len(a), len(b)
-    budget = min(budget, m)
-    # row[k]: distance of a[:i] and b[:i + k - budget]
-    width = 2 * budget + 1
-    far = budget + 1
-    at = np.arange(width)
-    padded = np.full(m + 2 * width, -1, dtype=np.int64)  # b with room on both sides
-    padded[width : width + m] = b
-    row = np.where(at >= budget, at - budget, far)
-    column = at - budget
-    row[column > m] = far
-    for i in range(1, n + 1):
-        mismatch = padded[width + i - 1 - budget : width + i - 1 - budget + width] != a[i - 1]
-        step = row + mismatch  # b[j - 1] against a[i - 1]
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        j = column + i
-        step[j == 0] = i
-        step[(j < 0) | (j > m)] = far
-        row = np.minimum(np.minimum.accumulate(step - at) + at, far)
-        row[(j < 0) | (j > m)] = far
-        if row.min() >= far:
-            return None
-    found = int(row[m - n + budget])
-    return found if found <= budget else None
+    m, width = len(b), 2 * band + 1
+    mask, top, goal = (1 << width) - 1, 1 << (2 * band), n - m + band
+    more, less, distance = mask >> (band + 1) << (band + 1), 0, m - n
+    places = {x: p << band for x, p in places.items()}
+    for j, x in enumerate(b):
+        same = (places.get(x, 0) >> j) & mask
+        more, less = more >> 1 | top, less >> 1
+        level = ((((same & more) + more) ^ more) | same | less) & mask
+        right_more = less | (mask & ~(level | more))
+        right_less = level & more
+        right_more = right_more << 1 | 1
+        more = (right_less << 1 | ~(level | right_more)) & mask
+        less = level & right_more & mask
+        if j >= m - n and not level >> goal & 1:
+            distance += 1
+            if distance > band:
+                return None
+    return distance
 
 
 def best_window(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:

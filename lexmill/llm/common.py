@@ -18,13 +18,16 @@ CHARS_AT_ONCE = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a local folder is made
-    and set, so that later calls use the same one.
+    Only in local mode, where the session names none (tests), a local folder is made
+    and set, so that later calls use the same one. A cluster without it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "lexmill.shared.dir", None
     )
     if not conf:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("lexmill.shared.dir", conf)
     return conf.rstrip("/")
@@ -42,6 +45,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that only one operator needs; ``drop`` deletes those it names, or all."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(df.sparkSession, label)
+        df.write.parquet(path)
+        table = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.held.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        going = [(t, path) for t, path in self.held if not tables or any(t is x for x in tables)]
+        self.held = [x for x in self.held if x not in going]
+        for table, path in going:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names; whatever else ``df`` carries cannot clash."""
     return df.select(*(F.col(f"`{src}`").alias(dst) for dst, src in columns.items()))

@@ -1,22 +1,24 @@
 """Near-duplicate documents by Order MinHash.
 
-A document's k-mers are its runs of four words, each labelled with how often it has occurred before.
+A document's k-mers are its runs of five words, each labelled with how often it has occurred before.
 A sketch takes the two k-mers of least hash and keeps them in text order, so that both content and
 order decide whether two sketches agree. Documents that share a sketch are candidates, and a banded
 word alignment verifies them: linked if edits <= (1 - 0.8) x words of the longer one. Texts of up to
 50 words are also candidates if they share a segment (see ``segments``), which misses no link.
 
-Documents with the same words are collapsed first. The members of a sketch bucket are not compared
-with each other but with hubs: first with one, then, where members of different classes remain, with
-ever more, until none is left. A member linked to a hub leaves its bucket. No link is lost by that: if
-x is linked to hub h and y is not, the triangle inequality tells for most whether x and y can be linked,
-and where they can, they are compared themselves.
+Documents with the same words are collapsed first. A bucket is the documents that share a sketch or
+segment. Three passes settle all buckets:
+
+1. Every member meets the member of least id (its hub); links make classes.
+2. In buckets that still hold several classes, the members outside the largest class meet all members of
+   other classes, in blocks of bounded size: a vector of word counts bounds the edits from below, and each
+   member's most promising partner of a block is aligned. Links join classes.
+3. Where classes remain apart, all pairs that the bound leaves are aligned. So no link of a bucket is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -27,18 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import banded_distance
-from .common import by_slabs, filled, only, written
+from .common import Scratch, by_slabs, filled, only, written
 from .components import components
 from .toxicity import pieces
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, least similarity of a link.
-K, ELL, SKETCHES, SIMILARITY = 4, 2, 64, 0.8
+K, ELL, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
 #: Pairs whose longer text has at most so many words meet by segments too.
 SHORT = 50
-#: Hubs of a bucket in the rounds: 1, then 16 times as many each round.
-MORE_HUBS = 16
-#: From so many pairs on, a few are tried first.
-MANY_PAIRS = 50_000
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK = 1024
+#: What a member is to a block.
+COLUMN, ROW, BOTH = 1, 2, 3
+#: Entries of the vector of word counts.
+BINS = 512
 #: Hash values of k-mers that are held at a time.
 AT_ONCE = 1_000_000
 #: Word hashes that a worker remembers.
@@ -46,7 +50,9 @@ WORDS_HELD = 400_000
 
 _WORD = re.compile(r"\w+")
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch", seed=j) for j in range(SKETCHES)], dtype=np.uint64)
-_SEEDS_32 = (_SEEDS >> np.uint64(32)).astype(np.uint32)
+#: Of each sketch an odd factor and a summand: the hash of an (already mixed) k-mer is factor * k-mer + summand.
+_FACTORS = (_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SUMMANDS = _SEEDS.astype(np.uint32)
 
 
 class WordHashes(dict):
@@ -63,7 +69,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(text: str, known: WordHashes) -> tuple[np.ndarray, str]:
+def word_hashes(text: str, known: WordHashes) -> tuple[np.ndarray, bytes]:
     """The hash of each word of the lower-cased text, and a digest of these hashes in order.
 
     A text without words has the digest of the text itself.
@@ -74,7 +80,7 @@ def word_hashes(text: str, known: WordHashes) -> tuple[np.ndarray, str]:
         parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
     hashes = parts[0] if len(parts) == 1 else np.concatenate(parts)
     exact = hashes.tobytes() or b"\n" + text.encode("utf-8", "surrogatepass")
-    return hashes, hashlib.sha256(exact).hexdigest()[:32]
+    return hashes, hashlib.sha256(exact).digest()[:16]
 
 
 def _runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -126,9 +132,8 @@ def sketches(words: np.ndarray) -> np.ndarray:
     together = max(1, min(SKETCHES, AT_ONCE // len(labelled)))
     for j in range(0, SKETCHES, together):
         seeds = _SEEDS[j : j + together]
-        h = (labelled[None, :] ^ _SEEDS_32[j : j + together, None]) * np.uint32(0x7FEB352D)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x846CA68B)
+        h = labelled[None, :] * _FACTORS[j : j + together, None]
+        h += _SUMMANDS[j : j + together, None]
         places = []
         for _ in range(min(ELL, len(labelled))):
             least = h.argmin(axis=1)
@@ -141,20 +146,34 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def word_counts(words: np.ndarray) -> bytes:
+    """How many words fall into each of BINS bins, 255 at most."""
+    return np.minimum(np.bincount((words >> np.uint64(17)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def least_edits(one: np.ndarray, n: int, others: np.ndarray, ns: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits between a text and others, from their word counts and lengths.
+
+    An edit takes away one word at most and adds one at most; equal bins and cut counts only lower the bound.
+    """
+    apart = (np.maximum(others, one) - np.minimum(others, one)).sum(axis=1, dtype=np.int64)
+    return (apart + np.abs(ns - n) + 1) // 2
+
+
 def _sketched(rows: DataFrame, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for slab in by_slabs(batches, "text"):
-            keys, counts, lists, cuts = [], [], [], []
+            keys, counts, lists, bins = [], [], [], []
             for text in slab.column("text").to_pylist():
                 words, key = word_hashes(text, known)
                 keys.append(key)
                 counts.append(len(words))
-                lists.append(sketches(words))
-                cuts.append(segments(words, share))
-            yield pa.RecordBatch.from_arrays([slab.column("id"), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64()))], ["id", "key", "n", "sketches", "segments"])
+                lists.append(np.concatenate((sketches(words), segments(words, share))) if len(words) <= SHORT else sketches(words))
+                bins.append(word_counts(words))
+            yield pa.RecordBatch.from_arrays([slab.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "n", "bins", "buckets"])
 
-    return rows.mapInArrow(run, "id long, key string, n long, sketches array<long>, segments array<long>")
+    return rows.mapInArrow(run, "id long, key binary, n long, bins binary, buckets array<long>")
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -167,55 +186,133 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, words array<int>")
 
 
-def cannot_link(x: np.ndarray, y: np.ndarray, budget: int) -> bool:
-    """Whether too few pairs of adjacent words are shared: an edit breaks two of the longer text's at most."""
-    if len(x) < len(y):
-        x, y = y, x
-    if len(y) < 2:
-        return False
-    pairs = [(t[:-1].astype(np.int64) << 32) ^ t[1:] for t in (x, y)]
-    return int(np.isin(pairs[0], pairs[1]).sum()) < len(x) - 1 - 2 * budget
+def _counted(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS)
 
 
-def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
-    """``a``, ``b``, ``edits`` (null beyond the pair's ``cap``) and ``near``: whether they are at most ``share`` of the longer text's words.
+def _promising(pairs: DataFrame, share: float) -> DataFrame:
+    """Those of ``a``, ``b``, ``a_n``, ``b_n``, ``a_bins``, ``b_bins`` that their word counts don't keep apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, x_n, y_n = _counted(batch.column("a_bins")), _counted(batch.column("b_bins")), batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy()
+            near = least_edits(x, x_n, y, y_n) <= np.floor(share * np.maximum(x_n, y_n) + 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.select("a", "b", "a_n", "b_n", "a_bins", "b_bins").mapInArrow(run, "a long, b long")
 
-    A null cap stands for that share.
-    """
+
+def unshared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words of the longer text the other one lacks; an edit mends one of them at most."""
+    _, which = np.unique(np.concatenate((x, y)), return_inverse=True)
+    bins = int(which.max(initial=0)) + 1
+    shared = np.minimum(np.bincount(which[: len(x)], minlength=bins), np.bincount(which[len(x) :], minlength=bins)).sum()
+    return max(len(x), len(y)) - int(shared)
+
+
+def _verified(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """``a``, ``b`` and ``near``: whether the edits are at most ``share`` of the longer text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, caps, found, near = batch.column("x"), batch.column("y"), batch.column("cap").to_pylist(), [], []
+            left, right, near = batch.column("x"), batch.column("y"), []
             for row in range(batch.num_rows):
                 x, y = np.asarray(left[row].values), np.asarray(right[row].values)
                 budget = int(share * max(len(x), len(y)) + 1e-9)
-                cap = budget if caps[row] is None else min(caps[row], max(len(x), len(y)))
-                edits = None if cannot_link(x, y, cap) else banded_distance(x, y, cap)
-                found.append(edits)
-                near.append(edits is not None and edits <= budget)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int32()), pa.array(near, pa.bool_())], ["a", "b", "edits", "near"])
-
-    texts = words.groupBy("id").agg(F.first("words").alias("words"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    cap = F.col("cap") if "cap" in pairs.columns else F.lit(None)
-    return written(both.select("a", "b", cap.cast("int").alias("cap"), "x", "y").mapInArrow(run, "a long, b long, edits int, near boolean"), "aligned")
-
+                least = unshared(x, y)
+                near.append(least <= budget and banded_distance(x, y, budget, least) is not None)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal keys; the rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.concat_batches(held)
+        new = np.zeros(rows.num_rows - 1, dtype=bool)
+        for key in keys:
+            values = rows.column(key).to_numpy()
+            new |= values[1:] != values[:-1]
+        at = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for first, end in zip(at, at[1:], strict=False):
+            yield rows.slice(first, end - first)
+        held = [rows.slice(at[-1])]
+    if held:
+        yield held[0]
+
+
+def _met(rows: DataFrame, share: float, best_only: bool) -> DataFrame:
+    """Pairs ``a`` < ``b`` of different labels that word counts don't keep apart, of each ``bucket`` and block.
+
+    With ``best_only`` each row of a block gives its most promising partner among the block's columns.
+    """
 
-def relabelled(label: DataFrame, links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            label, main = group.column("label").to_numpy(), group.column("main").to_numpy()
+            if (label == label[0]).all():
+                continue
+            role, ids, n, bins = group.column("role").to_numpy(), group.column("id").to_numpy(), group.column("n").to_numpy(), _counted(group.column("bins"))
+            right = role != ROW
+            r_ids, r_n, r_label, r_bins, r_main = ids[right], n[right], label[right], bins[right], label[right] == main[right]
+            a, b = [ids[:0]], [ids[:0]]
+            for i in np.flatnonzero(role != COLUMN):
+                bound = least_edits(bins[i], n[i], r_bins, r_n)
+                ok = (bound <= np.floor(share * np.maximum(r_n, n[i]) + 1e-9)) & (r_label != label[i])
+                if best_only:
+                    other = r_ids[[np.where(ok, bound, np.iinfo(np.int64).max).argmin()]] if ok.any() else r_ids[:0]
+                else:
+                    other = r_ids[ok & (r_main | (r_ids > ids[i]))]  # two outside the largest class meet both ways round
+                a.append(np.minimum(other, ids[i]))
+                b.append(np.maximum(other, ids[i]))
+            if any(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
+
+    keys = ["bucket", "row_block", "column_block"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "role", "id", "n", "label", "main", "bins").mapInArrow(run, "a long, b long").distinct()
+
+
+def _open(members: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, dealt to blocks.
+
+    The members outside a bucket's largest class are its rows, all its members are its columns; a row block
+    and a column block meet in one group of some BLOCK rows each, however large the bucket is. A member comes
+    once to each group that it belongs to.
+    """
+    marked = members.select("bucket", "id").join(label.select(F.col("node").alias("id"), "component"), "id", "left")
+    marked = marked.select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    sizes = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("total")).where("total > most")
+    is_row = F.col("label") != F.col("main")
+    row_blocks, column_blocks = F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("total") / BLOCK).cast("int")
+    own_row, own_column = F.pmod(F.xxhash64("id"), row_blocks).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), column_blocks).cast("int")
+    as_column = F.transform(F.sequence(F.lit(0), row_blocks - 1), lambda k: F.struct(k.alias("row_block"), own_column.alias("column_block"), F.when(is_row & (k == own_row), BOTH).otherwise(COLUMN).alias("role")))
+    as_row = F.transform(F.sequence(F.lit(0), column_blocks - 1), lambda k: F.struct(own_row.alias("row_block"), k.alias("column_block"), F.lit(ROW).alias("role")))
+    as_row = F.filter(as_row, lambda x: x["column_block"] != own_column)
+    placed = marked.join(sizes, "bucket").join(nodes, "id")
+    block = F.explode(F.when(is_row, F.concat(as_column, as_row)).otherwise(as_column)).alias("block")
+    return placed.select("bucket", "id", "n", "label", "main", "bins", block).select("bucket", "id", "n", "label", "main", "bins", "block.*")
+
+
+def relabelled(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``label`` (node, component) after further links: only classes that a link joins are looked at."""
     ends = links.where("near").select("a", "b")
     for end in ("a", "b"):
         ends = ends.join(label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end, "left").withColumn(f"{end}_class", F.coalesce(f"{end}_class", end))
-    joins = written(ends.where("a_class <> b_class").select("a_class", "b_class").distinct(), "joins")
+    joins = scratch.written(ends.where("a_class <> b_class").select("a_class", "b_class").distinct(), "joins")
     if joins.isEmpty():
         return label
-    merged = written(components(joins, "a_class", "b_class").select(F.col("node").alias("component"), F.col("component").alias("to")), "merged")
+    merged = scratch.written(components(joins, "a_class", "b_class").select(F.col("node").alias("component"), F.col("component").alias("to")), "merged")
     nodes = label.union(merged.select("component", "component")).distinct()  # a class of one document had no row so far
-    return written(nodes.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
-
-
-def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
-    return rows.where(F.col(one) != F.col(other)).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+    return scratch.written(nodes.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -223,93 +320,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``copy_of`` is the least id of the documents with the same words, ``class_id`` the least id that
     links reach, ``kept`` whether the id is that one. A null text counts as empty; texts without words
-    are copies of each other only if they are equal, and link with nothing else. Texts of fewer than four words have
-    one k-mer, the whole text. Rows that share an id count as one document. Rows without id get null classes
-    and are kept. Ids must be whole numbers.
+    are copies of each other only if they are equal, and link with nothing else. Texts of fewer than five words have
+    one k-mer, the whole text. Very long texts are sketched and aligned whole. Rows that share an id count as one
+    document. Rows without id get null classes and are kept. An empty table gives no rows. Further columns don't
+    matter. Ids must be whole numbers.
     """
     if not 0 < similarity < 1:
         raise ValueError("the similarity must lie between 0 and 1")
+    budget, scratch = 1 - similarity, Scratch()
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), filled(F.col("text")).alias("text"))
-    sketched = written(_sketched(rows.where(F.col("id").isNotNull()), 1 - similarity), "sketches")
-    distinct = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("segments").alias("segments"))
-    buckets = distinct.select(F.col("rep").alias("id"), "n", F.posexplode("sketches").alias("j", "s")).select(F.xxhash64("j", "s").alias("bucket"), "id", "n")
-    buckets = buckets.union(distinct.select(F.explode("segments").alias("bucket"), F.col("rep").alias("id"), "n")).distinct()
-    hub = F.min(F.struct(F.xxhash64("id").alias("rank"), F.col("id"))).alias("hub")
-    shared = buckets.groupBy("bucket").agg(hub, F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    members = written(buckets.join(shared.select("bucket", "hub"), "bucket"), "members")
-
-    texts = rows.join(members.select("id").distinct(), "id", "left_semi")
-    words = written(_words(texts), "words")
-
-    budget = 1 - similarity
-    # each member and the first hub it has
-    first = members.where(F.col("hub.id") != F.col("id")).groupBy("id").agg(F.min("hub").alias("hub")).select("id", F.col("hub.id").alias("to"))
-    known = _verified(_pairs(first, "id", "to"), words, budget)
-    label = written(components(known.where("near").select("a", "b")), "labels")
-
-    def with_label(rows: DataFrame, node: str, name: str) -> DataFrame:
-        return rows.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-
-    def mixed(state: DataFrame) -> DataFrame:
-        """Only the buckets that still hold members of different classes."""
-        marked = with_label(state, "id", "label")
-        open_ = marked.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        return written(marked.join(open_, "bucket", "left_semi").select("bucket", "id", "n", "label"), "open")
-
-    # linked texts have lengths within a factor of the similarity: they share a band of lengths or are in adjacent ones
-    band = F.floor(F.log("n") / math.log(1 / similarity)).cast("int")
-    banded = mixed(members.select("bucket", "id", "n")).select(F.explode(F.array(band, band + 1)).alias("band"), "bucket", "id", "n")
-    state, hubs = mixed(banded.select(F.xxhash64("bucket", "band").alias("bucket"), "id", "n")), 1
-    while not state.isEmpty():
-        slot = F.pmod(F.xxhash64("id", F.lit(hubs)), F.lit(hubs))
-        chosen = state.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id").alias("rank"), F.col("id"), F.col("n"))).alias("hub"))
-        chosen = chosen.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-        met = state.join(chosen, "bucket").where(F.col("id") != F.col("hub"))
-        met = met.withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub"))
-        longest = F.greatest("n", "hub_n")
-        apart = F.abs(F.col("n") - F.col("hub_n"))
-        fresh = met.where(apart <= budget * longest + 1e-9).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh_links = _verified(fresh, words, budget)
-        known = known.union(fresh_links)
-        judged = written(met.join(known, ["a", "b"], "left").select("bucket", "id", "n", "label", "hub", "hub_n", "a", "b", "edits", F.coalesce("near", F.lit(False)).alias("near")), "judged")
-        # A member y that is not linked to a hub may still be linked to an x that is: then, by the triangle
-        # inequality, y is within edits(hub, x) + edits(x, y) of the hub. Such members are compared with such x.
-        linked = judged.where("near").select("bucket", "hub", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"), F.col("edits").alias("x_edits"))
-        reach = linked.groupBy("bucket", "hub").agg(F.min("x_label").alias("low"), F.max("x_label").alias("high"), F.max("x_edits").alias("radius"))
-        others = judged.where(~F.col("near")).select("bucket", "hub", "hub_n", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), "a", "b")
-        others = others.join(reach, ["bucket", "hub"]).where("low <> high or low <> y_label")
-        cap = F.floor(F.col("radius") + budget * F.greatest(F.col("hub_n") + F.col("radius"), F.col("y_n")))
-        others = others.withColumn("cap", cap).where(F.abs(F.col("y_n") - F.col("hub_n")) <= F.col("cap"))
-        placed = _verified(others.groupBy("a", "b").agg(F.max("cap").alias("cap")), words, budget).where("edits is not null").select("a", "b", F.col("edits").alias("y_edits"))
-        others = others.select("hub", "y", "y_n", "y_label", "a", "b").distinct().join(placed, ["a", "b"]).drop("a", "b")
-        others = written(others, "placed")
-        found = fresh_links
-        if not others.isEmpty():
-            spokes = written(linked.select("hub", "x", "x_n", "x_edits").distinct(), "spokes")
-
-            def still_open(part: DataFrame) -> DataFrame:
-                met = with_label(others.drop("y_label"), "y", "y_label").join(with_label(part, "x", "x_label"), "hub")
-                allowed = budget * F.greatest("x_n", "y_n") + 1e-9
-                met = met.where((F.col("x_label") != F.col("y_label")) & (F.col("y_edits") - F.col("x_edits") <= allowed) & (F.abs(F.col("x_n") - F.col("y_n")) <= allowed))
-                return _pairs(met, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti")
-
-            # a class takes in a member by any one link: where there are many pairs, a few of the hub's spokes are tried first
-            if still_open(spokes).count() > MANY_PAIRS:
-                label = relabelled(label, found)
-                for share in (256, 16):
-                    found = _verified(still_open(spokes.where(F.pmod(F.xxhash64("x"), F.lit(256)) < 256 // share)), words, budget)
-                    known, label = known.union(found), relabelled(label, found)
-            found = _verified(still_open(spokes), words, budget).union(found)
-            known = known.union(found.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        label = relabelled(label, found)
-        gone = linked.select("bucket", F.col("x").alias("id")).union(chosen.select("bucket", F.col("hub").alias("id"))).distinct()
-        state = mixed(state.select("bucket", "id", "n").join(gone, ["bucket", "id"], "left_anti"))
-        hubs *= MORE_HUBS
-
-    classes = distinct.select("key", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    sketched = scratch.written(_sketched(rows.where(F.col("id").isNotNull()), budget), "sketches")
+    # texts with the same words count once
+    distinct = scratch.written(sketched.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("buckets").alias("buckets")), "distinct")
+    buckets = distinct.select(F.explode("buckets").alias("bucket"), "id")
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
+    members = scratch.written(buckets.join(shared, "bucket").where("id <> hub"), "members")  # all but the hubs
+    met = members.select("id").union(members.select("hub")).distinct()
+    nodes = scratch.written(distinct.select("id", "n", "bins").join(met, "id", "left_semi"), "nodes")
+
+    def with_counts(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(nodes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("bins").alias(f"{end}_bins")), end)
+        return pairs
+
+    to_hubs = scratch.written(_promising(with_counts(members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), budget), "pairs")
+    # one row of each id has the words; rows that share an id can't both stand for it
+    texts = rows.join(nodes.select("id"), "id", "left_semi")
+    words = scratch.written(_words(texts).groupBy("id").agg(F.min("words").alias("words")), "words")
+    known = scratch.written(_verified(to_hubs, words, budget), "aligned")
+    label = scratch.written(components(known.where("near").select("a", "b")), "labels")
+    for best_only in (True, False):
+        open_ = _open(members, nodes, label)
+        pairs = scratch.written(_met(open_, budget, best_only).join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        found = scratch.written(_verified(pairs, words, budget), "aligned")
+        label = relabelled(label, found, scratch)
+        known = known.union(found)
+
+    classes = sketched.groupBy("key").agg(F.min("id").alias("rep")).join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = classes.select("key", "rep", F.coalesce("component", "rep").alias("class_id"))
     # rows that share an id count as one document
     told = sketched.select("id", "key").join(classes, "key").groupBy("id").agg(F.min("rep").alias("copy_of"), F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("times"))
+    told = written(told, "classes")
+    scratch.drop()
     told = told.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("id", "copy_of", "class_id")
     nameless = rows.where(F.col("id").isNull()).select("id", F.lit(None).cast("long").alias("copy_of"), F.lit(None).cast("long").alias("class_id"))
     out = told.union(nameless)
@@ -317,9 +369,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: that of the least id. Of rows that share its id the one of
-    the least text stays. Rows without id stay."""
-    kept = near_duplicates(docs, id_col, text_col, similarity).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    one = rows.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce(F.col(text_col), F.lit(""))).alias("__row"))
-    return one.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one document of each class: that of the least id. All columns stay.
+
+    Of rows that share its id the one of the least text stays (a null text counts as empty). Rows without id
+    stay. An empty table gives no rows; texts without words are copies only of equal texts.
+    """
+    key, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    kept = near_duplicates(docs, id_col, text_col, similarity).where(F.col("kept")).select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    kept = kept.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("id"), text.alias("text"))
+    single = rows.join(kept.where("times = 1").select("id"), "id", "left_semi").select("row")
+    several = kept.where("times > 1").select("id")
+    if several.isEmpty():  # else the few repeated ids are settled by their texts
+        chosen = single
+    else:
+        chosen = single.union(rows.join(several, "id", "left_semi").groupBy("id").agg(F.min_by("row", "text").alias("row")).select("row"))
+    chosen = chosen.union(rows.where("id is null").select("row"))
+    return chosen.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
