@@ -38,7 +38,7 @@ K, ELL, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
 #: Pairs whose longer text has at most so many words meet by segments too.
 SHORT = 50
 #: Members of a bucket that are compared with as many others at a time.
-BLOCK = 1024
+BLOCK = 4096
 #: What a member is to a block.
 COLUMN, ROW, BOTH = 1, 2, 3
 #: Entries of the vector of word counts.
@@ -164,16 +164,29 @@ def _sketched(rows: DataFrame, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for slab in by_slabs(batches, "text"):
-            keys, counts, lists, bins = [], [], [], []
+            keys, counts, bins, signs, cuts = [], [], [], [], []
             for text in slab.column("text").to_pylist():
                 words, key = word_hashes(text, known)
                 keys.append(key)
                 counts.append(len(words))
-                lists.append(np.concatenate((sketches(words), segments(words, share))) if len(words) <= SHORT else sketches(words))
                 bins.append(word_counts(words))
-            yield pa.RecordBatch.from_arrays([slab.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "n", "bins", "buckets"])
+                signs.append(sketches(words).tobytes())
+                cuts.append(segments(words, share).tobytes() if len(words) <= SHORT else b"")
+            yield pa.RecordBatch.from_arrays([slab.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(signs, pa.binary()), pa.array(cuts, pa.binary())], ["id", "key", "n", "bins", "signs", "cuts"])
 
-    return rows.mapInArrow(run, "id long, key binary, n long, bins binary, buckets array<long>")
+    return rows.mapInArrow(run, "id long, key binary, n long, bins binary, signs binary, cuts binary")
+
+
+def _in_buckets(texts: DataFrame) -> DataFrame:
+    """``bucket`` and ``id`` for each sketch and segment of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [a + b for a, b in zip(batch.column("signs").to_pylist(), batch.column("cuts").to_pylist(), strict=True)]
+            each = np.fromiter((len(x) // 8 for x in lists), dtype=np.int64, count=len(lists))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(lists), dtype=np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), each))], ["bucket", "id"])
+
+    return texts.select("id", "signs", "cuts").mapInArrow(run, "bucket long, id long")
 
 
 def _words(rows: DataFrame) -> DataFrame:
@@ -250,9 +263,10 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 
 
 def _met(rows: DataFrame, share: float, best_only: bool) -> DataFrame:
-    """Pairs ``a`` < ``b`` of different labels that word counts don't keep apart, of each ``bucket`` and block.
+    """Pairs ``a`` < ``b`` of different labels that word counts don't keep apart, of each block of each ``bucket``.
 
-    With ``best_only`` each row of a block gives its most promising partner among the block's columns.
+    With ``best_only`` each row of a block gives its most promising partner among the block's columns; ``more``
+    tells whether it had others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,24 +274,33 @@ def _met(rows: DataFrame, share: float, best_only: bool) -> DataFrame:
             label, main = group.column("label").to_numpy(), group.column("main").to_numpy()
             if (label == label[0]).all():
                 continue
-            role, ids, n, bins = group.column("role").to_numpy(), group.column("id").to_numpy(), group.column("n").to_numpy(), _counted(group.column("bins"))
+            role, ids, n, bins, bucket = group.column("role").to_numpy(), group.column("id").to_numpy(), group.column("n").to_numpy(), _counted(group.column("bins")), group.column("bucket")[0].as_py()
+            signs = np.frombuffer(b"".join(group.column("signs").to_pylist()), dtype=np.int64).reshape(-1, SKETCHES)
             right = role != ROW
-            r_ids, r_n, r_label, r_bins, r_main = ids[right], n[right], label[right], bins[right], label[right] == main[right]
-            a, b = [ids[:0]], [ids[:0]]
+            r_ids, r_n, r_label, r_bins, r_main, r_signs = ids[right], n[right], label[right], bins[right], label[right] == main[right], signs[right]
+            a, b, more = [], [], []
             for i in np.flatnonzero(role != COLUMN):
-                bound = least_edits(bins[i], n[i], r_bins, r_n)
-                ok = (bound <= np.floor(share * np.maximum(r_n, n[i]) + 1e-9)) & (r_label != label[i])
-                if best_only:
-                    other = r_ids[[np.where(ok, bound, np.iinfo(np.int64).max).argmin()]] if ok.any() else r_ids[:0]
+                at = np.flatnonzero((r_label != label[i]) & (np.abs(r_n - n[i]) <= np.floor(share * np.maximum(r_n, n[i]) + 1e-9)))
+                bound = least_edits(bins[i], n[i], r_bins[at], r_n[at])
+                near = bound <= np.floor(share * np.maximum(r_n[at], n[i]) + 1e-9)
+                at, bound = at[near], bound[near]
+                common = r_signs[at] == signs[i]  # texts that share several sketches meet in the bucket of the first
+                here = ~common.any(axis=1) | (signs[i][common.argmax(axis=1)] == bucket)
+                if not best_only:
+                    here &= r_main[at] | (r_ids[at] > ids[i])  # two outside the largest class meet both ways round
+                at, bound = at[here], bound[here]
+                if best_only and len(at) > 1:
+                    at = at[[bound.argmin()]]
+                    more.append(True)
                 else:
-                    other = r_ids[ok & (r_main | (r_ids > ids[i]))]  # two outside the largest class meet both ways round
-                a.append(np.minimum(other, ids[i]))
-                b.append(np.maximum(other, ids[i]))
-            if any(map(len, a)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], ["a", "b"])
+                    more.extend([False] * len(at))
+                a.extend(np.minimum(r_ids[at], ids[i]).tolist())
+                b.extend(np.maximum(r_ids[at], ids[i]).tolist())
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([bucket] * len(a), pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "bucket", "more"])
 
     keys = ["bucket", "row_block", "column_block"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "role", "id", "n", "label", "main", "bins").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "role", "id", "n", "label", "main", "bins", "signs").mapInArrow(run, "a long, b long, bucket long, more boolean")
 
 
 def _open(members: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
@@ -299,7 +322,9 @@ def _open(members: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
     as_row = F.filter(as_row, lambda x: x["column_block"] != own_column)
     placed = marked.join(sizes, "bucket").join(nodes, "id")
     block = F.explode(F.when(is_row, F.concat(as_column, as_row)).otherwise(as_column)).alias("block")
-    return placed.select("bucket", "id", "n", "label", "main", "bins", block).select("bucket", "id", "n", "label", "main", "bins", "block.*")
+    several = placed.where(F.col("total") > BLOCK).select("bucket", "id", "n", "label", "main", "bins", "signs", block).select("bucket", "id", "n", "label", "main", "bins", "signs", "block.*")
+    single = placed.where(F.col("total") <= BLOCK).select("bucket", "id", "n", "label", "main", "bins", "signs", F.lit(0).alias("row_block"), F.lit(0).alias("column_block"), F.when(is_row, BOTH).otherwise(COLUMN).alias("role"))
+    return single.union(several)
 
 
 def relabelled(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -331,12 +356,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), filled(F.col("text")).alias("text"))
     sketched = scratch.written(_sketched(rows.where(F.col("id").isNotNull()), budget), "sketches")
     # texts with the same words count once
-    distinct = scratch.written(sketched.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("buckets").alias("buckets")), "distinct")
-    buckets = distinct.select(F.explode("buckets").alias("bucket"), "id")
+    distinct = scratch.written(sketched.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("signs").alias("signs"), F.first("cuts").alias("cuts")), "distinct")
+    buckets = _in_buckets(distinct)
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
     members = scratch.written(buckets.join(shared, "bucket").where("id <> hub"), "members")  # all but the hubs
     met = members.select("id").union(members.select("hub")).distinct()
-    nodes = scratch.written(distinct.select("id", "n", "bins").join(met, "id", "left_semi"), "nodes")
+    nodes = scratch.written(distinct.select("id", "n", "bins", "signs").join(met, "id", "left_semi"), "nodes")
 
     def with_counts(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
@@ -350,11 +375,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = scratch.written(_verified(to_hubs, words, budget), "aligned")
     label = scratch.written(components(known.where("near").select("a", "b")), "labels")
     for best_only in (True, False):
-        open_ = _open(members, nodes, label)
-        pairs = scratch.written(_met(open_, budget, best_only).join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        tried = scratch.written(_met(_open(members, nodes, label), budget, best_only), "tried")
+        pairs = tried.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = scratch.written(_verified(pairs, words, budget), "aligned")
         label = relabelled(label, found, scratch)
         known = known.union(found)
+        members = members.join(tried.where("more").select("bucket").distinct(), "bucket", "left_semi")
 
     classes = sketched.groupBy("key").agg(F.min("id").alias("rep")).join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = classes.select("key", "rep", F.coalesce("component", "rep").alias("class_id"))
