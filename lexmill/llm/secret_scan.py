@@ -1,18 +1,17 @@
 """Secrets in documents: a wide candidate pattern, and a random forest that removes false findings.
 
-Everything runs on built-in functions. Texts with a candidate are marked up and split at the marks,
-so that each candidate comes with its place and neighbouring text. The forest judges length, character
-make-up and transitions, dictionary coverage, likeness to a path and the neighbouring words.
+Everything runs on built-in functions. One pass of the pattern lists a text's candidates; only a text that
+has some is split at them, so that each comes with its neighbouring text. The forest judges length, character
+make-up and transitions, dictionary coverage, likeness to a path and the neighbouring words; it is evaluated as
+one SQL expression over the candidates of a row, so that rows are neither multiplied nor shuffled nor joined.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +52,14 @@ BEFORE, AFTER = 40, 20
 #: Labelled findings that the forest learns from.
 FINDINGS = 4000
 TREES, DEPTH, SEED = 20, 7, 8
-OPEN, CLOSE = "\u0001", "\u0002"
 
 
 def _share(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
 
 
-def feature_columns() -> dict[str, Column]:
-    """The forest's inputs from ``candidate``, ``before`` and ``after``; all of fixed size."""
-    c, before, after = F.col("candidate"), F.col("before"), F.col("after")
+def feature_columns(c: Column, before: Column, after: Column) -> dict[str, Column]:
+    """The forest's inputs from a candidate and the text before and after it."""
     n = F.greatest(F.length(c), F.lit(1))
     words = F.array_join(F.regexp_extract_all(F.lower(c), F.lit("(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"), 1), "")
     beside = F.concat(before, F.lit(" "), after)
@@ -143,94 +140,86 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     )
 
 
-def train(findings: DataFrame) -> PipelineModel:
+def train(findings: DataFrame) -> RandomForestClassificationModel:
     """A forest over ``before``, ``candidate``, ``after`` and ``label`` (1 secret, 0 none) of a bounded table of findings."""
-    features = feature_columns()
-    rows = findings.select(*(v.alias(k) for k, v in features.items()), F.col("label").cast("double").alias("label")).na.fill(0.0)
-    return Pipeline(
-        stages=[VectorAssembler(inputCols=list(features), outputCol="features"), RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird")]
-    ).fit(rows)
+    features = feature_columns(F.col("candidate"), F.col("before"), F.col("after"))
+    rows = findings.select(*(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in features.items()), F.col("label").cast("double").alias("label"))
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(rows)
+
+
+def as_sql(model: RandomForestClassificationModel, features: str) -> str:
+    """The forest's probability of a secret as SQL over an array of features: the mean of the trees' leaf shares."""
+
+    def told(node) -> str:  # noqa: ANN001  (a node of Spark's tree)
+        if node.subtreeDepth() == 0:
+            stats = list(node.impurityStats().stats())
+            return f"{stats[1] / sum(stats)!r}D"
+        split = node.split()
+        return f"CASE WHEN {features}[{split.featureIndex()}] <= {split.threshold()!r}D THEN {told(node.leftChild())} ELSE {told(node.rightChild())} END"
+
+    trees = [told(tree._java_obj.rootNode()) for tree in model.trees]
+    return f"({' + '.join(trees)}) / {len(trees)}"
 
 
 @lru_cache(maxsize=1)
-def _default(session: SparkSession) -> PipelineModel:
+def _default(session: SparkSession) -> RandomForestClassificationModel:
     return train(labelled_findings(session))
 
 
-def default_model(spark: SparkSession) -> PipelineModel:
+def default_model(spark: SparkSession) -> RandomForestClassificationModel:
     """The forest of the built-in labelled findings; fitted once in a session."""
     return _default(spark)
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """``id``, ``first`` (0-based character), ``candidate``, ``before`` and ``after`` for each candidate of ``id`` and ``text``."""
-    with_any = rows.where(F.col("text").rlike(CANDIDATE)).withColumn("text", F.translate("text", OPEN + CLOSE, "  "))
-    pieces = F.split(F.regexp_replace("text", "(" + CANDIDATE + ")", OPEN + "$1" + CLOSE), OPEN, -1)
-    split = with_any.select("id", pieces.alias("pieces"))
-    # each piece but the first: the candidate, the closing mark, and the text up to the next candidate
-    starts = F.aggregate("pieces", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(
-        F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + F.length(F.translate(x, CLOSE, "")))))
-    each = split.withColumn("starts", starts).select("id", "pieces", "starts", F.posexplode("pieces").alias("k", "piece")).where("k > 0")
-    earlier = F.translate(F.element_at("pieces", F.col("k")), CLOSE, "")
-    return each.select(
-        "id",
-        F.element_at("starts", F.col("k")).alias("first"),
-        F.substring_index("piece", CLOSE, 1).alias("candidate"),
-        F.right(earlier, F.lit(BEFORE)).alias("before"),
-        F.left(F.substring_index("piece", CLOSE, -1), F.lit(AFTER)).alias("after"),
-    )
+def judged(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    """``rows`` (``row``, ``text``) with the arrays ``found`` (candidate, before, after), ``features`` and ``probability``, one
+    entry for each candidate, and ``parts``, the text between candidates. Null where a text has none."""
+    out = rows.withColumn("candidates", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
+    out = out.withColumn("parts", F.when(F.size("candidates") > 0, F.split("text", CANDIDATE, -1)))
+    earlier = lambda k: F.concat(F.when(k > 0, F.get("candidates", k - 1)).otherwise(""), F.get("parts", k))
+    found = F.transform("candidates", lambda c, k: F.struct(c.alias("candidate"), F.right(earlier(k), F.lit(BEFORE)).alias("before"), F.left(F.get("parts", k + 1), F.lit(AFTER)).alias("after")))
+    out = out.withColumn("found", F.when(F.col("parts").isNotNull(), found))
+    features = lambda x: feature_columns(x["candidate"], x["before"], x["after"]).values()
+    out = out.withColumn("features", F.transform("found", lambda x: F.array(*(F.coalesce(v, F.lit(0.0)).cast("double") for v in features(x)))))
+    return out.withColumn("probability", F.expr(f"transform(features, f -> {as_sql(model, 'f')})"))
 
 
-def scan(docs: DataFrame, model: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per secret: id, ``first``, ``end``, ``kind``, ``secret_sha256``, ``probability``.
+def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """One row per secret: id, ``first`` (0-based character), ``end``, ``kind``, ``secret_sha256``, ``probability``.
 
     Null and empty texts have none. Repeated rows are scanned as often as they come, null ids are
-    kept, texts are scanned whole. Needs no shuffle.
+    kept, texts are scanned whole. A probability equal to the threshold counts. Needs no shuffle.
     """
-    rows = only(docs, id=id_col, text=text_col).withColumn("text", filled(F.col("text")))
-    return judged(candidates(rows), model or default_model(docs.sparkSession)).where(F.col("probability") >= threshold).select(
-        F.col("id").alias(id_col),
-        "first",
-        (F.col("first") + F.length("candidate")).alias("end"),
-        F.when(F.col("known_prefix") == 1, "service key").when(F.col("secret_word_next") == 1, "assigned value").otherwise("other").alias("kind"),
-        F.sha2("candidate", 256).alias("secret_sha256"),
-        "probability",
+    rows = only(docs, row=id_col, text=text_col).withColumn("text", filled(F.col("text")))
+    names = list(feature_columns(F.lit(""), F.lit(""), F.lit("")))
+    has = lambda p, name: F.get(p["features"], F.lit(names.index(name))) == 1
+    seen = judged(rows, model or default_model(docs.sparkSession)).where(F.col("parts").isNotNull())
+    # where each candidate starts: the lengths of all that stands before it
+    starts = F.aggregate("parts", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(
+        F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + F.length(x)
+        + F.coalesce(F.length(F.get("candidates", F.size(acc) - 1)), F.lit(0)))))
+    seen = seen.withColumn("starts", starts).withColumn("p", F.explode(F.arrays_zip("found", "features", "probability", F.slice("starts", F.lit(1), F.size("found")).alias("first"))))
+    p = F.col("p")
+    return seen.where(p["probability"] >= threshold).select(
+        F.col("row").alias(id_col),
+        p["first"].alias("first"),
+        (p["first"] + F.length(p["found"]["candidate"])).alias("end"),
+        F.when(has(p, "known_prefix"), "service key").when(has(p, "secret_word_next"), "assigned value").otherwise("other").alias("kind"),
+        F.sha2(p["found"]["candidate"], 256).alias("secret_sha256"),
+        p["probability"].alias("probability"),
     )
 
 
-def judged(found: DataFrame, model: PipelineModel) -> DataFrame:
-    """The candidates with their features and the forest's ``probability`` of a secret."""
-    features = feature_columns()
-    seen = found.select("*", *(v.alias(k) for k, v in features.items())).na.fill(0.0, list(features))
-    return model.transform(seen).withColumn("probability", vector_to_array("probability")[1])
-
+def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None, text_col: str = "text", mark: str = "[secret]", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with every secret in ``text_col`` replaced by ``mark``; all columns, rows and other characters stay.
 
-def redact(docs: DataFrame, model: PipelineModel | None = None, text_col: str = "text", mark: str = "[secret]", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by ``mark``; all columns and rows stay.
-
-    Rows without a candidate are passed through. A row with candidates is cut at them, each piece is
-    judged by itself, and the pieces are put together again by a number given to the row, its columns
-    travelling with the first piece only.
+    Null and empty texts stay as they are, an empty table gives no rows, repeated rows are mended alike, texts are
+    read whole whatever their length. Columns of any name and type travel along. Needs no shuffle.
     """
-    marked = docs.withColumn("__pieces", F.split(F.regexp_replace(F.translate(F.col(f"`{text_col}`"), OPEN + CLOSE, "  "), "(" + CANDIDATE + ")", OPEN + "$1" + CLOSE), OPEN, -1))
-    has = F.coalesce(F.col(f"`{text_col}`").rlike(CANDIDATE), F.lit(False))
-    plain = docs.where(~has)
-    values = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    row = F.concat_ws("/", F.xxhash64(*values), F.xxhash64(F.lit(1), *values))  # 128 bits
-    cut = marked.where(has).withColumn("__row", row)
-    pieces = cut.select("__row", "__pieces", F.posexplode("__pieces").alias("k", "piece"))
-    pieces = pieces.select(
-        "__row", "k", "piece",
-        F.when(F.col("k") > 0, F.substring_index("piece", CLOSE, 1)).otherwise("").alias("candidate"),
-        F.when(F.col("k") > 0, F.right(F.translate(F.element_at("__pieces", F.greatest("k", F.lit(1))), CLOSE, ""), F.lit(BEFORE))).otherwise("").alias("before"),
-        F.left(F.substring_index("piece", CLOSE, -1), F.lit(AFTER)).alias("after"),
-    ).distinct()
-    secret = (F.col("k") > 0) & (F.col("probability") >= threshold)
-    bad = judged(pieces, model or default_model(docs.sparkSession)).where(secret).groupBy("__row").agg(F.collect_set("k").alias("__bad"))
-    joined = cut.join(bad, "__row", "left")
-    text = F.array_join(
-        F.transform("__pieces", lambda x, k: F.when(F.array_contains(F.coalesce("__bad", F.array().cast("array<int>")), k), F.concat(F.lit(mark), F.substring_index(x, CLOSE, -1))).otherwise(F.translate(x, CLOSE, ""))),
-        "",
-    )
-    mended = joined.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return plain.unionByName(mended)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    seen = judged(rows, model or default_model(docs.sparkSession))
+    mended = F.transform("candidates", lambda c, k: F.concat(F.when(F.get("probability", k) >= threshold, F.lit(mark)).otherwise(c), F.get("parts", k + 1)))
+    text = F.when(F.col("parts").isNotNull(), F.concat(F.get("parts", F.lit(0)), F.array_join(mended, ""))).otherwise(F.col("text"))
+    seen = seen.select("row", text.alias("text"))
+    return seen.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
