@@ -15,6 +15,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +48,21 @@ NOISE = frozenset(
     " share sharing social related recommended recommendations trending search searchbox skip toc tags hidden"
     " complementary contentinfo dialog".split()
 )
-#: Words that mark the article itself and so outweigh a word of noise beside them.
+#: Words that mark the article itself, and the words of noise that they outweigh: those also said of an article's own parts.
 KEEP = frozenset("article content main story post entry body text".split())
+WEAK = frozenset("header masthead tags toc".split())
+
+#: The elements that a beginning element of the key closes.
+CLOSES = {tag: [t for t, ends in CLOSED_BY.items() if tag in ends] for tag in frozenset().union(*CLOSED_BY.values())}
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+
+
+@lru_cache(maxsize=4096)
+def kinds_of(tag: str) -> tuple[str, ...]:
+    """The tag itself, and what kinds of elements it is one of."""
+    kinds = {"*scope": SCOPE, "*block": BLOCK | {"td", "th"}, "*holder": {"ul", "ol", "dl", "table", "select", "article", "div", "section"}, "*article": {"article", "main"}}
+    return (tag, *(kind for kind, tags in kinds.items() if tag in tags))
+
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -84,27 +98,43 @@ def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
             words.update(w.lower() for w in _WORDS.findall(value))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
-    return bool(words & NOISE) and not (words & KEEP and not words & {"comment", "comments", "sidebar", "footer", "nav", "menu", "ad", "ads"})
+    return bool(words & NOISE) and not (words & KEEP and words & NOISE <= WEAK)
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; broken nesting is mended much as browsers do."""
-    root = Node("html", None, False)
-    at, stack, articles = 0, [root], 0
+class Stack:
+    """The open elements, and of each tag and of some kinds of tags the places where they stand, so that no step walks through the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at = [root], {}
 
-    def pop_to(depth: int) -> None:
-        nonlocal articles
-        while len(stack) > depth:
-            articles -= stack.pop().tag in ("article", "main")
+    def last(self, kind: str) -> int:
+        """The place of the innermost open element of a tag or kind; 0 (the root's) if there is none."""
+        places = self.at.get(kind)
+        return places[-1] if places else 0
 
-    end = len(page)
+    def push(self, node: Node) -> None:
+        for kind in kinds_of(node.tag):
+            self.at.setdefault(kind, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.nodes) > depth:
+            for kind in kinds_of(self.nodes.pop().tag):
+                self.at[kind].pop()
+
+
+def parse(page: str) -> Node:
+    """The tree of a page in linear time; broken nesting is mended much as browsers do."""
+    root = Node("html", None, False)
+    at, stack, end = 0, Stack(root), len(page)
     while at < end:
         m = _TOKEN.search(page, at)
+        top = stack.nodes[-1]
         if not m:
-            stack[-1].children.append(page[at:])
+            top.children.append(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
+            top.children.append(page[at : m.start()])
         at = m.end()
         closing, opening, attributes = m[1], m[2] or m[4], m[3] or m[5] or ""
         if closing:
@@ -112,48 +142,33 @@ def parse(page: str) -> Node:
             if tag in ("html", "body"):
                 continue
             if tag == "br":
-                stack[-1].children.append(" ")
+                top.children.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth].tag in SCOPE and tag not in SCOPE and tag not in BLOCK:
-                    break  # a stray inline end tag
+            depth = stack.last(tag)
+            if depth and (tag in SCOPE or tag in BLOCK or stack.last("*scope") < depth):  # else a stray inline end tag
+                stack.pop_to(depth)
         elif opening:
             tag = opening.lower()
             if tag in ("html", "body"):
                 continue
             if tag in VOID:
-                stack[-1].children.append("\n" if tag == "hr" else " ")
+                top.children.append("\n" if tag == "hr" else " ")
                 continue
-            if tag in P_ENDS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == "p":
-                        pop_to(depth)
-                        break
-                    if stack[depth].tag in BLOCK or stack[depth].tag in ("td", "th"):
-                        break
-            for depth in range(len(stack) - 1, 0, -1):
-                if tag in CLOSED_BY.get(stack[depth].tag, ()):
-                    pop_to(depth)
-                elif stack[depth].tag in ("ul", "ol", "dl", "table", "select", "article", "div", "section"):
+            if tag in P_ENDS and stack.last("p") and stack.last("p") == stack.last("*block"):
+                stack.pop_to(stack.last("p"))
+            while closed := max((stack.last(t) for t in CLOSES.get(tag, ())), default=0):
+                if closed < stack.last("*holder"):
                     break
-            top = stack[-1]
-            node = Node(tag, top, top.dropped or is_noise(tag, attributes, articles > 0))
+                stack.pop_to(closed)
+            top = stack.nodes[-1]
+            node = Node(tag, top, top.dropped or is_noise(tag, attributes, stack.last("*article") > 0))
             top.children.append(node)
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                close = RAW_ENDS[tag].search(page, at)
                 node.children.append(page[at : close.start() if close else end])
                 at = close.end() if close else end
-            elif not attributes.endswith("/"):
-                stack.append(node)
-                articles += tag in ("article", "main")
-            elif tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span"):
-                pass  # an empty element of a foreign vocabulary
-            else:
-                stack.append(node)
-                articles += tag in ("article", "main")
+            elif not attributes.endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "em", "strong", "span"):  # else an empty element of a foreign vocabulary
+                stack.push(node)
     return root
 
 
@@ -188,8 +203,8 @@ def measure(root: Node) -> list[Node]:
         if chars <= 0:
             return 0.0
         t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
-        base = math.log(chars / max(1, chars - link_chars) * link_chars + linked / whole * chars + math.e)
-        return chars / t * math.log(max(chars / lc * t / lt, 1.0) + 1e-9) / base
+        base = math.log(chars / max(1, chars - link_chars) * lc + max(1, linked) / whole * chars + math.e)  # over 1
+        return chars / t * max(0.0, math.log(chars / lc * t / lt)) / math.log(base)
 
     nodes = [n for n in nodes if n.block]
     for node in reversed(nodes):
@@ -265,14 +280,16 @@ def blocks_of(root: Node) -> list[str]:
 
 
 def main_text(page: str) -> str:
-    return "\n".join(blocks_of(parse(page)))
+    """The blocks of the article, two line ends between them."""
+    return "\n\n".join(blocks_of(parse(page)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: id, url, ``text`` and ``n_chars``.
 
     A null or empty page and one without main text give an empty text. Repeated rows and null ids
-    are kept. Every page is read whole, whatever its length or depth. Needs no shuffle.
+    are kept; of parts of equal density sum an ``article`` or ``main`` wins, else the outer one. An empty table gives
+    no rows. Every page is read whole, whatever its length or depth, in time linear in it. Needs no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,7 +202,7 @@ PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "u", "", "t"), (3, "u", "plain &lt; text", "t"), (4, "u", "<div>" * 3000 + "deep", "t")], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
-    assert got[1]["text"] == "Head & more\nFirst paragraph with enough text to matter, really.\nSecond boldx text.\nitem"
+    assert got[1]["text"] == "Head & more\n\nFirst paragraph with enough text to matter, really.\n\nSecond boldx text.\n\nitem"  # the contract: two line ends
     assert got[2]["text"] == got[None]["text"] == "" and got[2]["n_chars"] == 0
     assert got[3]["text"] == "plain < text" and got[4]["text"] == "deep"
     assert html_extract.extract(pages.limit(0)).count() == 0
@@ -211,13 +211,54 @@ def test_html(spark):
 def test_html_density_decides_without_tags():
     story = ["The ferry left the northern harbour before dawn with a load of timber and salted fish on board. " * 2, "Its captain had sailed that coast for thirty years and knew each of the shoals by its colour. " * 2]
     told = "".join(f"<p>{t}</p>" for t in story)
-    want = "\n".join(t.strip() for t in story)
+    want = "\n\n".join(t.strip() for t in story)
     menu = "<div><ul>" + "".join(f'<li><a href="/{k}">Part {k}</a></li>' for k in range(12)) + "</ul><div>All rights reserved.</div></div>"
     assert html_extract.main_text(f'<body><div id="page">{menu}<div>{told}</div></div></body>') == want
     assert html_extract.main_text(f'<body>{menu}<article><a href="/x">Read the other one</a></article><div>{told}</div></body>') == want
     # a second part that reaches the threshold is taken in, in page order
     more = "<div><p>" + story[0] + "</p></div>"
-    assert html_extract.main_text(f"<body><div>{more}{menu}<div>{told}{told}</div></div></body>") == "\n".join([story[0].strip(), want, want])
+    assert html_extract.main_text(f"<body><div>{more}{menu}<div>{told}{told}</div></div></body>") == "\n\n".join([story[0].strip(), want, want])
+
+
+def test_html_reads_deep_inline_nesting_in_linear_time():
+    for page in ("<b>" * 100_000 + "deep", "<i>" * 50_000 + "<td>" + "<b>" * 50_000 + "</i>" * 50_000 + "deep", "<font>" * 50_000 + "<p>" + "deep"):
+        assert html_extract.main_text(page) == "deep"
+
+
+def test_html_noise_beside_words_of_the_article():
+    told = "<p>The ferry left the northern harbour before dawn with a load of timber and salted fish on board.</p>"
+    for name in ("newsletter-content", "cookie-text", "promo-body", "related-post", "sidebar-main", "post-comments"):
+        assert html_extract.main_text(f'<body><div>{told}</div><div class="{name}">{told}</div></body>').count("ferry") == 1
+    assert html_extract.main_text(f'<body><div class="article-header"><h1>The ferry</h1></div><div>{told}</div></body>').count("ferry") == 2
+
+
+def test_html_densities_equal_brute_force():
+    def brute(node, whole, linked):
+        """chars, tags, link chars, link tags and density of a node of a tree of blocks, from the definition."""
+        kids = [c for c in node.children if not isinstance(c, str)]
+        chars = sum(len(re.sub(r"\s+", " ", c).strip()) for c in node.children if isinstance(c, str))
+        counts = [brute(c, whole, linked) for c in kids]
+        chars += sum(c[0] for c in counts)
+        tags = sum(c[1] + 1 for c in counts)
+        link_chars = chars if node.tag == "a" else sum(c[2] for c in counts)
+        link_tags = sum(c[3] + (k.tag == "a") for c, k in zip(counts, kids))
+        t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+        base = math.log(chars / max(1, chars - link_chars) * lc + max(1, linked) / max(1, whole) * chars + math.e) if chars else 0
+        density = chars / t * max(0.0, math.log(chars / lc * t / lt, base)) if chars else 0.0
+        if node.block:
+            assert node.density == pytest.approx(density)
+        return chars, tags, link_chars, link_tags
+
+    r = random.Random(8)
+
+    def page(depth):
+        inside = "".join(page(depth - 1) if depth and r.random() < 0.7 else r.choice(["some words here ", '<a href="/">link text</a>', "<b>bold</b> "]) for _ in range(r.randrange(1, 5)))
+        return f"<div>{inside}</div>"
+
+    for _ in range(50):
+        root = html_extract.parse(page(4))
+        html_extract.measure(root)
+        brute(root, root.chars, root.link_chars)
 
 
 # --- 7 ---
