@@ -24,8 +24,8 @@ from .common import by_slabs, crc_fold, filled, only, written
 
 #: Labelled documents that training reads at most (those of the smallest hash of their id).
 TRAIN_ROWS = 20_000
-#: Units with a log-odds beyond so many standard errors and this size get a score of their own; the most certain first.
-LEAST_Z, LEAST_ODDS, MOST_UNITS = 4.0, 1.0, 20_000
+#: Units with a log-odds beyond so many standard errors and this size get a score of their own. The sample bounds their number.
+LEAST_Z, LEAST_ODDS = 4.0, 1.0
 #: A unit must occur in so many labelled documents.
 LEAST_DOCS = 5
 #: Pseudo-documents of the prior.
@@ -109,13 +109,15 @@ class Model:
     curve: tuple[float, float, float] = (-3.0, 0.0, 0.0)
 
     def scan(self, text: str, words: WordScores) -> tuple[int, list[tuple[int, int, float]], np.ndarray]:
-        parts = []
+        parts, before = [], ""
         for piece in pieces(text.lower()):
             tokens = _WORD.findall(piece)
-            parts.append(np.fromiter(map(words.__getitem__, tokens), dtype=np.float64, count=len(tokens)))
+            part = np.fromiter(map(words.__getitem__, tokens), dtype=np.float64, count=len(tokens))
+            again = [i for i in np.flatnonzero(part > 0).tolist() if tokens[i] == (tokens[i - 1] if i else before)]
+            part[again] = 0.0  # a word said over and over is evidence once
+            before = tokens[-1] if tokens else before
+            parts.append(part)
         scores = parts[0] if len(parts) == 1 else np.concatenate(parts)
-        again = np.flatnonzero((scores[1:] == scores[:-1]) & (scores[1:] > 0)) + 1
-        scores[again] = self.background  # a word said over and over is evidence once
         return len(scores), maximal_segments(scores), scores
 
     def surprisal(self, score: float, n: int) -> float:
@@ -194,8 +196,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .select("unit", (odds[0] - odds[1]).alias("score"), error.alias("error"))
         .withColumn("z", F.abs(F.col("score") / F.col("error")))
         .where((F.col("z") >= LEAST_Z) & (F.abs("score") >= LEAST_ODDS))
-        .orderBy(F.desc("z"), "unit")
-        .limit(MOST_UNITS)
     )
     model = Model({r["unit"]: (r["score"], r["z"]) for r in scored.collect()}, -DRIFT)
 
@@ -275,7 +275,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns. Needs no shuffle."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names. Needs no shuffle.
+
+    A null text counts as empty and, like an empty one, stays unless the curve rejects texts without evidence; repeated rows
+    stay or go together, a score equal to the threshold goes, an empty table gives no rows. Very long texts are read in pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScores(model.table, model.background)

@@ -123,6 +123,38 @@ def test_segments_are_maximal():
         assert sorted(x[:2] for x in toxicity.maximal_segments(s)) == sorted(split(0, len(s)))
 
 
+def test_different_words_of_one_score_both_count_and_a_repeated_one_once():
+    model = toxicity.Model({"vile$": (2.0, 9.0), "rotten$": (2.0, 9.0)}, -0.25)
+    best = lambda text: max(s for _, _, s in model.scan(text, toxicity.WordScores(model.table, model.background))[1])
+    assert best("a vile rotten b") == 4.0 and best("a vile vile vile b") == 2.0
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores from the definitions: all segments by brute force, then surprisal and curve."""
+    texts = [(i, " ".join(words(i, 40, 60) + (["vile", "rotten"] if i % 3 == 0 else []))) for i in range(120)]
+    frame = docs(spark, texts + [(500, ""), (501, None), (502, "vile"), (503, "w1 " * 70_000 + "vile rotten")])
+    model = toxicity.train(frame, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int"))
+
+    def brute(text):
+        tokens = re.findall(r"\w+", text.lower())
+        table = toxicity.WordScores(model.table, model.background)
+        s = [0.0 if table[w] > 0 and i and tokens[i - 1] == w else table[w] for i, w in enumerate(tokens)]
+        found, todo = [], [(0, len(s))]
+        while todo:  # the best segment, then those of what stands before and after it
+            a, b = todo.pop()
+            best = max(((sum(s[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if best[0] > 1e-9:
+                found.append(best[0])
+                todo += [(a, best[1]), (best[2], b)]
+        x = [model.rate * f - math.log(max(model.size * max(len(tokens), 1), 1e-9)) for f in found]
+        a, b, c = model.curve
+        return 1 / (1 + math.exp(-(a + b * math.log1p(max([0, *x])) + c * math.log1p(sum(v for v in x if v >= toxicity.SIGNIFICANT)))))
+
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame, model).collect()}
+    assert all(got[i] == pytest.approx(brute(t or ""), abs=1e-6) for i, t in [*texts[::10], (500, ""), (501, None), (502, "vile")])
+    assert got[503] > 0.0 and toxicity.clean(frame.limit(0), model).count() == 0
+
+
 def test_toxicity(spark):
     bad = ["vile", "rotten", "nasty"]
     texts, labels = [], []
