@@ -48,11 +48,12 @@ def character_map() -> tuple[str, str, dict[str, str]]:
 def normalize(text: Column) -> Column:
     """Case-folded text without combining marks, on built-in functions alone."""
     source, target, several = character_map()
+    is_ascii = F.octet_length(text) == F.length(text)
     chained = text
     for c, image in several.items():
         chained = F.replace(chained, F.lit(c), F.lit(image))
     expanded = F.when(text.rlike("[" + "".join(several) + "]"), chained).otherwise(text)
-    return F.translate(expanded, source, target)
+    return F.when(is_ascii, F.lower(text)).otherwise(F.translate(expanded, source, target))
 
 
 def tokens(normal: Column) -> Column:
@@ -80,7 +81,8 @@ def unescape(text: Column) -> Column:
     def decode(values: pd.Series) -> pd.Series:
         return values.map(html.unescape, na_action="ignore")
 
-    return F.pandas_udf(decode, "string")(text)
+    decoded = F.pandas_udf(decode, "string")(F.when(F.contains(text, F.lit("&")), text))  # texts without a reference stay outside Python
+    return F.coalesce(decoded, text)
 
 
 BLOCK_TAGS = "address|article|blockquote|br|div|h[1-6]|hr|li|ol|p|pre|section|table|td|th|tr|ul"
@@ -189,18 +191,78 @@ def rough_tokens(text: Column) -> Column:
     return F.bround(F.length(text) / 4, 0).cast("long")
 
 
+#: What precedes a key in an error text.
+KEY_PLACES = (r"(?i)(authorization\s*:\s*bearer\s+)[^\s,;]+", r"(?i)(access_token\s*[=:]\s*)[^\s,;&]+", r"(?i)(api[_-]?key\s*[=:]\s*)[^\s,;&]+", r"(?i)(x-goog-api-key\s*[=:]\s*)[^\s,;&]+")
+
+
 def redact_keys(text: Column) -> Column:
-    """Error texts without keys, tokens, and credentials in URLs."""
-    for pattern, image in (
-        (r"(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)\S+", "$1$2[redacted]"),
-        (r"(?i)bearer\s+\S+", "Bearer [redacted]"),
-        (r"AIza[0-9A-Za-z_-]{10,}", "[redacted]"),
-        (r"(https?://)[^/\s:@]+:[^/\s@]+@", "$1[redacted]@"),
-    ):
-        text = F.regexp_replace(text, pattern, image)
+    """Error texts without bearer tokens and keys."""
+    for pattern in KEY_PLACES:
+        text = F.regexp_replace(text, pattern, "$1<redacted>")
+    return text
+
+
+def unquoted(text: Column) -> Column:
+    """A text on one line without the quotes around all of it."""
+    flat = collapse(text)
+    wrapped = flat.rlike("(?s)^([\"']).*\\1$") & (F.length(flat) >= 2)
+    return F.when(wrapped, F.regexp_replace(F.substr(flat, F.lit(2), F.length(flat) - 2), "^ +| +$", "")).otherwise(flat)
+
+
+def place_label(anchor: Column, numbered: Column) -> Column:
+    """An anchor in words; ``numbered``: whether its source has numbered paragraphs instead of sections."""
+    section, chunk = (F.regexp_extract(anchor, r"(?i)^section-(\d+)(?:/chunk-(\d+))?$", k) for k in (1, 2))
+    return (
+        F.when(~numbered & (section != ""), F.concat(F.lit("section "), section, F.when(chunk != "", F.concat(F.lit(", excerpt "), chunk)).otherwise("")))
+        .when(anchor.rlike(r"^\d+$"), F.concat(F.lit("paragraph "), anchor))
+        .otherwise(F.concat(F.lit("source location "), F.regexp_replace(anchor, "[-_]+", " ")))
+    )
+
+
+def without_controls(text: Column) -> Column:
+    """Terminal output without escape sequences, carriage returns and other control characters."""
+    for pattern in (r"(?s)\x1b\].*?(?:\x07|\x1b\\)", r"\x1b\[[0-?]*[ -/]*[@-~]", r"\x1b\([0-2]", r"(?s)\x1b[^\x20-\x7e]", r"\r", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"):
+        text = F.regexp_replace(text, pattern, "")
     return text
 
 
+def tail(text: Column, most: int = 200_000) -> Column:
+    """The end of a long text, with a note that its beginning is left out."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.lit("[Earlier terminal output omitted]\n"), F.right(text, F.lit(most))))
+
+
+def emphasis(text: Column) -> Column:
+    """The bold and italic parts of a line: kind and text, in order; blank ones don't count."""
+    pattern = r"\*\*([^*\n]+?)\*\*|\*([^*\n]+?)\*"
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("bold"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("italic"))
+    parts = F.transform(found, lambda p: F.struct(F.when(p["bold"] != "", "bold").otherwise("italic").alias("kind"), F.when(p["bold"] != "", p["bold"]).otherwise(p["italic"]).alias("text")))
+    return F.filter(parts, lambda p: F.trim(p["text"]) != "")
+
+
+def without_page_marks(text: Column) -> Column:
+    """Page text without page comments and page headings; no blanks at line ends, one empty line at most."""
+    text = F.regexp_replace(text, r"(?i)<!--\s*(?:pdf\s+)?page\s*:\s*\d+\s*-->", "")
+    text = F.regexp_replace(text, r"(?im)^[ \t]*(?:#{1,6}[ \t]+)?(?:pdf[ \t]+)?page(?:[ \t]*:[ \t]*|[ \t]+)\d+[ \t]*#?[ \t]*(?:\n|\z)", "")
+    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+(?=\n|\\z)", "")
+    return F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), f"^{BLANK}+|{BLANK}+$", "")
+
+
+def words_in(text: Column) -> Column:
+    """How many runs between white space a text has."""
+    return F.size(F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "")).cast("long")
+
+
+def distinct_neighbours(blocks: Column) -> Column:
+    """Blocks without blank ones and without those that repeat the block before them."""
+    trimmed = F.filter(F.transform(blocks, lambda b: F.regexp_replace(b, f"^{BLANK}+|{BLANK}+$", "")), lambda b: b != "")
+    return F.filter(trimmed, lambda b, i: (i == 0) | (collapse(b) != collapse(F.get(trimmed, i - 1))))
+
+
+def updated_at(*columns: str) -> Column:
+    """The first time stamp that is there, else now, in milliseconds."""
+    return F.coalesce(*(F.col(c).cast("long") for c in columns), F.unix_millis(F.current_timestamp()))
+
+
 def python_words(text: str) -> list[str]:
     """The words of a query on the driver, as ``tokens`` gives them for columns."""
     return re.findall(r"[^\W_]+", plain(text))

@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.text import python_words
 
-#: Points for each reason that speaks for a term.
-WEIGHTS = {"definition_cue": 6, "quoted": 5, "italic": 4, "multiword_non_english": 4, "not_in_english_baseline": 2}
+#: Points for each reason that speaks for a term.
+WEIGHTS = {"definition_context": 6, "multiword_non_english": 5, "quoted": 4, "italic": 4, "not_in_english_baseline": 2}
 #: A term starts with letters or digits, marks attached, and may go on after one apostrophe.
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}̀-ͯ]*(?:['’][\p{L}\p{N}̀-ͯ]+)?"
-IRREGULAR = {"children": "child", "men": "man", "women": "woman", "feet": "foot", "teeth": "tooth", "mice": "mouse", "people": "person", "went": "go", "gone": "go", "was": "be", "were": "be", "been": "be", "had": "have", "has": "have", "did": "do", "done": "do"}
-#: Suffix, what replaces it, and the least length of a word it is taken from.
-SUFFIXES = (("ies", "y", 5), ("es", "", 5), ("s", "", 4), ("ied", "y", 5), ("ed", "", 5), ("ed", "e", 5), ("ing", "", 6), ("ing", "e", 6), ("ly", "", 5), ("er", "", 5), ("est", "", 6))
-DEFINES = r"(?:means|is called|known as|refers to|is defined as|signifies)"
+#: Irregular forms and their bases.
+IRREGULAR = {
+    "are": "be", "been": "be", "being": "be", "children": "child", "did": "do", "does": "do", "feet": "foot", "geese": "goose", "has": "have", "having": "have",
+    "is": "be", "men": "man", "mice": "mouse", "people": "person", "teeth": "tooth", "was": "be", "women": "woman", "were": "be",
+}
+#: Suffix, what replaces it, and the least length of a word it is taken from.
+SUFFIXES = (("ies", "y", 5), ("ied", "y", 5), ("es", "", 5), ("s", "", 4), ("ed", "", 5), ("ed", "e", 5), ("ing", "", 6), ("ing", "e", 6), ("er", "", 5), ("er", "e", 5), ("est", "", 6), ("est", "e", 6))
+#: Fixed value: what announces a definition.
+DEFINES = r"\b(?:means?|refers?\s+to|is\s+(?:called|known\s+as|defined\s+as)|are\s+(?:called|known\s+as)|also\s+known\s+as|denotes?|meaning)\b"
+#: Fixed value: suffixes of derived words, what replaces them, and the least length of a word; tried in plain ASCII words of seven letters or more.
+DERIVED = (
+    ("ly", "", 7), ("entially", "ence", 9), ("ically", "ic", 7), ("ed", "", 7), ("ed", "e", 7), ("ed", "ing", 7), ("ing", "", 8), ("ing", "e", 8),
+    ("ation", "ate", 9), ("ation", "ating", 9), ("tion", "te", 8), ("tion", "ting", 8),
+)
 
 
 def lookup_forms(word: Column) -> Column:
@@ -25,6 +35,39 @@ def lookup_forms(word: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*forms)))
 
 
+def derived_forms(word: Column) -> Column:
+    """Forms that an English word may be derived from; none for short words and those of other letters."""
+    forms = [F.when(word.endswith(s) & (F.length(word) >= n), F.concat(F.left(word, F.length(word) - len(s)), F.lit(put))) for s, put, n in DERIVED]
+    return F.when(word.rlike("^[a-z]{7,}$"), F.array_except(F.array_distinct(F.array_compact(F.array(*forms))), F.array(word))).otherwise(F.array().cast("array<string>"))
+
+
+def has_marks(text: Column) -> Column:
+    """Whether a text has letters with marks, composed or not."""
+    return F.lower(text) != T.normalize(text)
+
+
+def candidate_key(term: Column) -> Column:
+    """The key of a term in an audit."""
+    return F.concat(F.lit("g_"), F.left(F.sha2(term, 256), F.lit(20)))
+
+
+def rest_of_surface(surface: Column) -> Column:
+    """A surface without white space runs and without marks of punctuation around it."""
+    return F.regexp_replace(T.collapse(surface), r"^[ .,;:!?()\[\]{}\"“”‘’]+|[ .,;:!?()\[\]{}\"“”‘’]+$", "")
+
+
+def excerpt(text: Column, most: int = 480) -> Column:
+    """A text on one line, cut to ``most`` characters with three dots."""
+    flat = T.collapse(text)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.left(flat, F.lit(most - 3)), " +$", ""), F.lit("...")))
+
+
+def surface_frequency(docs: DataFrame) -> DataFrame:
+    """``term`` and a map from its surfaces, in order, to how often each occurs."""
+    counted = positions(docs).groupBy("surface").agg(F.count(F.lit(1)).alias("n")).withColumn("term", T.normalize(F.col("surface")))
+    return counted.groupBy("term").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("surface", "n")))).alias("surface_frequency"))
+
+
 def positions(docs: DataFrame) -> DataFrame:
     """``doc_id``, position and surface of every term token."""
     surfaces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TERM), F.lit(0))
@@ -71,7 +114,7 @@ def quoted_terms(docs: DataFrame, most_words: int = 8) -> DataFrame:
     pattern = r"[\"“]([^\"“”\n]{1,200})[\"”](?=([^\n]{0,72}))"
     text = F.coalesce("text", F.lit(""))
     zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("surface"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("after"))
-    each = docs.select("doc_id", F.posexplode(zipped).alias("at", "q")).select("doc_id", "at", T.collapse(F.col("q.surface")).alias("surface"), F.col("q.after").rlike(r"(?i)^[\s,)]*" + DEFINES).alias("defined"))
+    each = docs.select("doc_id", F.posexplode(zipped).alias("at", "q")).select("doc_id", "at", T.collapse(F.col("q.surface")).alias("surface"), F.col("q.after").rlike(r"(?i)" + DEFINES).alias("defined"))
     count = F.size(T.tokens(T.normalize(F.col("surface"))))
     return each.where((count >= 1) & (count <= most_words)).withColumn("term", T.normalize(F.col("surface")))
 

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.query import SearchPlan, parse, scope
 
-CONNECTION_TYPES = ("supports", "contrasts", "extends", "parallels", "qualifies", "illustrates")
-CONFIDENCES = ("low", "medium", "high")
+# What a claim and a connection may say of themselves, and how long their texts may be.
+CLAIM_TYPES = ("definition", "proposition", "causal_claim", "prescription", "distinction", "classification", "historical_claim", "unique_concept", "qualification")
+MODALITIES = ("asserted", "recommended", "reported", "hypothetical", "conditional", "questioned", "denied")
+ATTRIBUTIONS = ("primary_speaker", "author", "quoted_person", "narrator", "unclear")
+CONNECTION_TYPES = ("supports", "extends", "qualifies", "contrasts", "conceptual_parallel", "possible_contradiction")
+CONFIDENCES = ("high", "medium", "tentative")
+SUMMARY_CLIP, EXPLANATION_CLIP, LABEL_CLIP = 1200, 3000, 300
 MOST_PER_DOCUMENT, MOST_CLAIMS = 15, 5
+#: Rows whose positions are numbered together.
+SLICE = 4096
 
 
 def evidence(text: Column) -> Column:
@@ -50,19 +57,76 @@ def validate(items: DataFrame, passages: DataFrame, per_document: int = MOST_PER
     return rows.drop("evidence").withColumn("claim_id", F.when(F.col("reason").isNull(), claim_id(F.col("document_id"), F.col("passage_id"), F.col("quote"))))
 
 
-def validate_connections(connections: DataFrame, claims: DataFrame, most: int = MOST_CLAIMS) -> DataFrame:
-    """Accepted connections, numbered in order: two known claims or more, of two documents or more, no repeats.
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their 1-based rank by ``position`` (whole, each once): ranks within slices of positions, plus the rows of the slices before."""
+    slices = rows.withColumn("__slice", F.floor(F.col("position") / SLICE))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice only
+    offsets = slices.groupBy("__slice").count().select("__slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__slice").orderBy("position")) + F.col("__before")
+    return slices.join(offsets, "__slice").withColumn(name, rank).drop("__slice", "__before")
+
+
+def _judge(rows: DataFrame, claims: DataFrame, early: Column, late: Column, repeated: list[Column], most: int | None) -> DataFrame:
+    """``rows`` with distinct ``claim_ids`` in order and the first ``reason`` against each; ``early`` and ``late`` come before and after the tests of claims."""
+    size = F.coalesce(F.size("claim_ids"), F.lit(0))
+    each = rows.select("position", F.explode("claim_ids").alias("claim_id")).join(claims.select("claim_id", F.lit(1).alias("known")).distinct(), "claim_id", "left")
+    told = each.groupBy("position").agg(F.count(F.lit(1)).alias("ids"), F.count("known").alias("known"), F.countDistinct("claim_id").alias("unique"), F.countDistinct(F.substring_index("claim_id", "#", 1)).alias("documents"))
+    reason = F.coalesce(
+        early,
+        F.when(size < 2, "fewer than two claims"),
+        F.when(size > most, "too many claims") if most else F.lit(None),
+        F.when(F.coalesce("known", F.lit(0)) < size, "unknown claim"),
+        F.when(F.col("unique") < 2, "only one unique claim"),
+        F.when(F.col("documents") < 2, "within one document"),
+        late,
+    )
+    rows = rows.join(told, "position", "left").withColumn("reason", reason).withColumn("claim_ids", F.array_distinct("claim_ids")).drop("ids", "known", "unique", "documents")
+    nth = F.row_number().over(Window.partitionBy(F.col("reason").isNull(), *repeated, F.array_sort("claim_ids")).orderBy("position"))
+    return rows.withColumn("reason", F.coalesce("reason", F.when(nth > 1, "repeats an earlier one")))
+
 
-    ``connections``: position, type, confidence, summary, claim_ids.
+def judge_connections(connections: DataFrame, claims: DataFrame, most: int | None = None) -> DataFrame:
+    """Each connection with the first ``reason`` against it, or none.
+
+    ``connections``: position, type, confidence, summary, explanation, claim_ids; a null or blank text counts as missing.
     """
-    ids = F.array_distinct("claim_ids")
-    rows = connections.withColumn("claim_ids", ids).where(F.col("type").isin(*CONNECTION_TYPES) & F.col("confidence").isin(*CONFIDENCES) & F.size("claim_ids").between(2, most))
-    each = rows.select("position", F.explode("claim_ids").alias("claim_id")).join(claims.select("claim_id").distinct(), "claim_id", "left_semi")
-    good = each.groupBy("position").agg(F.count(F.lit(1)).alias("known"), F.countDistinct(F.substring_index("claim_id", "#", 1)).alias("documents")).where("documents >= 2")
-    rows = rows.join(good, "position").where(F.size("claim_ids") == F.col("known"))
-    first = Window.partitionBy("type", F.array_sort("claim_ids")).orderBy("position")
-    rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "known", "documents")
-    return rows.withColumn("connection_id", F.format_string("conn-%03d", F.row_number().over(Window.orderBy("position"))))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    early = F.when(~F.coalesce(F.col("type").isin(*CONNECTION_TYPES), F.lit(False)), "unsupported type")
+    late = F.when(blank("summary"), "no summary").when(blank("explanation"), "no explanation").when(~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False)), "unsupported confidence")
+    return _judge(connections, claims, early, late, [F.col("type")], most)
+
+
+def validate_connections(connections: DataFrame, claims: DataFrame, most: int | None = MOST_CLAIMS) -> DataFrame:
+    """The accepted connections, clipped and numbered in order."""
+    good = judge_connections(connections, claims, most).where("reason is null").drop("reason")
+    good = good.withColumns({"summary": F.left(F.trim("summary"), F.lit(SUMMARY_CLIP)), "explanation": F.left(F.trim("explanation"), F.lit(EXPLANATION_CLIP))})
+    return numbered(good, "k").withColumn("connection_id", F.format_string("conn-%03d", "k")).drop("k")
+
+
+def judge_themes(themes: DataFrame, claims: DataFrame) -> DataFrame:
+    """Each theme (position, label, summary, claim_ids) with the first ``reason`` against it, or none."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return _judge(themes, claims, F.when(blank("label"), "no label"), F.when(blank("summary"), "no summary"), [F.lower(F.trim("label"))], None)
+
+
+def validate_themes(themes: DataFrame, claims: DataFrame) -> DataFrame:
+    """The accepted themes, clipped and numbered in order."""
+    good = judge_themes(themes, claims).where("reason is null").drop("reason")
+    good = good.withColumns({"label": F.left(F.trim("label"), F.lit(LABEL_CLIP)), "summary": F.left(F.trim("summary"), F.lit(SUMMARY_CLIP))})
+    return numbered(good, "k").withColumn("theme_id", F.format_string("theme-%03d", "k")).drop("k")
+
+
+def counters(judged: DataFrame) -> DataFrame:
+    """``reason`` (null: accepted) and how many rows have it."""
+    return judged.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def claims_in_graph(*edges: DataFrame) -> DataFrame:
+    """How many different claims connections and themes name together."""
+    every = edges[0].select("claim_id")
+    for more in edges[1:]:
+        every = every.unionAll(more.select("claim_id"))
+    return every.agg(F.countDistinct("claim_id").alias("claims"))
 
 
 def link_sources(claims: DataFrame, passages: DataFrame) -> DataFrame:

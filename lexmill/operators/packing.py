@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,42 +30,57 @@ def document_chunks(passages: DataFrame, most: int) -> DataFrame:
     return passages.join(numbered, ["document_id", "passage_id"])
 
 
-def batches(chunks: DataFrame, most: int, count: int = 50) -> DataFrame:
-    """``batch`` of each chunk (position, document_id, size): filled in order up to ``most`` and ``count`` chunks, a document once in each.
+#: Positions that are packed together.
+SEGMENT = 10_000
+
 
-    The greedy choice over all chunks depends on all before it; only their short size rows pass through one ordered scan.
+def batches(chunks: DataFrame, most: int, count: int = 50, segment: int = SEGMENT) -> DataFrame:
+    """``segment`` and ``batch`` of each chunk (position, document_id, size): filled in order up to ``most`` and ``count`` chunks, a document once in each.
+
+    The greedy choice depends on all chunks before it, so it is made within segments of positions, each a task of bounded size;
+    a segment begins a new batch, numbered from 1.
     """
 
-    def fill(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, held, inside = 1, 0, set()
-        for part in rows:
-            out = []
-            for document, n in zip(part["document_id"], part["size"], strict=True):
-                if inside and (held + n > most or len(inside) >= count or document in inside):
-                    batch, held, inside = batch + 1, 0, set()
-                held += n
-                inside.add(document)
-                out.append(batch)
-            yield part.assign(batch=out)
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        part, batch, held, inside, out = part.sort_values("position", kind="stable"), 1, 0, set(), []
+        for document, n in zip(part["document_id"], part["size"], strict=True):
+            if inside and (held + n > most or len(inside) >= count or document in inside):
+                batch, held, inside = batch + 1, 0, set()
+            held += n
+            inside.add(document)
+            out.append(batch)
+        return part.assign(batch=out)
 
-    rows = chunks.select("position", F.col("document_id").cast("string").alias("document_id"), F.col("size").cast("long").alias("size"))
-    return rows.repartition(1).sortWithinPartitions("position").mapInPandas(fill, "position long, document_id string, size long, batch int")
+    rows = chunks.select(F.floor(F.col("position") / segment).cast("long").alias("segment"), F.col("position").cast("long").alias("position"), F.col("document_id").cast("string").alias("document_id"), F.col("size").cast("long").alias("size"))
+    return rows.groupBy("segment").applyInPandas(fill, "segment long, position long, document_id string, size long, batch int")
 
 
-ACTIONS, CONFIDENCES = ("keep", "remove", "review", "merge"), ("low", "medium", "high")
+# What a finding may ask for, how sure it may be, and how long its reason may be.
+ACTIONS, CONFIDENCES, REASON_CLIP = ("remove_ordinary_english",), ("high", "medium", "low"), 1600
 
 
 def audit_findings(findings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Findings (candidate_number, action, reason, confidence) with the first ``warning`` against them, or none."""
+    """Findings (position, candidate_number, action, reason, confidence) with the first ``warning`` against each, or none.
+
+    The first acceptable finding of a candidate counts; later ones repeat it.
+    """
     known = candidates.select("candidate_number", F.lit(True).alias("known")).distinct()
-    rows = findings.withColumn("k", F.row_number().over(Window.partitionBy("candidate_number").orderBy(F.monotonically_increasing_id()))).join(known, "candidate_number", "left")
-    warning = (
-        F.when(F.col("known").isNull(), "unknown candidate")
-        .when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action")
+    rows = findings.join(known, "candidate_number", "left")
+    flaw = (
+        F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action")
+        .when(F.trim(F.coalesce("reason", F.lit(""))) == "", "no reason")
         .when(~F.coalesce(F.col("confidence").isin(*CONFIDENCES), F.lit(False)), "unknown confidence")
-        .when(F.col("k") > 1, "repeated candidate")
     )
-    return rows.withColumn("warning", warning).drop("k", "known").orderBy("candidate_number")
+    rows = rows.withColumn("flaw", flaw)
+    before = Window.partitionBy("candidate_number").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.max(F.col("flaw").isNull()).over(before), F.lit(False))
+    warning = F.when(F.col("known").isNull(), "unknown candidate").when(taken, "repeated candidate").otherwise(F.col("flaw"))
+    return rows.withColumn("warning", warning).withColumn("reason", F.left(F.trim("reason"), F.lit(REASON_CLIP))).drop("flaw", "known")
+
+
+def action_counts(audited: DataFrame) -> DataFrame:
+    """How many accepted findings ask for which action."""
+    return audited.where("warning is null").groupBy("action").agg(F.count(F.lit(1)).alias("findings"))
 
 
 def compact_evidence(rows: DataFrame, most: int = 18, clip: int = 1600, queries: int = 6) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from ..functions.text import python_words
+from ..functions.text import plain, python_words
 
 
 class QueryError(ValueError):
@@ -67,7 +67,7 @@ def distinct_queries(queries: list[str]) -> list[str]:
     """Queries without those that equal an earlier one but for case, marks and white space."""
     first: dict[str, str] = {}
     for q in queries:
-        key = " ".join(q.casefold().split())
+        key = " ".join(plain(q).split())
         if key:
             first.setdefault(key, q.strip())
     if not 1 <= len(first) <= MOST_QUERIES:

@@ -420,3 +420,6 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = corpus.sentences(T.collapse(F.coalesce("text", F.lit(""))))
     rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("s")).where(F.size("s") > 0)
     return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
+
+
+from . import queries_more  # noqa: E402, F401  (registers its queries here)

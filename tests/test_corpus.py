@@ -31,12 +31,16 @@ def test_packing(spark):
     assert {(r["document_id"], r["passage_id"]): r["chunk"] for r in out.collect()} == {("d1", "p0"): 1, ("d1", "p1"): 1, ("d1", "p2"): 2, ("d1", "p3"): 2, ("d2", "p0"): 1}
     chunks = spark.createDataFrame([(0, "a", 5), (1, "a", 1), (2, "b", 6), (3, "c", 5), (4, "d", 1)], "position long, document_id string, size long")
     assert [r["batch"] for r in packing.batches(chunks, 8, 2).orderBy("position").collect()] == [1, 2, 2, 3, 3]
+    assert [(r["segment"], r["batch"]) for r in packing.batches(chunks, 8, 2, segment=3).orderBy("position").collect()] == [(0, 1), (0, 2), (0, 2), (1, 1), (1, 1)]
 
 
 def test_audit_and_upsert(spark):
-    found = spark.createDataFrame([(1, "keep", "r", "high"), (1, "keep", "r", "high"), (2, "odd", "r", "low"), (9, "keep", "r", "low")], "candidate_number int, action string, reason string, confidence string")
+    act = "remove_ordinary_english"
+    found = spark.createDataFrame([(1, 1, act, "r", "high"), (2, 1, act, "r", "high"), (3, 2, "keep", "r", "low"), (4, 9, act, "r", "low"), (5, 2, act, " ", "low"), (6, 2, act, "r", "sure"), (7, 2, act, "r", "low")], "position int, candidate_number int, action string, reason string, confidence string")
     known = spark.createDataFrame([(1,), (2,)], "candidate_number int")
-    assert [r["warning"] for r in packing.audit_findings(found, known).collect()] == [None, "repeated candidate", "unknown action", "unknown candidate"]
+    audited = packing.audit_findings(found, known)
+    assert [r["warning"] for r in audited.orderBy("position").collect()] == [None, "repeated candidate", "unknown action", "unknown candidate", "no reason", "unknown confidence", None]
+    assert [tuple(r) for r in packing.action_counts(audited).collect()] == [(act, 2)]
     stored = spark.createDataFrame([("a", True, 1), ("b", False, 1)], "id string, pinned boolean, v int")
     fresh = spark.createDataFrame([("a", False, 2), ("c", False, 2)], "id string, pinned boolean, v int")
     assert sorted(tuple(r) for r in packing.upsert(stored, fresh).collect()) == [("a", True, 2), ("b", False, 1), ("c", False, 2)]

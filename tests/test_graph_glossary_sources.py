@@ -16,8 +16,12 @@ def test_claims(spark):
 
 def test_connections(spark):
     claims = spark.createDataFrame([("a#1", "en", "alpha beta", "q"), ("b#1", "de", "beta", "q"), ("a#2", "en", "x", "q")], "claim_id string, source string, statement string, quote string")
-    rows = [(0, "supports", "high", "s", ["a#1", "b#1", "a#1"]), (1, "supports", "high", "again", ["b#1", "a#1"]), (2, "supports", "high", "one", ["a#1", "a#2"]), (3, "odd", "high", "s", ["a#1", "b#1"]), (4, "extends", "low", "s", ["a#1", "zz"])]
-    good = graph.validate_connections(spark.createDataFrame(rows, "position int, type string, confidence string, summary string, claim_ids array<string>"), claims)
+    rows = [(0, "supports", "high", "s", "e", ["a#1", "b#1", "a#1"]), (1, "supports", "high", "again", "e", ["b#1", "a#1"]), (2, "supports", "high", "one", "e", ["a#1", "a#2"]), (3, "odd", "high", "s", "e", ["a#1", "b#1"]), (4, "extends", "high", "s", "e", ["a#1", "zz"])]
+    rows += [(5, "extends", "low", "s", "e", ["a#1", "b#1"]), (6, "extends", "high", "s", None, ["a#1", "b#1"]), (7, "extends", "high", " ", "e", ["a#1", "b#1"]), (8, "extends", "high", "s", "e", ["a#1"]), (9, "extends", "high", "s", "e", None), (10, "extends", "high", "s", "e", ["a#1", "a#1"])]
+    frame = spark.createDataFrame(rows, "position int, type string, confidence string, summary string, explanation string, claim_ids array<string>")
+    told = {r["position"]: r["reason"] for r in graph.judge_connections(frame, claims, 5).collect()}
+    assert told == {0: None, 1: "repeats an earlier one", 2: "within one document", 3: "unsupported type", 4: "unknown claim", 5: "unsupported confidence", 6: "no explanation", 7: "no summary", 8: "fewer than two claims", 9: "fewer than two claims", 10: "only one unique claim"}
+    good = graph.validate_connections(frame, claims)
     assert [(r["connection_id"], r["position"], r["claim_ids"]) for r in good.collect()] == [("conn-001", 0, ["a#1", "b#1"])]
     assert graph.connections_of(good, claims, "beta").first()["score"] == 2
     assert graph.connections_of(good, claims, where="en").count() == 0
