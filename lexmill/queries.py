@@ -179,11 +179,11 @@ MISSPELT = ["thinng", "whhich", "erlyy", "ationx"]
 
 
 @query(
-    f"""WITH terms AS (SELECT term, sum(document_frequency)::BIGINT AS document_frequency, sum(term_frequency)::BIGINT AS term_frequency FROM ({VOCABULARY_SQL}) GROUP BY term),
-words AS (SELECT unnest({MISSPELT}) AS word),
-near AS (
-  SELECT word, term, levenshtein(word, term)::INTEGER AS distance, document_frequency, term_frequency FROM terms, words
-  WHERE length(term) >= 3 AND regexp_full_match(term, '[a-z0-9]+') AND abs(length(term) - length(word)) <= 2 AND word NOT IN (SELECT term FROM terms))
+    f"""WITH terms AS MATERIALIZED (SELECT term, sum(document_frequency)::BIGINT AS document_frequency, sum(term_frequency)::BIGINT AS term_frequency FROM ({VOCABULARY_SQL}) GROUP BY term),
+words AS MATERIALIZED (SELECT word FROM (SELECT unnest({MISSPELT}) AS word) ANTI JOIN terms ON word = term),
+short AS MATERIALIZED (SELECT * FROM terms WHERE length(term) BETWEEN 3 AND {max(map(len, MISSPELT)) + 2} AND regexp_full_match(term, '[a-z0-9]+')),
+near AS MATERIALIZED (
+  SELECT word, term, levenshtein(word, term)::INTEGER AS distance, document_frequency, term_frequency FROM short, words WHERE abs(length(term) - length(word)) <= 2)
 SELECT word, term, distance, document_frequency, term_frequency FROM near WHERE distance <= CASE WHEN length(word) <= 5 THEN 1 WHEN length(word) <= 10 THEN 2 ELSE 3 END"""
 )
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

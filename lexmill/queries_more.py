@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import glossary, graph, packing
-from .queries import query, sql_normal, sql_text, table
+from .queries import ORACLE, ROLE_SQL, VOCABULARY_SQL, query, sql_normal, sql_text, table
 
 # --- connections and themes ----------------------------------------------------------------
 
@@ -145,6 +145,21 @@ def derived_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ascii_terms(spark, sf_dir).where("length(w) >= 7").select(F.col("w").alias("term"), F.array_join(F.array_sort(glossary.derived_forms(F.col("w"))), ",").alias("forms"))
 
 
+BASES_SQL = f"MAP {{{', '.join(f"'{a}': '{b}'" for a, b in glossary.IRREGULAR.items())}}}"
+
+ORACLE["glossary_terms"] = rf"""WITH base AS MATERIALIZED (SELECT term AS word FROM ({VOCABULARY_SQL}) GROUP BY term HAVING sum(document_frequency) * 50 >= (SELECT count(*) FROM documents)),
+s AS (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(glossary.TERM)})) AS surface FROM documents),
+c AS (SELECT doc_id, surface, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, surface, n, {sql_normal('surface')} AS term FROM c WHERE regexp_matches(surface, '\p{{L}}')),
+g AS MATERIALIZED (SELECT term, sum(n)::BIGINT AS frequency, count(DISTINCT doc_id)::BIGINT AS documents, count(DISTINCT surface)::INTEGER AS surfaces FROM t WHERE length(term) >= 3 GROUP BY term),
+f AS (SELECT term, unnest(list_filter([term, b[term], {sql_forms(glossary.SUFFIXES, 'term')}], lambda x: x IS NOT NULL)) AS form FROM g, (SELECT {BASES_SQL} AS b)),
+e AS MATERIALIZED (SELECT DISTINCT term FROM f SEMI JOIN base ON form = word)
+SELECT term, frequency, documents, surfaces, ({glossary.WEIGHTS['not_in_english_baseline']} + least(documents, 5) + 1)::BIGINT AS priority FROM g ANTI JOIN e USING (term)"""
+
+ORACLE["renderable_messages"] = rf"""SELECT * FROM conversations WHERE {ROLE_SQL} <> 'tool' AND trim(text) <> '' AND NOT regexp_matches(trim(text), '^(?:\{{.*\}}|\[\{{.*\}}\])$')
+  AND NOT regexp_matches(lower(trim(text)), '^(?:tool|trace|debug|exec):')"""
+
+
 @query(
     rf"""WITH s AS (SELECT unnest(regexp_extract_all(text, {sql_text(glossary.TERM)})) AS surface FROM documents), c AS (SELECT surface, count(*) AS n FROM s GROUP BY surface)
 SELECT {sql_normal('surface')} AS term, array_to_string(list_sort(list(surface || ':' || n)), '|') AS surfaces, sum(n)::BIGINT AS frequency FROM c GROUP BY ALL"""
