@@ -466,7 +466,7 @@ def test_queries_match_sql(spark, data):
     from lexmill.llm import queries
 
     c = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         mine = queries.QUERIES[name](spark, data)
