@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import only, written
+from .common import Scratch, only, written
 from .components import components
 
 #: Filters that a pair right at the threshold shares on average; a pair is missed with about e to the minus this.
@@ -172,21 +173,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = whole.count()
     height, directions = plan(n, cosine)
 
+    # single-precision components travel as such: half the bytes, the same numbers
+    given = vectors.schema[vector_col].dataType
+    number = np.dtype("<f4" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "<f8")
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for batch in batches:
-            lists = []
-            for v in batch.column("vector").to_pylist():
-                x = np.array(v)
+            data, dims, lists = [], [], []
+            for v in batch.column("vector"):
+                x = np.asarray(v.values)
+                data.append(x.astype(number).tobytes())
+                dims.append(len(x))
                 x = x / np.abs(x).max()  # so that squares neither overflow nor vanish
                 lists.append(list_decode(x / np.linalg.norm(x), len(x), height, directions))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], [*batch.schema.names, "filters"])
-
-    decoded = distinct.mapInArrow(decode, "vector array<double>, rep long, copies long, filters array<long>")
-    met = decoded.select("rep", "vector", "copies", "filters", F.size("vector").alias("dim"), F.explode("filters").alias("filter"))
-    full = met.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), batch.column("copies"), pa.array(dims, pa.int32()), pa.array(data, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                ["rep", "copies", "dim", "data", "filters"],
+            )
+
+    scratch = Scratch()
+    decoded = scratch.written(distinct.mapInArrow(decode, "rep long, copies long, dim int, data binary, filters array<long>"), "cap-filters")
+    # filters are met by numbers alone; vectors follow only to filters that hold two or more
+    each = decoded.select("rep", "dim", F.explode("filters").alias("filter"))
+    full = each.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
     full = full.select("dim", "filter", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    met = met.join(full, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = each.join(full, ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     keys = ["dim", "filter", "left", "right"]
@@ -212,22 +223,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for batch in batches:
             dim = batch.column("dim").to_pylist()
             values = [batch.column(c).to_pylist() for c in (*keys[1:], "rep", "copies", "block")]
-            vectors, filters = batch.column("vector"), batch.column("filters")
+            data, filters = batch.column("data"), batch.column("filters")
             for row in range(batch.num_rows):
                 here = (dim[row], values[0][row], values[1][row], values[2][row])
                 if here != key:
                     close()
                     key = here
-                held.append((values[3][row], np.asarray(vectors[row].values), values[4][row], np.asarray(filters[row].values), values[5][row]))
+                held.append((values[3][row], np.frombuffer(data[row].as_buffer(), number), values[4][row], np.asarray(filters[row].values), values[5][row]))
             if out:
                 yield flush()
         close()
         if out:
             yield flush()
 
-    found = met.select(*keys, "rep", "vector", "copies", "filters", "block").repartition(*keys).sortWithinPartitions(*keys)
+    found = met.select(*keys, "rep", "block").join(decoded.drop("dim"), "rep").repartition(*keys).sortWithinPartitions(*keys)
     found = found.mapInArrow(compare, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links"))
     found = written(found, "cap-links")
+    scratch.drop()
     label = components(found.where(F.col("b").isNotNull()).select("a", "b")).withColumnsRenamed({"node": "rep"})
     counts = found.where(F.col("b").isNull()).select(F.col("a").alias("rep"), "links")
     reps = distinct.join(counts, "rep", "left").join(label, "rep", "left")
