@@ -120,18 +120,18 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = only(pages, id=id_col, url=url_col, html=html_col).select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), filled(F.col("html")).alias("html"))
     digest = F.sha1(F.col("html").cast("binary"))
+    large = F.octet_length("html") >= REVISIT_BYTES
     copies = (
-        rows.where(F.octet_length("html") >= REVISIT_BYTES)
+        rows.where(large)
         .groupBy(digest.alias("digest"))
         .agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & F.col("last").isNotNull())
         .select("digest", "last")
     )
-    typed = (
-        rows.withColumn("digest", digest)
-        .join(copies, "digest", "left")
-        .select("id", "url", url_key(F.col("url")).alias("key"), "html", "digest", "last", (F.col("last").isNotNull() & F.coalesce(F.col("id") < F.col("last"), F.lit(True))).alias("revisit"))
-    )
+    # small payloads share few digests and are never revisited: their rows spread by id and url instead
+    meets = F.when(large, digest).otherwise(F.concat(F.lit("small "), F.xxhash64("id", "url").cast("string")))
+    typed = rows.withColumn("digest", digest).withColumn("meets", meets).join(copies.withColumnRenamed("digest", "meets"), "meets", "left")
+    typed = typed.select("id", "url", url_key(F.col("url")).alias("key"), "html", "digest", "last", (F.col("last").isNotNull() & F.coalesce(F.col("id") < F.col("last"), F.lit(True))).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
