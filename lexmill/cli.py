@@ -1,4 +1,4 @@
-"""Command line: build, search, aggregate, fuzzy, passage, stats and glossary over a stored corpus; JSON lines on stdout."""
+"""Command line: build, search, aggregate, fuzzy, passage, stats, connections and glossary over a stored corpus; JSON lines on stdout."""
 
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
     build = commands.add_parser("build", aliases=["index"])
     build.add_argument("--html", type=folder, action="append", default=[])
     build.add_argument("--markdown", type=folder, action="append", default=[])
+    build.add_argument("--graph", help="folder of claims.json and relationships/result.json")
     for name, many in (("search", False), ("aggregate", True), ("fuzzy", False)):
         c = commands.add_parser(name, aliases=["search-many"] if many else [])
         c.add_argument("query", nargs="+" if many else None)
@@ -44,6 +45,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("citation")
     c.add_argument("--context-passages", type=int, default=4)
     commands.add_parser("stats")
+    commands.add_parser("graph-stats")
+    c = commands.add_parser("connections")
+    c.add_argument("--query")
+    c.add_argument("--claim-id")
+    c.add_argument("--source", default="all")
+    c.add_argument("--limit", type=int, default=10)
     for name in ("glossary-lookup", "glossary-search"):
         c = commands.add_parser(name)
         c.add_argument("file")
@@ -57,7 +64,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     corpus = Corpus(spark or SparkSession.builder.appName("lexmill").getOrCreate(), a.corpus)
     try:
         if a.command in ("build", "index"):
-            out = corpus.build(dict(a.html), dict(a.markdown))
+            out = corpus.build(dict(a.html), dict(a.markdown), a.graph)
         elif a.command == "search":
             out = corpus.search(a.query, where=a.source, limit=a.limit, context=a.context, book=a.book, title=a.title)
         elif a.command in ("aggregate", "search-many"):
@@ -68,6 +75,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             out = corpus.passage(a.citation, a.context_passages)
         elif a.command == "stats":
             out = corpus.stats()
+        elif a.command == "graph-stats":
+            out = corpus.graph_stats()
+        elif a.command == "connections":
+            out = corpus.connections(a.query, a.source, a.claim_id, a.limit)
         else:
             out = (corpus.glossary_lookup if a.command == "glossary-lookup" else corpus.glossary_search)(a.file, a.term, a.limit)
         for line in out.toJSON().toLocalIterator():

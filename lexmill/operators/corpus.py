@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .search import alike
 
 
 def assess_pages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -91,13 +92,12 @@ def assemble_books(pages: DataFrame) -> DataFrame:
 
 
 def page_context(pages: DataFrame, words: int = 200) -> DataFrame:
-    """Each page with the last words of the page before it, if that one is there and complete."""
-    w = Window.partitionBy("book").orderBy("page_number")
-    before = F.lag(F.struct("page_number", "status", "text")).over(w)
-    last = F.filter(F.split(before["text"], "\\s+"), lambda x: x != "")
+    """Each page with the last words of the page before it, if that one is there and complete. Only those words travel; of repeated pages the least counts."""
+    last = F.filter(F.split("text", "\\s+"), lambda x: x != "")
     tail = F.array_join(F.when(F.size(last) > words, F.slice(last, -words, words)).otherwise(last), " ")
-    follows = (before["page_number"] == F.col("page_number") - 1) & (before["status"] == "complete")
-    return pages.withColumn("context", F.when(follows, tail))
+    before = pages.where("status = 'complete'").select("book", (F.col("page_number") + 1).alias("page_number"), tail.alias("context"))
+    before = before.groupBy("book", "page_number").agg(F.min("context").alias("context"))
+    return alike(pages, before, ["book", "page_number"], "left")
 
 
 #: Role names and the role they stand for; any other is a tool.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.query import SearchPlan, parse, scope
+from ..plans.query import Scope, SearchPlan, parse, scope, within
 
 # What a claim and a connection may say of themselves, and how long their texts may be.
 CLAIM_TYPES = ("definition", "proposition", "causal_claim", "prescription", "distinction", "classification", "historical_claim", "unique_concept", "qualification")
@@ -140,26 +140,80 @@ def link_sources(claims: DataFrame, passages: DataFrame) -> DataFrame:
     return found.withColumn("passage", F.coalesce("exact", "numbered")).drop("exact", "numbered", "ordinal")
 
 
-def connections_of(connections: DataFrame, claims: DataFrame, query: str | None = None, where: str = "all", claim: str | None = None, limit: int = 10) -> DataFrame:
-    """Connections whose claims are all known and in scope, by text score and id, with their claims in order."""
+def related(rows: DataFrame, id_col: str, fields: list[str], claims: DataFrame, query: str | None = None, where: Scope = "all", claim: str | None = None, limit: int = 10) -> DataFrame:
+    """Connections or themes (``id_col``, ``fields``, ``claim_ids``) whose claims are all known and in scope, by text score
+    and id, with their claims in order. Words and phrases of the query must stand in the fields or the claims."""
+    within(limit=limit)
     found = scope(where)
     ok = claims if found is None else claims.where(F.col("source").isin(*found))
-    each = connections.select("connection_id", F.posexplode("claim_ids").alias("at", "claim_id")).join(ok.select("claim_id", "statement", "quote"), "claim_id")
-    gathered = each.groupBy("connection_id").agg(F.array_sort(F.collect_list(F.struct("at", "claim_id", "statement", "quote"))).alias("claims"))
-    rows = connections.join(gathered, "connection_id").where((F.size("claim_ids") > 0) & (F.size("claims") == F.size("claim_ids")))
-    if claim:
+    terms = F.coalesce("key_terms", F.array()) if "key_terms" in claims.columns else F.array().cast("array<string>")
+    each = rows.select(id_col, F.posexplode("claim_ids").alias("at", "claim_id")).join(ok.select("claim_id", "statement", "quote", terms.alias("key_terms")), "claim_id")
+    gathered = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "claim_id", "statement", "quote", "key_terms"))).alias("claims"))
+    rows = rows.join(gathered, id_col).where((F.size("claim_ids") > 0) & (F.size("claims") == F.size("claim_ids")))
+    if claim is not None:
         rows = rows.where(F.array_contains("claim_ids", claim))
     score = F.lit(0).cast("long")
-    if query:
+    if query is not None:
         plan: SearchPlan = parse(query)
-        whole = T.spaced(T.normalize(F.concat_ws(" ", "type", "confidence", "summary", F.array_join(F.transform("claims", lambda c: F.concat_ws(" ", c["statement"], c["quote"])), " "))))
+        said = F.array_join(F.transform("claims", lambda c: F.concat_ws(" ", c["statement"], c["quote"], F.array_join(c["key_terms"], " "))), " ")
         counts = [T.occurrences(F.col("words"), [w]) for w in plan.words]
         phrases = [T.occurrences(F.col("words"), list(p)) for p in plan.phrases]
-        rows = rows.withColumn("words", whole)
+        rows = rows.withColumn("words", T.spaced(T.normalize(F.concat_ws(" ", *fields, said))))
         for c in (*counts, *phrases):
             rows = rows.where(c > 0)
         score = (sum(phrases, F.lit(0)) * 100_000 + sum(counts, F.lit(0))).cast("long")
-    return rows.withColumn("score", score).select("connection_id", "type", "confidence", "summary", "claims", "score").orderBy(F.desc("score"), "connection_id").limit(limit)
+    told = F.transform("claims", lambda c: F.struct(c["claim_id"].alias("claim_id"), c["statement"].alias("statement"), c["quote"].alias("quote")))
+    return rows.withColumn("score", score).select(id_col, *fields, told.alias("claims"), "score").orderBy(F.desc("score"), id_col).limit(limit)
+
+
+def connections_of(connections: DataFrame, claims: DataFrame, query: str | None = None, where: Scope = "all", claim: str | None = None, limit: int = 10) -> DataFrame:
+    """The connections that a query or a claim leads to."""
+    return related(connections, "connection_id", ["type", "confidence", "summary", "explanation"], claims, query, where, claim, limit)
+
+
+def themes_of(themes: DataFrame, claims: DataFrame, query: str | None = None, where: Scope = "all", claim: str | None = None, limit: int = 10) -> DataFrame:
+    """The themes that a query or a claim leads to."""
+    return related(themes, "theme_id", ["label", "summary"], claims, query, where, claim, limit)
+
+
+# How much of a graph's answer is handed on.
+MOST_RESULTS, MOST_RESULT_CLAIMS, TEXT_CLIP = 8, 5, 1200
+
+
+def compact(connections: DataFrame, themes: DataFrame) -> DataFrame:
+    """Connections, then themes, as rows of one shape (``graph_id``, ``kind``, ``type``, ``confidence``, ``summary``, ``explanation``,
+    ``claims``): few rows, few claims each, clipped texts. Rows without id, or without summary and claims, go."""
+    clip = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(TEXT_CLIP))
+    claims = F.slice(F.transform("claims", lambda c: F.struct(c["claim_id"].alias("claim_id"), clip(c["statement"]).alias("statement"), clip(c["quote"]).alias("quote"))), 1, MOST_RESULT_CLAIMS).alias("claims")
+    empty = F.lit("")
+
+    def shape(rows: DataFrame, kind: str, id_col: str, summary: Column, *rest: Column) -> DataFrame:
+        names = ("type", "confidence", "explanation")
+        return rows.select(F.lit(kind).alias("kind"), F.col(id_col).alias("graph_id"), "score", clip(summary).alias("summary"), *(clip(c).alias(n) for n, c in zip(names, rest, strict=True)), claims)
+
+    both = shape(connections, "connection", "connection_id", F.col("summary"), F.col("type"), F.col("confidence"), F.col("explanation")).unionByName(
+        shape(themes, "theme", "theme_id", F.coalesce(F.nullif("summary", empty), F.col("label")), empty, empty, empty)
+    )
+    told = (F.coalesce("graph_id", empty) != "") & ((F.col("summary") != "") | (F.size("claims") > 0))
+    return both.where(told).orderBy("kind", F.desc("score"), "graph_id").limit(MOST_RESULTS).select("graph_id", "kind", "type", "confidence", "summary", "explanation", "claims")
+
+
+def cited(claims: DataFrame) -> DataFrame:
+    """Claims with ``source``, ``path`` and ``anchor`` of their citation; the source may stand in the document's id instead."""
+    where, anchor = F.substring_index("citation", "#", 1), F.when(F.contains("citation", F.lit("#")), F.substring_index("citation", "#", -1)).otherwise("")
+    named = F.contains(where, F.lit(":"))
+    source = F.when(named, F.substring_index(where, ":", 1)).when(F.contains("document_id", F.lit(":")), F.substring_index("document_id", ":", 1)).otherwise("")
+    return claims.withColumns({"source": source, "path": F.when(named, F.substring_index(where, ":", -1)).otherwise(where), "anchor": anchor})
+
+
+def graph_stats(claims: DataFrame, connections: DataFrame, themes: DataFrame, passages: DataFrame) -> DataFrame:
+    """One row: claims, claims whose passage is known, connections, themes, claims that either names, unknown claims that they name."""
+    linked = link_sources(claims, passages).agg(F.count(F.lit(1)).alias("claims"), F.count("passage").alias("with_passage"))
+    edges = [rows.select(F.explode("claim_ids").alias("claim_id")) for rows in (connections, themes)]
+    named = edges[0].unionAll(edges[1]).distinct().join(claims.select("claim_id", F.lit(1).alias("known")), "claim_id", "left")
+    named = named.agg(F.count(F.lit(1)).alias("claims_in_graph"), F.count_if(F.col("known").isNull()).alias("unknown_claims"))
+    rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return linked.crossJoin(rows(connections, "connections")).crossJoin(rows(themes, "themes")).crossJoin(named)  # one row each
 
 
 def quotes_in(documents: DataFrame, quotes: DataFrame, gram: int = 24) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import islice, product
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.query import QueryError, SearchPlan, distinct_queries, parse, scope, within
+from ..plans.query import QueryError, Scope, SearchPlan, distinct_queries, parse, scope, within
 
 FIELDS = ("title", "book", "text")
 WEIGHTS = {"title": 1000, "book": 500, "text": 100}
@@ -21,6 +21,8 @@ PHRASE_WEIGHT = 100_000
 RRF_SCALE, RRF_RANK = 100_000, 60
 HIT_WEIGHT = 1_000_000
 MOST_VARIANTS, LEAST_FUZZY = 8, 3
+#: Whole numbers that are ranked together.
+SLICE = 4096
 
 
 def passages_of(docs: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def citation() -> Column:
     return F.concat("relative_path", F.when(F.col("anchor") != "", F.concat(F.lit("#"), "anchor")).otherwise(F.lit("")))
 
 
-def in_scope(passages: DataFrame, where: str = "all", book: str | None = None, title: str | None = None) -> DataFrame:
+def in_scope(passages: DataFrame, where: Scope = "all", book: str | None = None, title: str | None = None) -> DataFrame:
     """Only passages of the scope's categories whose book and title hold the given texts."""
     found = scope(where)
     if found is not None:
@@ -131,11 +133,16 @@ def snippets(context: int, plan: SearchPlan) -> Column:
     return make("title", "book", "text")
 
 
-def search(passages: DataFrame, query: str, where: str = "default", limit: int = 10, context: int | None = 220, book: str | None = None, title: str | None = None) -> DataFrame:
-    """The best passages with rank, score and citation; snippets are cut for them alone (none if ``context`` is none)."""
+def search(passages: DataFrame, query: str, where: Scope = "default", limit: int = 10, context: int | None = 220, book: str | None = None, title: str | None = None, distinct: bool = False) -> DataFrame:
+    """The best passages with rank, score and citation; snippets are cut for them alone (none if ``context`` is none).
+
+    ``distinct`` keeps the first id of equal normal texts under one anchor; a stored corpus has none, so it needs it not.
+    """
     within(limit=limit, context=context or 0)
     plan = parse(query)
     found = with_words(in_scope(passages, where, book, title)).where(matches(plan))
+    if distinct:
+        found = first_wins(found, ["source", "relative_path", "anchor", "text_words"], [F.col("id")])
     scored = found.withColumn("score", score(plan)).withColumn("match_count", total(term_matches(plan, f) for f in FIELDS).cast("long"))
     top = scored.orderBy(*ordering(F.desc("score"))).limit(limit)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*ordering(F.desc("score")))))
@@ -146,7 +153,7 @@ def search(passages: DataFrame, query: str, where: str = "default", limit: int =
 
 
 def fan_out(
-    passages: DataFrame, queries: list[str], where: str = "default", limit: int = 10, per_query_limit: int = 10, max_per_document: int = 1, book: str | None = None, title: str | None = None
+    passages: DataFrame, queries: list[str], where: Scope = "default", limit: int = 10, per_query_limit: int = 10, max_per_document: int = 1, book: str | None = None, title: str | None = None
 ) -> DataFrame:
     """Merges the best passages of several queries: hits count most, then reciprocal ranks, then the best score.
 
@@ -194,7 +201,7 @@ def vocabulary(passages: DataFrame) -> DataFrame:
     )
 
 
-def roll_up(terms: DataFrame, where: str = "all") -> DataFrame:
+def roll_up(terms: DataFrame, where: Scope = "all") -> DataFrame:
     """A vocabulary over the sources of a scope."""
     found = scope(where)
     rows = terms if found is None else terms.where(F.col("source").isin(*found))
@@ -244,7 +251,7 @@ def corrections(terms: DataFrame, query: str, per_token_limit: int = 3, max_dist
     return [query, *islice((" ".join(p) for p in product(*(found.get(w, [w]) for w in words))), MOST_VARIANTS)]
 
 
-def fuzzy(passages: DataFrame, query: str, where: str = "default", per_token_limit: int = 3, max_distance: int | None = None, **options: int) -> DataFrame:
+def fuzzy(passages: DataFrame, query: str, where: Scope = "default", per_token_limit: int = 3, max_distance: int | None = None, **options: int) -> DataFrame:
     """Fan-out over the query and its corrected spellings; the vocabulary is that of the scope."""
     terms = roll_up(vocabulary(in_scope(passages, where)))
     return fan_out(passages, corrections(terms, query, per_token_limit, max_distance), where, **options)
@@ -265,10 +272,34 @@ def around(passages: DataFrame, cited: str, context_passages: int = 4) -> DataFr
     return near.withColumn("selected", (F.col("ordinal") == F.col("centre")) & (F.col("anchor") == anchor)).drop("centre").orderBy("ordinal", "id")
 
 
+def alike(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys meet null keys; the keys of ``right`` go."""
+    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    met = left.join(renamed, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), how)
+    return met.drop(*(f"__{k}" for k in keys))
+
+
+def ordinals(rows: DataFrame, group: str, order: str, name: str = "ordinal") -> DataFrame:
+    """``rows`` with their 0-based dense rank by the whole number ``order`` within ``group``.
+
+    Ranks are made within slices of numbers and grow by what the slices before hold, so no group is sorted as a whole.
+    """
+    slices = rows.withColumn("__slice", F.floor(F.col(order) / SLICE))
+    counts = slices.groupBy(group, "__slice").agg(F.countDistinct(order).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    rank = F.dense_rank().over(Window.partitionBy(group, "__slice").orderBy(order)) - 1 + F.col("__before")
+    return alike(slices, offsets, [group, "__slice"]).withColumn(name, rank).drop("__slice", "__before")
+
+
 def neighbours(passages: DataFrame, reach: int) -> DataFrame:
-    """Every passage with the ids of those within ``reach`` ordinals of it in its file."""
-    w = Window.partitionBy("source", "relative_path").orderBy("ordinal").rangeBetween(-reach, reach)
-    return passages.withColumn("near", F.array_sort(F.collect_list("id").over(w)))
+    """Every passage with the ids of those within ``reach`` ordinals of it in its file.
+
+    Ids travel to the ordinals they are near to, so a file of any length is spread over tasks.
+    """
+    keys = ["source", "relative_path", "ordinal"]
+    reached = passages.select("source", "relative_path", F.explode(F.sequence(F.col("ordinal") - reach, F.col("ordinal") + reach)).alias("ordinal"), "id")
+    return alike(passages, reached.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("near")), keys)
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -21,9 +21,8 @@ class SearchPlan:
 #: Double quotes, single quotes at the beginning of a word, or anything up to white space.
 _PART = re.compile(r"\"(?P<double>[^\"]+)\"|'(?P<single>[^']+)'|(?P<bare>\S+)")
 
-#: Categories in order; ``default`` means the first two.
+#: Categories of the documents table in order; a stored corpus has its own.
 CATEGORIES = ("en", "de", "fr", "es")
-DEFAULT = CATEGORIES[:2]
 LIMITS = {"limit": (1, 1000), "context": (0, 10**9), "per_query_limit": (1, 1000), "context_passages": (0, 12), "per_token_limit": (1, 10), "max_distance": (1, 8), "max_per_document": (0, 10**9)}
 MOST_QUERIES = 32
 
@@ -50,17 +49,24 @@ def parse(text: str) -> SearchPlan:
     return SearchPlan(tuple(words), tuple(phrases))
 
 
-def scope(text: str, categories: tuple[str, ...] = CATEGORIES, default: tuple[str, ...] = DEFAULT) -> tuple[str, ...] | None:
-    """The categories of a scope in their order; none for ``all``, which filters nothing."""
+#: What a user writes, or the categories that it stands for (none: all).
+Scope = str | tuple[str, ...] | None
+
+
+def scope(text: Scope, categories: tuple[str, ...] = CATEGORIES, default: tuple[str, ...] | None = None) -> tuple[str, ...] | None:
+    """The categories of a scope in their order; none for ``all``, which filters nothing. ``default`` are the first two
+    unless named. Categories that are already found stay as they are."""
+    if not isinstance(text, str):
+        return text
     folded = text.strip().casefold()
     if folded == "all":
         return None
     if folded in ("default", "both"):
-        return default
+        return categories[:2] if default is None else default
     asked = {part.strip() for part in re.split(r"[+,]", folded)}
-    if not asked <= set(categories):
+    if not asked <= {c.casefold() for c in categories}:
         raise QueryError(f"unknown scope: {text}")
-    return tuple(c for c in categories if c in asked)
+    return tuple(c for c in categories if c.casefold() in asked)
 
 
 def distinct_queries(queries: list[str]) -> list[str]:

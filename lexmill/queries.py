@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -224,9 +224,7 @@ FROM p a JOIN p b ON a.book = b.book AND b.ordinal BETWEEN a.ordinal - 2 AND a.o
 )
 def passage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source as one file of passages in order: the neighbourhood of every passage."""
-
-
-    rows = passages(spark, sf_dir).withColumn("ordinal", F.dense_rank().over(Window.partitionBy("book").orderBy("id")) - 1)
+    rows = search.ordinals(passages(spark, sf_dir).select("id", "book"), "book", "id")
     near = search.neighbours(rows.select("id", F.lit("all").alias("source"), F.col("book").alias("relative_path"), "ordinal"), 2)
     return near.select("id", F.size("near").cast("long").alias("near"), F.array_min("near").alias("first_near"), F.array_max("near").alias("last_near"))
 
@@ -396,10 +394,8 @@ SELECT doc_id, array_to_string(words[greatest(len(words) - 19, 1):], ' ') AS con
 )
 def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a source as pages of a book: the last twenty words of the page before."""
-
-
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.coalesce("text", F.lit("")).alias("text"), F.lit("complete").alias("status"))
-    pages = docs.withColumn("page_number", F.dense_rank().over(Window.partitionBy("book").orderBy("doc_id")))
+    pages = search.ordinals(docs, "book", "doc_id", "page_number")
     return corpus.page_context(pages, 20).select("doc_id", "context")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import glossary, graph, packing
-from .queries import ORACLE, ROLE_SQL, VOCABULARY_SQL, query, sql_normal, sql_text, table
+from .operators import glossary, graph, packing, search
+from .queries import ORACLE, ROLE_SQL, VOCABULARY_SQL, passages, query, sql_normal, sql_text, table
 
 # --- connections and themes ----------------------------------------------------------------
 
@@ -82,6 +82,59 @@ def claims_in_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.claims_in_graph(*(rows.where(F.col("position") % n == 0).select(F.explode("claim_ids").alias("claim_id")) for n in (2, 3)))
 
 
+ACCEPTED_SQL = f"""{CONNECTIONS_SQL},
+linked AS (SELECT 'conn-' || lpad((row_number() OVER (ORDER BY position))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY position))::VARCHAR))::INTEGER, '0') AS connection_id, type, list_distinct(claim_ids) AS ids FROM told WHERE reason IS NULL),
+labelled AS (SELECT *, CASE WHEN trim(label) = '' THEN 'no label' {COMMON_SQL} END AS flaw FROM facts),
+settled AS (SELECT *, coalesce(flaw, CASE WHEN row_number() OVER (PARTITION BY flaw IS NULL, lower(trim(label)), list_sort(list_distinct(claim_ids)) ORDER BY position) > 1 THEN 'again' END) AS against FROM labelled),
+themed AS (SELECT 'theme-' || lpad((row_number() OVER (ORDER BY position))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY position))::VARCHAR))::INTEGER, '0') AS theme_id, list_distinct(claim_ids) AS ids FROM settled WHERE against IS NULL)"""
+
+
+def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents as claims, with the accepted connections and themes over them."""
+    rows, _ = links(spark, sf_dir)
+    claims = passages(spark, sf_dir).select(
+        F.concat_ws("#", "book", "id").alias("claim_id"), F.concat(F.lit("said in "), F.coalesce("source", F.lit("none"))).alias("statement"), F.lit(None).cast("string").alias("quote"), F.col("book").alias("document_id"),
+        F.when(F.col("id") % 3 == 0, "p0001").otherwise("none").alias("passage_id"), F.concat("source", F.lit(":"), "relative_path", F.lit("#"), F.when(F.col("id") % 2 == 0, F.col("anchor")).otherwise("gone")).alias("citation"),
+    )
+    return graph.cited(claims), graph.validate_connections(rows, claims), graph.validate_themes(rows, claims)
+
+
+@query(
+    f"""WITH {ACCEPTED_SQL.removeprefix('WITH ')}, e AS (SELECT connection_id, unnest(ids) AS claim_id FROM linked WHERE type = 'supports')
+SELECT connection_id, 1 + count_if(lang = 'en')::BIGINT AS score, count(*)::BIGINT AS claims FROM e JOIN documents ON claim_id = source || '#' || doc_id
+GROUP BY connection_id HAVING count_if(lang = 'en') > 0 ORDER BY score DESC, connection_id LIMIT 50"""
+)
+def connection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims, connections, _ = graph_tables(spark, sf_dir)
+    return graph.connections_of(connections, claims, "supports en", limit=50).select("connection_id", "score", F.size("claims").cast("long").alias("claims"))
+
+
+@query(
+    f"""WITH {ACCEPTED_SQL.removeprefix('WITH ')}, e AS (SELECT theme_id, unnest(ids) AS claim_id FROM themed)
+SELECT theme_id, 1 + count_if(lang = 'de')::BIGINT AS score FROM e JOIN documents ON claim_id = source || '#' || doc_id
+GROUP BY theme_id HAVING count_if(lang = 'de') > 0 AND count_if(lang IN ('en', 'de')) = count(*) ORDER BY score DESC, theme_id LIMIT 50"""
+)
+def theme_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims, _, themes = graph_tables(spark, sf_dir)
+    return graph.themes_of(themes, claims, "theme de", where="default", limit=50).select("theme_id", "score")
+
+
+@query(
+    f"""WITH {ACCEPTED_SQL.removeprefix('WITH ')}, named AS (SELECT unnest(ids) AS claim_id FROM linked UNION SELECT unnest(ids) FROM themed)
+SELECT (SELECT count(*) FROM documents)::BIGINT AS claims, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0)::BIGINT AS with_passage,
+  (SELECT count(*) FROM linked)::BIGINT AS connections, (SELECT count(*) FROM themed)::BIGINT AS themes, (SELECT count(*) FROM named)::BIGINT AS claims_in_graph, 0::BIGINT AS unknown_claims"""
+)
+def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph_stats(*graph_tables(spark, sf_dir), passages(spark, sf_dir))
+
+
+@query(ORACLE["search_and_terms"])
+def search_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over a corpus that holds every passage twice: the first id of equal texts under one anchor stays."""
+    rows = passages(spark, sf_dir)
+    return search.search(rows.unionByName(rows.withColumn("id", F.col("id") + 10**9)), "the of in", limit=20, context=None, distinct=True)
+
+
 # --- audit ---------------------------------------------------------------------------------
 
 ASKED, HOW_SURE = ("remove_ordinary_english", "remove_ordinary_english", "keep"), ("high", "medium", "low", "certain")

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
 
@@ -187,6 +188,33 @@ def glossary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.inline("candidates"))
 
 
+CLAIM = "claim_id string, document_id string, passage_id string, citation string, type string, statement string, quote string, key_terms array<string>, modality string, attribution string"
+CONNECTION = "connection_id string, type string, confidence string, summary string, explanation string, claim_ids array<string>"
+THEME = "theme_id string, label string, summary string, claim_ids array<string>"
+
+
+def graph_artifact(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Claims, connections and themes of a graph's folder, or none if it has no claims; rows without id go, of repeated ids one stays.
+
+    ``claims.json`` holds ``items`` or else ``claims``; ``relationships/result.json`` holds ``connections`` (or else
+    ``relationships``) and ``themes``, and may be missing: then both are empty.
+    """
+    kind = lambda **fields: ", ".join(f"{k} array<struct<{v}>>" for k, v in fields.items())
+    read = lambda schema, path: spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    whole = lambda rows, name: rows.select(F.inline(name)).where(F.coalesce(F.trim(f"{name}_id"), F.lit("")) != "")
+    try:
+        claims = read(kind(items=CLAIM, claims=CLAIM), f"{root}/claims.json").select(F.coalesce("items", "claims").alias("claim"))
+    except AnalysisException:
+        return None
+    try:
+        linked = read(kind(connections=CONNECTION, relationships=CONNECTION, themes=THEME), f"{root}/relationships/result.json")
+    except AnalysisException:
+        linked = spark.createDataFrame([], kind(connections=CONNECTION, relationships=CONNECTION, themes=THEME))
+    linked = linked.select(F.coalesce("connections", "relationships").alias("connection"), F.col("themes").alias("theme"))
+    tables = whole(claims, "claim"), whole(linked, "connection"), whole(linked, "theme")
+    return tuple(rows.dropDuplicates([f"{name}_id"]) for rows, name in zip(tables, ("claim", "connection", "theme"), strict=True))
+
+
 def _unpacked(read: Callable[[bytes], list[tuple[int, str]]], found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

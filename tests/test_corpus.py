@@ -25,6 +25,33 @@ def test_build_and_ask(spark, tmp_path, capsys):
     assert run("build")[0] == 2 and len(run("stats")[1]) == 2
 
 
+def test_own_categories_and_graph(spark, tmp_path, capsys):
+    for name, text in (("stories", "A story about a lamp that is long enough to stay."), ("talks", "A talk about a lamp that is long enough to stay."), ("notes", "A note about a lamp that is long enough to stay.")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.html").write_text(f"<title>One</title><body><p>{text}</p></body>")
+    (tmp_path / "g" / "relationships").mkdir(parents=True)
+    claims = [{"claim_id": f"{s}#1", "document_id": f"{s}:a", "citation": f"{s}:a.html#p0001", "passage_id": "p0001", "statement": "lamps", "quote": "lamp", "odd": 1} for s in ("stories", "talks")]
+    (tmp_path / "g" / "claims.json").write_text(json.dumps({"claims": [*claims, {"claim_id": " "}]}))
+    linked = {"connections": [{"connection_id": "conn-001", "type": "supports", "claim_ids": ["stories#1", "talks#1"]}], "themes": [{"theme_id": "theme-001", "label": "Lamps", "claim_ids": ["stories#1"]}, {"label": "none"}]}
+    (tmp_path / "g" / "relationships" / "result.json").write_text(json.dumps(linked))
+    root = str(tmp_path / "corpus")
+
+    def run(*args):
+        code = cli.main([root, *args], spark)
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    build = ["build", *(x for s in ("talks", "stories", "notes") for x in ("--html", f"{s}={tmp_path / s}"))]
+    assert run(*build)[0] == 0 and run("connections", "--query", "lamp")[0] == 2
+    assert run(*build, "--graph", str(tmp_path / "g"))[0] == 0
+    assert sorted(r["source"] for r in run("search", "lamp")[1]) == ["stories", "talks"]
+    assert sorted(r["source"] for r in run("search", "lamp", "--source", "notes+talks")[1]) == ["notes", "talks"]
+    assert run("search", "lamp", "--source", "en")[0] == 2
+    assert [r["graph_id"] for r in run("connections", "--query", "lamp")[1]] == ["conn-001", "theme-001"]
+    assert [r["graph_id"] for r in run("connections", "--claim-id", "stories#1", "--source", "stories")[1]] == ["theme-001"]
+    assert run("connections")[0] == 2 and run("connections", "--claim-id", "zz")[0] == 2
+    assert run("graph-stats")[1] == [{"claims": 2, "with_passage": 2, "connections": 1, "themes": 1, "claims_in_graph": 2, "unknown_claims": 0}]
+
+
 def test_packing(spark):
     rows = [("d1", f"p{i}", "a", i, "x" * 50) for i in range(4)] + [("d2", "p0", "a", 0, "y" * 500)]
     out = packing.document_chunks(spark.createDataFrame(rows, "document_id string, passage_id string, anchor string, ordinal int, text string"), 230)

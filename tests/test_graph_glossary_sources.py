@@ -1,7 +1,9 @@
 import io
 import zipfile
 
-from lexmill.operators import glossary, graph
+from pyspark.sql import functions as F
+
+from lexmill.operators import glossary, graph, search
 from lexmill.sources import files
 from lexmill.streaming import ingest
 
@@ -27,6 +29,32 @@ def test_connections(spark):
     assert graph.connections_of(good, claims, where="en").count() == 0
 
 
+def test_themes_and_compaction(spark):
+    claims = spark.createDataFrame([("a#1", "en", "alpha beta", "q", ["Term"]), ("b#1", "de", "beta", "q" * 2000, None)], "claim_id string, source string, statement string, quote string, key_terms array<string>")
+    themes = spark.createDataFrame([("t1", "Label", "", ["a#1", "b#1"]), ("t2", "Label", "beta", ["a#1", "zz"]), ("t3", "Other", "s", ["b#1"]), ("t4", "", "", [])], "theme_id string, label string, summary string, claim_ids array<string>")
+    assert [(r["theme_id"], r["score"]) for r in graph.themes_of(themes, claims, "beta").collect()] == [("t1", 2), ("t3", 1)]
+    assert [r["theme_id"] for r in graph.themes_of(themes, claims, "term").collect()] == ["t1"]
+    assert [r["theme_id"] for r in graph.themes_of(themes, claims, claim="b#1", where=("de",)).collect()] == ["t3"]
+    links = spark.createDataFrame([("c1", "supports", "high", "about beta", "since", ["a#1", "b#1"])], "connection_id string, type string, confidence string, summary string, explanation string, claim_ids array<string>")
+    assert graph.connections_of(links, claims, "since").count() == 1
+    rows = graph.compact(graph.connections_of(links, claims, "beta"), graph.themes_of(themes, claims, "beta")).collect()
+    assert [(r["graph_id"], r["kind"], r["summary"]) for r in rows] == [("c1", "connection", "about beta"), ("t1", "theme", "Label"), ("t3", "theme", "s")]
+    assert [len(c["quote"]) for c in rows[0]["claims"]] == [1, 1200]
+    places = spark.createDataFrame([(1, "en", "f", "s-1", 0, "t", "x")], "id long, source string, relative_path string, anchor string, ordinal int, title string, text string")
+    cited = graph.cited(spark.createDataFrame([("a#1", "x:d", "p1", "en:f#s-1"), ("b#1", "de:d", "p1", "g")], "claim_id string, document_id string, passage_id string, citation string"))
+    assert [tuple(r) for r in cited.orderBy("claim_id").select("source", "path", "anchor").collect()] == [("en", "f", "s-1"), ("de", "g", "")]
+    assert graph.graph_stats(cited, links, themes, places).first().asDict() == {"claims": 2, "with_passage": 1, "connections": 1, "themes": 4, "claims_in_graph": 3, "unknown_claims": 1}
+
+
+def test_ordinals_and_neighbours(spark):
+    rows = spark.createDataFrame([(1, "a"), (4096, "a"), (4097, "a"), (9000, "a"), (9000, "a"), (5, None), (7, None)], "id long, book string")
+    got = search.ordinals(rows, "book", "id")
+    assert sorted((r["id"], r["ordinal"]) for r in got.where("book = 'a'").collect()) == [(1, 0), (4096, 1), (4097, 2), (9000, 3), (9000, 3)]
+    assert sorted((r["id"], r["ordinal"]) for r in got.where("book is null").collect()) == [(5, 0), (7, 1)]
+    near = search.neighbours(got.withColumnRenamed("book", "relative_path").withColumn("source", F.lit("s")), 1)
+    assert {(r["id"], tuple(r["near"])) for r in near.collect()} == {(1, (1, 4096)), (4096, (1, 4096, 4097)), (4097, (4096, 4097, 9000, 9000)), (9000, (4097, 9000, 9000)), (5, (5, 7)), (7, (5, 7))}
+
+
 def test_linking(spark):
     places = spark.createDataFrame([(1, "en", "f", "s-1", 0, "t", "x"), (2, "en", "f", "s-2", 1, "t", "y")], "id long, source string, relative_path string, anchor string, ordinal int, title string, text string")
     claims = spark.createDataFrame([("c1", "en", "f", "s-2", "p0001"), ("c2", "en", "f", "gone", "p0002"), ("c3", "en", "f", "gone", "zz")], "claim_id string, source string, path string, anchor string, passage_id string")
