@@ -90,7 +90,7 @@ def feature_columns(c: Column, before: Column, after: Column) -> dict[str, Colum
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """``before``, ``candidate``, ``after`` and ``label``: findings of 24 kinds, made by rule from digests of row numbers."""
+    """``before``, ``candidate``, ``after``, ``label`` and ``kind``: findings of 24 kinds, made by rule from digests of row numbers."""
     h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
     g = F.sha2(F.concat(F.lit("context"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[\r\n]", "")
@@ -136,7 +136,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     return spark.range(rows).select(
         F.right(F.concat(prose, pick(1)), F.lit(BEFORE)).alias("before"), pick(2).alias("candidate"),
         F.left(F.concat(pick(3), F.lit(" "), F.reverse(prose)), F.lit(AFTER)).alias("after"),
-        F.coalesce(*(F.when(kind == i, F.lit(float(row[0]))) for i, row in enumerate(kinds))).alias("label"),
+        F.coalesce(*(F.when(kind == i, F.lit(float(row[0]))) for i, row in enumerate(kinds))).alias("label"), kind.cast("int").alias("kind"),
     )
 
 
@@ -148,6 +148,15 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(rows)
 
 
+def unseen(findings: DataFrame, kind: int, threshold: float = 0.5) -> tuple[float, int, int]:
+    """How a forest judges a kind of findings that it has not learned from: the kind's label, its rows, and how many are told right."""
+    forest = train(findings.where(F.col("kind") != kind))
+    features = F.array(*(F.coalesce(v, F.lit(0.0)).cast("double") for v in feature_columns(F.col("candidate"), F.col("before"), F.col("after")).values()))
+    rows = findings.where(F.col("kind") == kind).select("label", features.alias("f"))
+    right = F.count_if((F.expr(as_sql(forest, "f")) >= threshold) == (F.col("label") == 1))
+    return tuple(rows.agg(F.first("label"), F.count(F.lit(1)), right).first())
+
+
 def as_sql(model: RandomForestClassificationModel, features: str) -> str:
     """The forest's probability of a secret as SQL over an array of features: the mean of the trees' leaf shares."""
 

@@ -400,6 +400,14 @@ def test_secrets_after_any_secret_word_and_without_digits(spark):
 # --- 9 ---
 
 
+def test_secrets_of_kinds_that_the_forest_has_not_learned_from(spark):
+    findings = secret_scan.labelled_findings(spark).cache()
+    for kind, label, least in ((1, 1, 0.95), (4, 1, 0.95), (10, 0, 0.95)):
+        told, rows, right = secret_scan.unseen(findings, kind)
+        assert told == label and rows > 100 and right >= least * rows
+    findings.unpersist()
+
+
 def test_cap_filters_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cap_filters, "BLOCK", 16)
     rng = np.random.default_rng(3)
