@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, decontaminate, html_extract, order_minhash, quality, secret_scan, toxicity, url_filters, warc
+from . import bpe, cap_filters, conversation_repair, decontaminate, html_extract, metric_tree, order_minhash, quality, secret_scan, spelling, toxicity, url_filters, warc
 from .common import crc_fold
 
 
@@ -103,6 +103,115 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::HUGEINT) AS x FROM embeddings
+  WHERE list_count(embedding) = len(embedding) AND NOT list_contains(list_transform(embedding, lambda x: isfinite(x)), false)),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, coalesce(list_sum(list_transform(list_zip(q.x, v.x), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: DuckDB has no CRC-32: a table of the 256 bytes' remainders, folded over the bytes of a text.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of ``text`` (letters up to U+00FF), where ``crc_table`` is joined."""
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda s: CASE WHEN ord(s) < 128 THEN [ord(s)] ELSE [192 | (ord(s) >> 6), 128 | (ord(s) & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}::BIGINT[]), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+#: Near words by letters left out: two words of one length agree without the letter at one place, a longer one is the shorter without one.
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+told AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, k, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM told, crc_table),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INTEGER AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS best_n FROM pairs GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT words.word, n, CASE WHEN best_n >= 2 * n THEN best END AS form, CASE WHEN best_n >= 2 * n THEN best_n END::BIGINT AS form_n, coalesce(n_near, 0)::BIGINT AS n_near
+  FROM words LEFT JOIN near ON near.word = words.word),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT chain.word, form FROM chain JOIN forms ON forms.word = root WHERE form IS NOT NULL),
+ends AS (SELECT chain.word, root FROM chain JOIN forms ON forms.word = root WHERE form IS NULL)
+SELECT forms.word, n, form, form_n, n_near, root FROM forms JOIN ends ON ends.word = forms.word
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def _walked() -> str:
+    """SQL for the four states after a row: cheapest audit and text of each, then of those with turns inserted."""
+    line = "chr(10) || role || ':' || text"
+
+    def to(state: int, cost: str, letter: str, text: str = "''") -> str:
+        return f"{{'c': s{state}.c + {cost}, 'a': s{state}.a || '{letter}', 't': s{state}.t || {text}}}"
+
+    kept = lambda state, initial: to(state, f"CASE WHEN fault IN ('blank', 'duplicate') OR left(role, 1) <> '{initial}' THEN 1000000 ELSE more END", "K", line)
+    reroled = lambda state, role: to(state, "CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE more + 1 END", "R", f"chr(10) || '{role}:' || text")
+    moves: dict[int, list[str]] = {k: [to(k, "2", "D")] for k in range(4)}
+    moves[1].append(kept(0, "s"))
+    for state in (0, 1, 3):
+        moves[2] += [kept(state, "u"), reroled(state, "user")]
+    moves[3] += [kept(2, "a"), reroled(2, "assistant")]
+    return ", ".join(f"list_min([{', '.join(m)}]) AS s{k}" for k, m in moves.items())
+
+
+INSERTED = "{{'c': s{0}.c + 5, 'a': s{0}.a || 'I', 't': s{0}.t || chr(10) || '{1}:'}}"
+USERS = f"list_min([s2, {INSERTED.format(0, 'user')}, {INSERTED.format(1, 'user')}, {INSERTED.format(3, 'user')}])"
+NEVER = "{'c': 1000000::BIGINT, 'a': '', 't': ''}"
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (SELECT *, {crc_sql("name")} % 20 AS kind FROM given, crc_table),
+rows_after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM hashed WHERE kind <> 0)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_after),
+faults AS MATERIALIZED (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two,
+         CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more
+  FROM numbered),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faults GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS s0, {NEVER} AS s1,
+         {{'c': 5::BIGINT, 'a': 'I', 't': chr(10) || 'user:'}} AS s2, {{'c': 10::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, s0, s1, u AS s2, list_min([s3, {{'c': u.c + 5, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}}]) AS s3
+  FROM (SELECT *, {USERS} AS u FROM (
+    SELECT walk.conv_id, faults.i, {_walked()} FROM walk JOIN faults ON faults.conv_id IS NOT DISTINCT FROM walk.conv_id AND faults.i = walk.i + 1))),
+ends AS (SELECT counts.*, list_min([s0, s3]) AS e FROM walk JOIN counts ON walk.conv_id IS NOT DISTINCT FROM counts.conv_id AND walk.i = counts.n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(e.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -114,6 +223,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_cap_filters": op9_cap_filters,
     "op10_quality": op10_quality,
+    "op11_metric_tree": op11_metric_tree,
+    "op12_spelling": op12_spelling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: All pairs; for tables of tests only.
@@ -130,4 +242,4 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
 """
 
-ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op9_cap_filters": OP9_SQL}
+ORACLE: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op9_cap_filters": OP9_SQL, "op11_metric_tree": OP11_SQL, "op12_spelling": OP12_SQL, "op13_conversation_repair": OP13_SQL}
