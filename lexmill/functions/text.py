@@ -27,7 +27,7 @@ def plain(text: str) -> str:
 def character_map() -> tuple[str, str, dict[str, str]]:
     """Characters to translate, their images (deletions at the end have none), and those that become several.
 
-    Hangul syllables are left composed; they are so in queries and texts alike.
+    Hangul syllables are not among them: they follow a rule (``letters_of_hangul``).
     """
     single, gone, several = [], [], {}
     for code in (*range(0xD800), *range(0xE000, 0x110000)):
@@ -45,6 +45,18 @@ def character_map() -> tuple[str, str, dict[str, str]]:
     return "".join(a for a, _ in single) + "".join(gone), "".join(b for _, b in single), several
 
 
+def letters_of_hangul(text: Column) -> Column:
+    """Hangul syllables as their two or three letters, by arithmetic on their code points; everything else as it is."""
+    jamo = lambda first, count: F.array(*(F.lit(chr(first + k)) for k in range(count)))
+
+    def letters(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        last = F.when(n % 28 > 0, F.get(jamo(0x11A7, 28), n % 28)).otherwise("")
+        return F.when((n >= 0) & (n < 11172), F.concat(F.get(jamo(0x1100, 19), F.floor(n / 588).cast("int")), F.get(jamo(0x1161, 21), F.floor(n % 588 / 28).cast("int")), last)).otherwise(c)
+
+    return F.when(text.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(text, ""), letters), "")).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
     """Case-folded text without combining marks, on built-in functions alone."""
     source, target, several = character_map()
@@ -53,7 +65,7 @@ def normalize(text: Column) -> Column:
     for c, image in several.items():
         chained = F.replace(chained, F.lit(c), F.lit(image))
     expanded = F.when(text.rlike("[" + "".join(several) + "]"), chained).otherwise(text)
-    return F.when(is_ascii, F.lower(text)).otherwise(F.translate(expanded, source, target))
+    return F.when(is_ascii, F.lower(text)).otherwise(F.translate(letters_of_hangul(expanded), source, target))
 
 
 def tokens(normal: Column) -> Column:

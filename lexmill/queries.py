@@ -418,4 +418,4 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
-from . import queries_more  # noqa: E402, F401  (registers its queries here)
+from . import queries_glossary, queries_more  # noqa: E402, F401  (they register their queries here)
