@@ -8,14 +8,15 @@ two equally cheap audits the first difference is found by a binary search. Equal
 paths until they meet, and what is verified once is not walked again.
 
 How it is spread: a conversation's rows are read in order by one task, as the digest of the repaired text, a chain over
-all of it, asks for anyway, but they stream: rows are sorted by Spark, which spills, and what all living paths share is handed on
-and forgotten, so that memory doesn't grow with the conversation. The search reads a few bytes of a row, not its text.
+all of it, asks for anyway, but they stream: rows are sorted by Spark, which spills, what all living paths share is handed on
+and forgotten, and of what they don't share a byte an edit is kept. The search reads a few bytes of a row, not its text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -100,13 +101,31 @@ class Audits:
         return self.letter[x] < self.letter[y]
 
 
+class Rope:
+    """Edits that some living paths begin with and that no comparison needs any more: one byte an edit."""
+
+    def __init__(self, above: Rope | None, text: str) -> None:
+        self.above, self.text, self.depth = above, text.encode(), above.depth + 1 if above else 0
+
+    def whole(self) -> str:
+        parts, rope = [], self
+        while rope:
+            parts.append(rope.text)
+            rope = rope.above
+        return b"".join(reversed(parts)).decode()
+
+
 class Search:
-    """The cheapest audit of one conversation; rows go in by ``row``, edits come out as soon as they are certain."""
+    """The cheapest audit of one conversation; rows go in by ``row``, edits come out as soon as they are certain.
+
+    Once enough nodes are held, what lies behind the living ones is packed into ropes. Which of two living paths comes first
+    is settled by then, unless one begins the other, and is kept as the letter of the node that each goes on from.
+    """
 
     def __init__(self, audits: type[Audits] = Audits) -> None:
         self.make, self.audits = audits, audits()
         self.best: list[tuple[int, int] | None] = [(0, 0), None, None, None]
-        self.full = FLUSH
+        self.roots = {0: Rope(None, "")}
         self._inserts()
 
     def _better(self, old: tuple[int, int] | None, cost: int, parent: int, letter: str) -> tuple[int, int]:
@@ -140,29 +159,40 @@ class Search:
         self.best = new
         self._inserts()
 
+    def _root(self, node: int) -> int:
+        while node not in self.roots:
+            node = self.audits.up[node][0]
+        return node
+
     def certain(self) -> str:
         """Edits that all living paths begin with, once enough nodes are held; they are forgotten here."""
-        if len(self.audits.up) < self.full:
+        if len(self.audits.up) < FLUSH:
             return ""
-        old = self.audits
-        ends = {held[1] for held in self.best if held}
-        while len(ends) > 1:
-            deepest = max(ends, key=lambda n: (old.depth[n], n))
-            ends.remove(deepest)
-            ends.add(old.up[deepest][0])
-        root = ends.pop()
-        kept, self.audits = {root: 0}, self.make()
-        on_paths = set()
-        for held in self.best:
-            node = held[1] if held else root
-            while node != root and node not in on_paths:
-                on_paths.add(node)
-                node = old.up[node][0]
-        for node in sorted(on_paths):
-            kept[node] = self.audits.add(kept[old.up[node][0]], old.letter[node])
-        self.best = [held and (held[0], kept[held[1]]) for held in self.best]
-        self.full = max(FLUSH, 4 * len(kept))
-        return old.path(root)
+        old, living = self.audits, {held[1] for held in self.best if held}
+        over = {}  # living nodes that another living one goes on from, and the first of them
+        for node in living:
+            top, here = node, node
+            while here not in self.roots:
+                here = old.up[here][0]
+                if here in living:
+                    top = here
+            over[node] = top
+        tops = sorted(set(over.values()), key=cmp_to_key(lambda a, b: -1 if old.less(a, b) else 1))
+        ropes = [Rope(self.roots[r := self._root(n)], old.path(n, r)) for n in tops]
+        self.audits = self.make()
+        places = [self.audits.add(0, chr(1 + rank)) for rank in range(len(tops))]
+        moved = dict(zip(tops, places, strict=True))
+        for node in sorted(living - set(tops)):  # a path below its top is inserted turns alone
+            for letter in old.path(node, over[node]):
+                moved[node] = self.audits.add(moved.get(node, moved[over[node]]), letter)
+        self.best = [held and (held[0], moved[held[1]]) for held in self.best]
+        self.roots = dict(zip(places, ropes, strict=True))
+        while len(set(map(id, ropes))) > 1:  # back to what all of them share
+            deepest = max(range(len(ropes)), key=lambda k: ropes[k].depth)
+            ropes[deepest] = ropes[deepest].above
+        out = ropes[0].whole()
+        ropes[0].above, ropes[0].text = None, b""
+        return out
 
     def end(self) -> tuple[int, str]:
         """The cost of the cheapest audit and the edits that are not out yet."""
@@ -170,7 +200,8 @@ class Search:
         cost = min(held[0] for held in ends)
         nodes = [held[1] for held in ends if held[0] == cost]
         node = nodes[1] if len(nodes) > 1 and self.audits.less(nodes[1], nodes[0]) else nodes[0]
-        return cost, self.audits.path(node)
+        root = self._root(node)
+        return cost, self.roots[root].whole() + self.audits.path(node, root)
 
 
 def damage(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -207,7 +238,8 @@ class _Conversation:
     """What one conversation has shown so far."""
 
     def __init__(self) -> None:
-        self.search, self.waiting, self.ready, self.state = Search(), [], "", 0
+        self.search, self.ready, self.state = Search(), "", 0
+        self.first, self.initials = 0, bytearray()  # rows whose edits aren't certain: the place of the first, and a letter of each
         self.turns: list[int] = [0, 0, 0]  # least, largest, how many
         self.faults, self.illegal, self.last = [0, 0, 0, 0], 0, None
 
@@ -220,7 +252,9 @@ class _Conversation:
         if self.last is not None:
             self.illegal += self.last + initial not in ("su", "ua", "au")
         self.last = initial
-        self.waiting.append((at, initial))
+        if not self.initials:
+            self.first = at
+        self.initials += initial.encode() if initial in ("s", "u", "a") else b"-"
         self.search.row(initial, fault)
 
     def edits(self, letters: str) -> Iterator[tuple[int, str, str]]:
@@ -234,11 +268,12 @@ class _Conversation:
             else:
                 put += "."
                 if letter == "K":
-                    state = NEXT[state][self.waiting[done][1]]
+                    state = NEXT[state][chr(self.initials[done])]
             if letter != "I":
-                yield self.waiting[done][0], letters[start : k + 1], put
+                yield self.first + done, letters[start : k + 1], put
                 start, done, put, self.state = k + 1, done + 1, "", state
-        del self.waiting[:done]
+        del self.initials[:done]
+        self.first += done
         self.ready = letters[start:]
 
     def close(self) -> tuple[str, str, tuple[int, ...], list[tuple[int, str, str]]]:
