@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, only, written
 
 #: Vectors of a tree, entries of a page, queries that visit a tree together, pivots at most.
-TREE, PAGE, QUERIES, PIVOTS = 1024, 64, 512, 512
+TREE, PAGE, QUERIES, PIVOTS = 4096, 256, 512, 512
 #: Entries of an inner page.
 FANOUT = 8
 #: Whole numbers below this add up exactly in double precision.
@@ -64,14 +64,19 @@ def norms(x: np.ndarray) -> np.ndarray:
     return safe * np.sqrt(((x / safe[:, None]) ** 2).sum(axis=1)) * (top > 0)
 
 
-def scores(x: np.ndarray, q: np.ndarray) -> list[int]:
-    """Inner products as whole numbers, held within 64 bits."""
-    if not x.size:
-        return [0] * len(x)
-    if np.abs(x).max() * np.abs(q).max() * len(q) < EXACT:
-        return (x @ q).astype(np.int64).tolist()
-    mine = [int(a) for a in q]
-    return [min(max(sum(int(a) * b for a, b in zip(row, mine, strict=True)), LONG[0]), LONG[1]) for row in x.tolist()]
+def scores(x: np.ndarray, q: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of rows with rows, in double precision and as whole numbers held within 64 bits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        product = x @ q.T
+    if exact:
+        return product, product.astype(np.int64)
+    big = lambda rows: np.array([[int(a) for a in row] for row in rows.tolist()], dtype=object).reshape(rows.shape)
+    return product, np.clip(big(x) @ big(q).T, *LONG).astype(np.int64).reshape(product.shape)
+
+
+def anything(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids that every vector comes before."""
+    return np.full(n, LONG[0]), np.full(n, LONG[1])
 
 
 class Tree:
@@ -79,10 +84,19 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x, self.size = ids, x, float(norms(x).max())
+        self.most = float(np.abs(x).max()) if x.size else 0.0
         self.centre: list[np.ndarray] = []
         self.radius: list[float] = []
         self.parts: list[tuple[bool, np.ndarray, np.ndarray]] = []  # leaf?, rows or pages, their distances to the centre
         self._page(np.arange(len(ids)))
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """What a visit to a page needs, side by side: what an entry adds to the parent's distance, and centres or vectors."""
+        radius, centre = np.array(self.radius), np.array(self.centre)
+        self.reach = [gaps if leaf else gaps + radius[parts] for leaf, parts, gaps in self.parts]
+        self.beside = [self.x[parts] if leaf else centre[parts] for leaf, parts, _ in self.parts]
+        self.radii = radius
 
     def _page(self, rows: np.ndarray) -> int:
         x = self.x[rows]
@@ -118,41 +132,49 @@ class Tree:
         groups = [g for g in groups if len(g)]
         return groups if len(groups) > 1 else np.array_split(rows, FANOUT)
 
-    def top(self, q: np.ndarray, own: int, k: int, least: tuple[int, int] | None) -> tuple[list[tuple[int, int]], int]:
-        """The best ``k`` (score, -id) of other ids that come before ``least``, and how many products it took."""
-        length = float(norms(q[None])[0])
+    def top(self, q: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
+        """For each row of ``q`` its best ``k`` (score, id) of other ids that come before (kth, kth_id), and how many products it took.
+
+        Pages are taken by the best bound that any of the queries has for them; a query goes on only into pages
+        that can still give it something.
+        """
+        length = norms(q)
         pad = SLACK * length * (self.size + 1) + SLACK  # far above what rounding does to products and norms
-        best: list[tuple[int, int]] = []  # a heap, the worst first
-        floor = -float("inf") if least is None else float(least[0])
-        first = float(self.centre[0] @ q)
-        pages = [(-float("inf"), 0, first)]
-        count = 1
-        while pages:
-            bound, page, product = heapq.heappop(pages)
-            if -bound < floor:
+        exact = self.most * float(np.abs(q).max(initial=0.0)) * q.shape[1] < EXACT
+        worst, worst_id = kth.copy(), kth_id.copy()
+        best: list[list[tuple[int, int]]] = [[] for _ in q]
+        everyone = np.arange(len(q))
+        pages = [(-np.inf, 0, everyone, self.centre[0] @ q.T)]
+        count = len(q)
+        while pages and len(q):
+            bound, page, some, product = heapq.heappop(pages)
+            floor = np.nextafter(worst.astype(np.float64), -np.inf)
+            if -bound < floor.min():
                 break
-            leaf, parts, gaps = self.parts[page]
-            reach = gaps if leaf else gaps + np.array([self.radius[p] for p in parts])
-            able = ~(product + length * reach + pad < floor)  # by the stored distances alone
-            some = parts[able]
-            count += len(some)
+            leaf, parts, _ = self.parts[page]
+            with np.errstate(over="ignore", invalid="ignore"):
+                able = ~(self.reach[page][:, None] * length[some] + (product + pad[some]) < floor[some])  # by the stored distances alone
+            rows, columns = able.any(axis=1), able.any(axis=0)
+            able, some, parts = able[np.ix_(rows, columns)], some[columns], parts[rows]
+            count += int(able.sum())
+            product, score = scores(self.beside[page][rows], q[some], exact or not leaf)
             if leaf:
-                for score, row in zip(scores(self.x[some], q), some.tolist(), strict=True):
-                    here = (score, -int(self.ids[row]))
-                    if -here[1] == own or (least is not None and here <= least):
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, here)
-                    elif here > best[0]:
-                        heapq.heapreplace(best, here)
-                if len(best) == k:
-                    floor = max(floor, float(best[0][0]))
+                ids = self.ids[parts]
+                hit = able & (ids[:, None] != own[some]) & ((score > worst[some]) | ((score == worst[some]) & (ids[:, None] < worst_id[some])))
+                for j in np.flatnonzero(hit.any(axis=0)).tolist():
+                    at = int(some[j])
+                    held = best[at] + list(zip(score[hit[:, j], j].tolist(), ids[hit[:, j]].tolist(), strict=True))
+                    best[at] = held = heapq.nsmallest(k, held, key=lambda x: (-x[0], x[1]))
+                    if len(held) == k:
+                        worst[at], worst_id[at] = held[-1]
             else:
-                inner = np.array([self.centre[p] for p in some]).reshape(len(some), -1) @ q
-                for p, product in zip(some.tolist(), inner.tolist(), strict=True):
-                    bound = product + length * self.radius[p] + pad
-                    heapq.heappush(pages, (-bound if bound == bound else -float("inf"), p, product))
-        return sorted(best, reverse=True), count
+                with np.errstate(over="ignore", invalid="ignore"):
+                    limit = np.nan_to_num(product + self.radii[parts][:, None] * length[some] + pad[some], nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                for i, p in enumerate(parts.tolist()):
+                    on = able[i] & ~(limit[i] < floor[some])
+                    if on.any():
+                        heapq.heappush(pages, (-float(limit[i][on].max()), p, some[on], product[i][on]))
+        return best, count
 
     def pack(self) -> dict:
         """The tree as columns of a row."""
@@ -176,6 +198,8 @@ class Tree:
         tree.centre, tree.radius, tree.size = list(centres), row["radii"], row["size"]
         entries, gaps, starts = np.array(row["entries"], dtype=np.int64), np.array(row["gaps"]), row["starts"]
         tree.parts = [(leaf, entries[a:b], gaps[a:b]) for leaf, a, b in zip(row["leaf"], starts, starts[1:], strict=False)]
+        tree.most = float(np.abs(tree.x).max()) if tree.x.size else 0.0
+        tree._lay_out()
         return tree
 
 
@@ -251,10 +275,11 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
                 row = batch.slice(i, 1).to_pylist()[0]
                 tree = Tree.unpack(row, row["dim"])
                 out = []
-                for at in np.flatnonzero(is_query(tree.ids)).tolist():
-                    best, _ = tree.top(tree.x[at], int(tree.ids[at]), k, None)
-                    last = best[-1] if len(best) == k else (None, None)
-                    out.append((int(tree.ids[at]), row["dim"], tree.x[at].tobytes(), row["tree"], last[0], None if last[1] is None else -last[1], [{"vec_id": -b, "score": s} for s, b in best]))
+                asked = np.flatnonzero(is_query(tree.ids))
+                found, _ = tree.top(tree.x[asked], tree.ids[asked], k, *anything(len(asked)))
+                for at, best in zip(asked.tolist(), found, strict=True):
+                    last = best[-1] if len(best) == k else anything(1)
+                    out.append((int(tree.ids[at]), row["dim"], tree.x[at].tobytes(), row["tree"], int(last[0]), int(last[1]), [{"vec_id": b, "score": s} for s, b in best]))
                 if out:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
@@ -322,7 +347,7 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             length = norms(q)
             with np.errstate(over="ignore", invalid="ignore"):
                 bound = roots @ q.T + (np.frombuffer(row["radii"])[:, None] + SLACK * (np.frombuffer(row["sizes"])[:, None] + 1)) * length + SLACK
-            floor = np.array([-np.inf if x is None else float(x) for x in row["kths"]])
+            floor = np.nextafter(np.array(row["kths"], dtype=np.float64), -np.inf)
             able = ~(bound < floor) & (trees[:, None] != np.frombuffer(row["homes"], "<i8"))
             for t in np.flatnonzero(able.any(axis=1)).tolist():
                 some = np.flatnonzero(able[t])
@@ -340,9 +365,7 @@ def _visit(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
                 number, tree = row["tree"], Tree.unpack(row, row["dim"])
             ids = np.frombuffer(row["query_ids"], "<i8")
             q = np.frombuffer(row["qs"]).reshape(len(ids), row["dim"])
-            out = []
-            for j, (kth, kth_id) in enumerate(zip(row["kths"], row["kth_ids"], strict=True)):
-                best, _ = tree.top(q[j], int(ids[j]), k, None if kth is None else (kth, -kth_id))
-                out.extend((int(ids[j]), -other, score) for score, other in best)
+            found, _ = tree.top(q, ids, k, np.array(row["kths"], dtype=np.int64), np.array(row["kth_ids"], dtype=np.int64))
+            out = [(query_id, other, score) for query_id, best in zip(ids.tolist(), found, strict=True) for score, other in best]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
