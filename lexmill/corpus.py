@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .functions import text as T
-from .operators import glossary, graph, search
+from .operators import glossary, graph, numbering, postings, search
 from .plans.query import QueryError, Scope, scope
 from .sources import files
 
@@ -40,18 +40,20 @@ class Corpus:
         return self.store(reduce(DataFrame.unionByName, parts), tuple(dict.fromkeys([*(html or {}), *(markdown or {})])), graph and files.graph_artifact(self.spark, graph))
 
     def store(self, passages: DataFrame, categories: tuple[str, ...] | None = None, graph_tables: tuple[DataFrame, ...] | None = None) -> DataFrame:
-        """Stores passages (without ids) and their vocabulary. Of equal texts under one anchor the first wins; ids follow
-        source, path and ordinal without gaps: counts of files are summed before local numbers are added."""
+        """Stores passages (without ids), an inverted index of them and their vocabulary. Of equal texts under one anchor the first wins,
+        told by their digests; ids follow source, path and ordinal without gaps."""
         build = f"{self.root}/{uuid.uuid4().hex}"
-        normal = passages.withColumn("normal", T.normalize(F.col("text")))
+        normal = passages.withColumn("normal", F.sha2(T.normalize(F.col("text")), 256))
         first = search.first_wins(normal, ["source", "relative_path", "anchor", "normal"], [F.col("ordinal")]).drop("normal")
-        per_file = first.groupBy("source", "relative_path").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.orderBy("source", F.lower("relative_path"), "relative_path")  # one short row for each file
-        starts = per_file.withColumn("start", F.sum("n").over(order) - F.col("n")).drop("n")
-        local = F.row_number().over(Window.partitionBy("source", "relative_path").orderBy("ordinal", "anchor"))
-        numbered = first.withColumn("k", local).join(starts, ["source", "relative_path"]).withColumn("id", F.col("start") + F.col("k")).drop("k", "start")
-        search.with_words(numbered).write.partitionBy("source").parquet(f"{build}/passages")
-        search.vocabulary(self.spark.read.parquet(f"{build}/passages")).write.partitionBy("source").parquet(f"{build}/terms")
+        order = [F.col("source"), F.lower("relative_path"), F.col("relative_path"), F.col("ordinal"), F.col("anchor")]
+        numbered = numbering.positions(first, order, "__k").withColumn("id", F.col("__k") + 1).drop("__k")
+        placed = search.with_words(postings.placed(numbered))
+        # sorted by id within folders, so that the rows of a result are a few pages of a file
+        placed.repartitionByRange("source", "id").sortWithinPartitions("source", "id").write.partitionBy("source").parquet(f"{build}/passages")
+        stored = self.spark.read.parquet(f"{build}/passages")
+        postings.store(postings.postings(stored), f"{build}/postings")
+        terms = self.spark.read.parquet(f"{build}/postings").groupBy("source", "term").agg(F.count(F.lit(1)).alias("document_frequency"), F.sum(postings.occurrences()).alias("term_frequency"))
+        terms.repartitionByRange("source", "term").sortWithinPartitions("source", "term").write.partitionBy("source").parquet(f"{build}/terms")
         names = categories or tuple(sorted(r["source"] for r in passages.select("source").distinct().collect()))  # a handful
         self.spark.createDataFrame(list(enumerate(names)), "position int, source string").coalesce(1).write.parquet(f"{build}/categories")
         for name, rows in zip(GRAPH_TABLES, graph_tables or (), strict=bool(graph_tables)):
@@ -81,8 +83,12 @@ class Corpus:
         """A scope in the categories of this corpus, in the order of the build; ``default`` means the first two."""
         return scope(where, tuple(r["source"] for r in self._table("categories").orderBy("position").collect()))
 
+    def postings(self) -> DataFrame:
+        return self._table("postings")
+
     def search(self, query: str, where: Scope = "default", **options: object) -> DataFrame:
-        return search.search(self.passages(), query, self.scope(where), **options)
+        """From the inverted index; the passages are read for the rows of the result alone."""
+        return postings.search(self.postings(), self.terms(), self.passages(), query, self.scope(where), **options)
 
     def aggregate(self, queries: list[str], where: Scope = "default", **options: object) -> DataFrame:
         return search.fan_out(self.passages(), queries, self.scope(where), **options)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .search import alike
+from .alike import alike
 
 
 def assess_pages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.query import Scope, SearchPlan, parse, scope, within
+from .numbering import positions
 
 # What a claim and a connection may say of themselves, and how long their texts may be.
 CLAIM_TYPES = ("definition", "proposition", "causal_claim", "prescription", "distinction", "classification", "historical_claim", "unique_concept", "qualification")
@@ -16,8 +17,6 @@ CONNECTION_TYPES = ("supports", "extends", "qualifies", "contrasts", "conceptual
 CONFIDENCES = ("high", "medium", "tentative")
 SUMMARY_CLIP, EXPLANATION_CLIP, LABEL_CLIP = 1200, 3000, 300
 MOST_PER_DOCUMENT, MOST_CLAIMS = 15, 5
-#: Rows whose positions are numbered together.
-SLICE = 4096
 
 
 def evidence(text: Column) -> Column:
@@ -58,12 +57,8 @@ def validate(items: DataFrame, passages: DataFrame, per_document: int = MOST_PER
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` with their 1-based rank by ``position`` (whole, each once): ranks within slices of positions, plus the rows of the slices before."""
-    slices = rows.withColumn("__slice", F.floor(F.col("position") / SLICE))
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice only
-    offsets = slices.groupBy("__slice").count().select("__slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__slice").orderBy("position")) + F.col("__before")
-    return slices.join(offsets, "__slice").withColumn(name, rank).drop("__slice", "__before")
+    """``rows`` with their 1-based rank by ``position`` (each once)."""
+    return positions(rows, ["position"], "__place").withColumn(name, F.col("__place") + 1).drop("__place")
 
 
 def _judge(rows: DataFrame, claims: DataFrame, early: Column, late: Column, repeated: list[Column], most: int | None) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 from difflib import SequenceMatcher
-from functools import reduce
 from itertools import islice, product
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.query import QueryError, Scope, SearchPlan, distinct_queries, parse, scope, within
+from .alike import alike
 
 FIELDS = ("title", "book", "text")
 WEIGHTS = {"title": 1000, "book": 500, "text": 100}
@@ -21,8 +21,6 @@ PHRASE_WEIGHT = 100_000
 RRF_SCALE, RRF_RANK = 100_000, 60
 HIT_WEIGHT = 1_000_000
 MOST_VARIANTS, LEAST_FUZZY = 8, 3
-#: Whole numbers that are ranked together.
-SLICE = 4096
 
 
 def passages_of(docs: DataFrame) -> DataFrame:
@@ -272,26 +270,6 @@ def around(passages: DataFrame, cited: str, context_passages: int = 4) -> DataFr
     return near.withColumn("selected", (F.col("ordinal") == F.col("centre")) & (F.col("anchor") == anchor)).drop("centre").orderBy("ordinal", "id")
 
 
-def alike(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join in which null keys meet null keys; the keys of ``right`` go."""
-    renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    met = left.join(renamed, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), how)
-    return met.drop(*(f"__{k}" for k in keys))
-
-
-def ordinals(rows: DataFrame, group: str, order: str, name: str = "ordinal") -> DataFrame:
-    """``rows`` with their 0-based dense rank by the whole number ``order`` within ``group``.
-
-    Ranks are made within slices of numbers and grow by what the slices before hold, so no group is sorted as a whole.
-    """
-    slices = rows.withColumn("__slice", F.floor(F.col(order) / SLICE))
-    counts = slices.groupBy(group, "__slice").agg(F.countDistinct(order).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    rank = F.dense_rank().over(Window.partitionBy(group, "__slice").orderBy(order)) - 1 + F.col("__before")
-    return alike(slices, offsets, [group, "__slice"]).withColumn(name, rank).drop("__slice", "__before")
-
-
 def neighbours(passages: DataFrame, reach: int) -> DataFrame:
     """Every passage with the ids of those within ``reach`` ordinals of it in its file.
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpus import Corpus
 from .functions import text as T
-from .operators import corpus, glossary, graph, search
+from .operators import corpus, glossary, graph, numbering, search
 from .plans.query import parse
+from .sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +108,30 @@ def search_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(passages(spark, sf_dir), "the of in", limit=20, context=None)
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The documents as a stored corpus with an inverted index, in the shared folder."""
+    corpus_ = Corpus(spark, f"{shared.folder(spark)}/corpus-{uuid.uuid4().hex}")
+    corpus_.store(passages(spark, sf_dir).drop("id"), ("en", "de", "fr", "es"))
+    return corpus_
+
+
+def sql_stored(text: str, where: str, limit: int) -> str:
+    """A search of a stored corpus: ids don't come from the table, so rows are told by their citations."""
+    return f"SELECT * EXCLUDE (id) FROM ({sql_search(text, where, limit)})"
+
+
+@query(sql_stored("the of in", DEFAULT_SQL, 20))
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, from the inverted index of a stored corpus."""
+    return stored(spark, sf_dir).search("the of in", limit=20, context=None).drop("id")
+
+
+@query(sql_stored('"of the" and "in the"', "", 50))
+def search_index_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, by the places that the index holds."""
+    return stored(spark, sf_dir).search('"of the" and "in the"', "all", limit=50, context=None).drop("id")
+
+
 @query(sql_search('"of the" and "in the"', DEFAULT_SQL, 20))
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(passages(spark, sf_dir), '"of the" and "in the"', limit=20, context=None)
@@ -224,7 +251,7 @@ FROM p a JOIN p b ON a.book = b.book AND b.ordinal BETWEEN a.ordinal - 2 AND a.o
 )
 def passage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source as one file of passages in order: the neighbourhood of every passage."""
-    rows = search.ordinals(passages(spark, sf_dir).select("id", "book"), "book", "id")
+    rows = numbering.ordinals(passages(spark, sf_dir).select("id", "book"), "book", "id")
     near = search.neighbours(rows.select("id", F.lit("all").alias("source"), F.col("book").alias("relative_path"), "ordinal"), 2)
     return near.select("id", F.size("near").cast("long").alias("near"), F.array_min("near").alias("first_near"), F.array_max("near").alias("last_near"))
 
@@ -395,7 +422,7 @@ SELECT doc_id, array_to_string(words[greatest(len(words) - 19, 1):], ' ') AS con
 def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a source as pages of a book: the last twenty words of the page before."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("book"), F.coalesce("text", F.lit("")).alias("text"), F.lit("complete").alias("status"))
-    pages = search.ordinals(docs, "book", "doc_id", "page_number")
+    pages = numbering.ordinals(docs, "book", "doc_id", "page_number")
     return corpus.page_context(pages, 20).select("doc_id", "context")
 
 

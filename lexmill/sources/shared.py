@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once, so that its readers don't compute it again and a lost executor costs no more than its tasks.
+def folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only in local mode, where a session names none, a folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lexmill.staging.dir", None)
+    if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        spark.conf.set("lexmill.staging.dir", named)
+    return named.rstrip("/")
+
 
-    The table is in ``spark.checkpoint.dir``; a session without one, as in tests, gets its result as it is.
-    """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once, so that its readers don't compute it again and a lost executor costs no more than its tasks."""
+    path = f"{folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
