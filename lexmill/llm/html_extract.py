@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 A small tolerant reader builds the tree of a page. Elements that never hold the article (scripts,
-menus, forms, adverts, reader comments ...) are dropped by tag, role or the words of their class
-and id. Each remaining node gets its characters and tags, link characters and link tags, and from
+menus, asides, footers, hidden ones ...) are dropped by tag. Forms and elements whose class, id or role has a word of
+noise (adverts, notices, reader comments ...) are under suspicion only: they go unless the page has next to no text without
+them, since a wrapper of all of it may carry such a word too (see ``settle``). Each remaining node gets its characters and tags, link characters and link tags, and from
 them the composite text density; the sum over a node's children scores the node. The node of the
 largest sum is the article's core, and the least density on its path to the body is the threshold.
 Outside the core only what reaches the threshold is taken: of each such node below nodes that reach
@@ -11,11 +12,13 @@ it too, the part of the largest sum. The ``article`` and ``main`` tags break tie
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +34,7 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 DROP = frozenset(
-    "script style noscript template head title nav footer aside form button input select option textarea label fieldset iframe object"
+    "script style noscript template head title nav footer aside button input select option textarea label fieldset iframe object"
     " embed svg canvas audio video map dialog menu noembed noframes xmp applet".split()
 )
 #: An open element of the key closes when one of the values begins.
@@ -52,6 +55,11 @@ NOISE = frozenset(
 KEEP = frozenset("article content main story post entry body text".split())
 WEAK = frozenset("header masthead tags toc".split())
 
+#: Words that turn a word of noise in the same name around: a page with a sidebar is none.
+AROUND = frozenset("has with without no non free enabled disabled".split())
+#: An element under suspicion stays if it holds so many times the text outside of all such elements, or more than it and a main heading.
+OUTWEIGHS = 5
+
 #: The elements that a beginning element of the key closes.
 CLOSES = {tag: [t for t, ends in CLOSED_BY.items() if tag in ends] for tag in frozenset().union(*CLOSED_BY.values())}
 RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
@@ -75,10 +83,10 @@ _WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("block", "chars", "children", "density", "dropped", "link_chars", "link_tags", "own", "parent", "sum", "tag", "tags", "top")
+    __slots__ = ("block", "chars", "children", "density", "dropped", "kept", "link_chars", "link_tags", "own", "parent", "sum", "suspect", "tag", "tags", "titled", "top")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent, self.dropped, self.suspect = tag, parent, dropped, 0
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.own = self.sum = 0.0
@@ -86,19 +94,68 @@ class Node:
         self.top = self
 
 
-def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def judged(tag: str, attributes: str, inside_article: bool) -> tuple[bool, int]:
+    """Whether an element never holds the article, and whether it is under suspicion: 1, or 2 if its names also have a word of the article."""
     if tag in DROP or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    words: set[str] = set()
+        return True, 0
+    noise: set[str] = set()
+    keep = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORDS.findall(value))
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return bool(words & NOISE) and not (words & KEEP and words & NOISE <= WEAK)
+        if tag not in ("body", "html", "article", "main"):
+            if name in ("class", "id", "role"):
+                for each in value.split():
+                    words = {w.lower() for w in _WORDS.findall(each)}
+                    keep |= bool(words & KEEP)
+                    if not words & AROUND:
+                        noise |= words & NOISE
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                return True, 0
+    if tag == "form" or (noise and not (keep and noise <= WEAK)):
+        return False, 2 if keep else 1
+    return False, 0
+
+
+def length(text: str) -> int:
+    return len(_WHITE.sub(" ", html.unescape(text) if "&" in text else text).strip())
+
+
+def settle(root: Node) -> Node:
+    """Drops the elements under suspicion that the article can do without.
+
+    Each is weighed by its own text, that of suspected elements in it left out, against the text outside of all of them. Those
+    with a main heading come first, then those that also have a word of the article in their names, then the others in page order; what stays counts as outside for
+    the next, and what it holds is weighed in turn.
+    """
+    nodes = in_order(root)
+    for node in reversed(nodes):
+        node.kept, node.titled = 0, node.tag in ("h1", "main")
+        for c in node.children:
+            if isinstance(c, str):
+                node.kept += length(c)
+            elif not c.dropped and not c.suspect:
+                node.kept += c.kept
+                node.titled |= c.titled
+    outside, waiting, number = root.kept, [], count()
+
+    def below(node: Node) -> None:
+        todo = [c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
+        while todo:
+            c = todo.pop()
+            if c.suspect:
+                heapq.heappush(waiting, (not c.titled, -c.suspect, next(number), c))
+            else:
+                todo.extend(x for x in reversed(c.children) if isinstance(x, Node) and not x.dropped)
+
+    below(root)
+    while waiting:
+        node = heapq.heappop(waiting)[-1]
+        if node.kept > outside * OUTWEIGHS or (node.titled and node.kept > outside):
+            outside += node.kept
+            below(node)
+        else:
+            node.dropped = True
+    return root
 
 
 class Stack:
@@ -161,7 +218,9 @@ def parse(page: str) -> Node:
                     break
                 stack.pop_to(closed)
             top = stack.nodes[-1]
-            node = Node(tag, top, top.dropped or is_noise(tag, attributes, stack.last("*article") > 0))
+            dropped, suspect = judged(tag, attributes, stack.last("*article") > 0)
+            node = Node(tag, top, top.dropped or dropped)
+            node.suspect = suspect
             top.children.append(node)
             if tag in RAW:
                 close = RAW_ENDS[tag].search(page, at)
@@ -169,7 +228,7 @@ def parse(page: str) -> Node:
                 at = close.end() if close else end
             elif not attributes.endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "em", "strong", "span"):  # else an empty element of a foreign vocabulary
                 stack.push(node)
-    return root
+    return settle(root)
 
 
 def in_order(root: Node) -> list[Node]:
@@ -188,7 +247,7 @@ def measure(root: Node) -> list[Node]:
     for node in reversed(nodes):
         for c in node.children:
             if isinstance(c, str):
-                node.chars += len(_WHITE.sub(" ", html.unescape(c) if "&" in c else c).strip())
+                node.chars += length(c)
             elif not c.dropped:
                 node.chars += c.chars
                 node.tags += c.tags + 1

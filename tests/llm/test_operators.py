@@ -490,3 +490,60 @@ def test_no_local_checkpoint():
 
     for f in pathlib.Path(lexmill.llm.__file__).parent.glob("*.py"):
         assert not re.search(r"localCheckpoint|except ImportError", f.read_text())
+
+
+STORY = "".join(f"<p>{'The ferry left the harbour in the morning and came back at night with the mail, ' * 3}number {i}.</p>" for i in range(3))
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content-with-sidebar", "site no-comments", "page search-enabled", "main related", "story-body social-embed", "ad-free reading", "related", "share"])
+def test_html_wrappers_with_words_of_noise_keep_their_story(name):
+    want = html_extract.main_text(f"<body><div>{STORY}</div></body>")
+    aside = '<div class="sidebar"><p>Read on here now</p></div>'
+    assert html_extract.main_text(f'<body><div class="{name}">{STORY}{aside}</div><div class="comments"><p>me too</p></div></body>') == want
+    plain = html_extract.main_text(f"<body><article><h1>On ferries</h1><div>{STORY}</div></article></body>")
+    assert html_extract.main_text(f'<body><article><h1>On ferries</h1><div class="{name}">{STORY}{aside}</div></article></body>') == plain
+
+
+def test_html_forms_and_noise():
+    want = html_extract.main_text(f"<body><div>{STORY}</div></body>")
+    assert html_extract.main_text(f'<body><form action="/x">{STORY}<input name="q"><form>Find it <button>go</button></form></form></body>') == want
+    assert html_extract.main_text(f'<body><div>{STORY}</div><form><p>Your mail address</p></form><div class="comments">{STORY * 4}</div></body>') == want
+
+
+def test_html_choice_of_nodes_equals_brute_force():
+    import random
+
+    r = random.Random(11)
+
+    def some(depth):
+        if not depth or r.random() < 0.25:
+            return r.choice(["", "few words", "Rather more words, told at some length in a row. " * r.randint(1, 6), '<a href="/x">link text here</a>'])
+        return "".join(f"<{t}>{some(depth - 1)}</{t}>" for t in r.choices(["div", "section", "p", "ul", "blockquote", "span"], k=r.randint(1, 4)))
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{some(4)}</body>")
+        taken, above, least = html_extract.main_nodes(root)
+
+        def under(n):
+            return [n, *(x for c in n.children if not isinstance(c, str) and not c.dropped and c.block for x in under(c))]
+
+        def best(n):  # the largest sum; of equal ones more text, then an article, then the outer and earlier one
+            return max(enumerate(under(n)), key=lambda x: (x[1].sum, x[1].chars, x[1].tag in ("article", "main"), -x[0]))[1]
+
+        def up(n):
+            return [] if n is None else [n, *up(n.parent)]
+
+        core = best(root)
+        assert least == min(n.density for n in up(core))
+        want = {core}
+
+        def walk(n):
+            if n in want or not n.chars or n.density < least:
+                return
+            want.add(best(n))
+            for c in n.children:
+                if not isinstance(c, str) and c.block and not c.dropped:
+                    walk(c)
+
+        walk(root)
+        assert taken == want and {a for n in want for a in up(n.parent)} <= above | want | {None}
