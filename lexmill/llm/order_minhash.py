@@ -1,6 +1,6 @@
 """Near-duplicate documents by Order MinHash.
 
-A document's k-mers are its runs of five words, each labelled with how often it has occurred before.
+A document's k-mers are its runs of three words, each labelled with how often it has occurred before.
 A sketch takes the two k-mers of least hash and keeps them in text order, so that both content and
 order decide whether two sketches agree. Documents that share a sketch are candidates, and a banded
 word alignment verifies them: linked if edits <= (1 - 0.8) x words of the longer one. Texts of up to
@@ -34,7 +34,7 @@ from .components import components
 from .toxicity import pieces
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a document, least similarity of a link.
-K, ELL, SKETCHES, SIMILARITY = 5, 2, 80, 0.8
+K, ELL, SKETCHES, SIMILARITY = 3, 2, 48, 0.8
 #: Pairs whose longer text has at most so many words meet by segments too.
 SHORT = 50
 #: Members of a bucket that are compared with as many others at a time.
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``copy_of`` is the least id of the documents with the same words, ``class_id`` the least id that
     links reach, ``kept`` whether the id is that one. A null text counts as empty; texts without words
-    are copies of each other only if they are equal, and link with nothing else. Texts of fewer than five words have
+    are copies of each other only if they are equal, and link with nothing else. Texts of fewer than three words have
     one k-mer, the whole text. Very long texts are sketched and aligned whole. Rows that share an id count as one
     document. Rows without id get null classes and are kept. An empty table gives no rows. Further columns don't
     matter. Ids must be whole numbers.

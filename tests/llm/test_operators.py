@@ -547,3 +547,19 @@ def test_html_choice_of_nodes_equals_brute_force():
 
         walk(root)
         assert taken == want and {a for n in want for a in up(n.parent)} <= above | want | {None}
+
+
+@pytest.mark.parametrize("n", [51, 60, 100, 200, 600])
+@pytest.mark.parametrize("step", [5, 6, 7, None])
+def test_edits_spread_evenly_leave_sketches_in_common(n, step):
+    """Texts in which every fifth, sixth or seventh word differs, and any fifth of the words (none), are links and meet."""
+    rng = np.random.default_rng(n)
+    met = 0
+    for _ in range(100):
+        one = rng.integers(2**63, size=n, dtype=np.uint64)
+        other = one.copy()
+        at = np.arange(step - 1, n, step) if step else rng.choice(n, n // 5, replace=False)
+        other[at] = rng.integers(2**63, size=len(at), dtype=np.uint64)
+        assert len(at) <= int(0.2 * n + 1e-9)
+        met += bool(np.intersect1d(order_minhash.sketches(one), order_minhash.sketches(other)).size)
+    assert met >= 90
