@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+from .numbering import positions
+
 
 def document_chunks(passages: DataFrame, most: int) -> DataFrame:
     """``chunk`` of each passage: documents are cut at passage boundaries so that a chunk's serialised passages fit ``most``.
@@ -30,29 +33,77 @@ def document_chunks(passages: DataFrame, most: int) -> DataFrame:
     return passages.join(numbered, ["document_id", "passage_id"])
 
 
-#: Positions that are packed together.
-SEGMENT = 10_000
+#: Chunks of a block; a batch holds far fewer, so what enters and leaves a block is a few places.
+BLOCK = 4096
+
+
+def _starts(documents: list, sizes: list[int], most: int, count: int) -> list[int]:
+    """Where the batch after one that starts at each place would start: two ends that only move on."""
+    out, end, held = [], 0, 0
+    inside: set = set()
+    for at in range(len(sizes)):
+        while end < len(sizes) and (end == at or (held + sizes[end] <= most and end - at < count and documents[end] not in inside)):
+            held += sizes[end]
+            inside.add(documents[end])
+            end += 1
+        out.append(end)
+        held -= sizes[at]
+        inside.discard(documents[at])
+    return out
 
 
-def batches(chunks: DataFrame, most: int, count: int = 50, segment: int = SEGMENT) -> DataFrame:
-    """``segment`` and ``batch`` of each chunk (position, document_id, size): filled in order up to ``most`` and ``count`` chunks, a document once in each.
+def batches(chunks: DataFrame, most: int, count: int = 50, block: int = BLOCK) -> DataFrame:
+    """``batch`` from 1 of each chunk (position, document_id, size): filled in order up to ``most`` and ``count`` chunks, a document once in each.
 
-    The greedy choice depends on all chunks before it, so it is made within segments of positions, each a task of bounded size;
-    a segment begins a new batch, numbered from 1.
+    The greedy choice depends on all chunks before it, but where a batch ends depends only on where it starts and on the next ``count`` chunks. So each block of
+    chunks, with a look at the next few, becomes a map from the place at which a batch starts in it to the place at which one starts in
+    the block after it, and the number of batches between. These maps are composed over ever longer stretches (a round for each doubling),
+    which gives each block its first start and number; then the blocks are filled by themselves. The result is that of the fold over all chunks; no task holds more than a block.
     """
+    block = max(block, count)
+    rows = positions(chunks.select(F.col("position").cast("long").alias("position"), F.col("document_id").cast("string").alias("document_id"), F.col("size").cast("long").alias("size")), ["position", "document_id", "size"], "place")
+    number = F.floor(F.col("place") / block)
+    ahead = F.when((F.col("place") % block < count) & (number > 0), F.array(number, number - 1)).otherwise(F.array(number))
+    dealt = staged(rows.withColumn("block", F.explode(ahead)).withColumn("own", F.floor(F.col("place") / block) == F.col("block")), "chunk-blocks")
+
+    def mapped(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place", kind="stable")
+        own = int(part["own"].sum())
+        after = _starts(part["document_id"].tolist(), part["size"].tolist(), most, count)
+        leave, many = [0] * own, [0] * own
+        for at in range(own - 1, -1, -1):
+            leave[at], many[at] = (after[at] - own, 1) if after[at] >= own else (leave[after[at]], 1 + many[after[at]])
+        return pd.DataFrame({"block": [int(part["block"].iloc[0])], "leave": [leave[:count]], "many": [many[:count]]})
+
+    maps = staged(dealt.groupBy("block").applyInPandas(mapped, "block long, leave array<long>, many array<long>"), "chunk-maps")
+    last, reach = maps.agg(F.max("block")).first()[0], 1
+    while last is not None and reach <= last:
+        before = maps.select((F.col("block") + reach).alias("block"), F.col("leave").alias("enter"), F.col("many").alias("earlier"))
+        both = maps.join(before, "block", "left")
+        maps = staged(
+            both.select(
+                "block",
+                F.when(F.col("enter").isNull(), F.col("leave")).otherwise(F.transform("enter", lambda e: F.get("leave", e.cast("int")))).alias("leave"),
+                F.when(F.col("enter").isNull(), F.col("many")).otherwise(F.transform("enter", lambda e, k: F.get("earlier", k) + F.coalesce(F.get("many", e.cast("int")), F.lit(0)))).alias("many"),
+            ),
+            "chunk-maps",
+        )
+        reach *= 2
+    entries = maps.select((F.col("block") + 1).alias("block"), F.get("leave", F.lit(0)).alias("enter"), F.get("many", F.lit(0)).alias("earlier"))
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part, batch, held, inside, out = part.sort_values("position", kind="stable"), 1, 0, set(), []
-        for document, n in zip(part["document_id"], part["size"], strict=True):
-            if inside and (held + n > most or len(inside) >= count or document in inside):
-                batch, held, inside = batch + 1, 0, set()
-            held += n
-            inside.add(document)
-            out.append(batch)
-        return part.assign(batch=out)
-
-    rows = chunks.select(F.floor(F.col("position") / segment).cast("long").alias("segment"), F.col("position").cast("long").alias("position"), F.col("document_id").cast("string").alias("document_id"), F.col("size").cast("long").alias("size"))
-    return rows.groupBy("segment").applyInPandas(fill, "segment long, position long, document_id string, size long, batch int")
+        part = part.sort_values("place", kind="stable")
+        after = _starts(part["document_id"].tolist(), part["size"].tolist(), most, count)
+        at, batch = (0, 0) if pd.isna(part["enter"].iloc[0]) else (int(part["enter"].iloc[0]), int(part["earlier"].iloc[0]))
+        out = [batch] * min(at, len(part))  # these belong to the last batch of the block before
+        while at < len(part):
+            batch += 1
+            out += [batch] * (after[at] - at)
+            at = after[at]
+        return part.assign(batch=out)[part["own"].to_numpy()][["position", "document_id", "size", "batch"]]
+
+    started = dealt.join(entries, "block", "left")
+    return started.groupBy("block").applyInPandas(fill, "position long, document_id string, size long, batch long")
 
 
 # What a finding may ask for, how sure it may be, and how long its reason may be.

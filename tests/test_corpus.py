@@ -1,7 +1,11 @@
 import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from lexmill import cli
-from lexmill.operators import packing
+from lexmill.operators import numbering, packing
 
 
 def test_build_and_ask(spark, tmp_path, capsys):
@@ -58,7 +62,7 @@ def test_packing(spark):
     assert {(r["document_id"], r["passage_id"]): r["chunk"] for r in out.collect()} == {("d1", "p0"): 1, ("d1", "p1"): 1, ("d1", "p2"): 2, ("d1", "p3"): 2, ("d2", "p0"): 1}
     chunks = spark.createDataFrame([(0, "a", 5), (1, "a", 1), (2, "b", 6), (3, "c", 5), (4, "d", 1)], "position long, document_id string, size long")
     assert [r["batch"] for r in packing.batches(chunks, 8, 2).orderBy("position").collect()] == [1, 2, 2, 3, 3]
-    assert [(r["segment"], r["batch"]) for r in packing.batches(chunks, 8, 2, segment=3).orderBy("position").collect()] == [(0, 1), (0, 2), (0, 2), (1, 1), (1, 1)]
+    assert [r["batch"] for r in packing.batches(chunks, 8, 2, block=3).orderBy("position").collect()] == [1, 2, 2, 3, 3]
 
 
 def test_audit_and_upsert(spark):
@@ -71,3 +75,36 @@ def test_audit_and_upsert(spark):
     stored = spark.createDataFrame([("a", True, 1), ("b", False, 1)], "id string, pinned boolean, v int")
     fresh = spark.createDataFrame([("a", False, 2), ("c", False, 2)], "id string, pinned boolean, v int")
     assert sorted(tuple(r) for r in packing.upsert(stored, fresh).collect()) == [("a", True, 2), ("b", False, 1), ("c", False, 2)]
+
+
+@pytest.mark.parametrize("block", [5, 16, 4096])
+def test_batches_equal_the_fold(spark, block):
+    r = random.Random(block)
+    for count, most, names in ((5, 30, 3), (4, 1000, 50), (5, 12, 1000)):
+        chunks = [(7 * k, f"d{r.randrange(names)}" if r.random() < 0.9 else None, r.randint(1, 14)) for k in range(300)]
+        want, batch, held, inside = [], 1, 0, []
+        for _, document, size in chunks:
+            if inside and (held + size > most or len(inside) >= count or document in inside):
+                batch, held, inside = batch + 1, 0, []
+            held += size
+            inside.append(document)
+            want.append(batch)
+        got = packing.batches(spark.createDataFrame(chunks, "position long, document_id string, size int"), most, count, block)
+        assert [x["batch"] for x in got.orderBy("position").collect()] == want
+    assert packing.batches(spark.createDataFrame([], "position long, document_id string, size int"), 5).count() == 0
+
+
+def test_numbers_in_an_order(spark):
+    """Hashed ids, all but equal groups, nulls: places are those of a sort, and no task reads all rows."""
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), r.randrange(-(2**62), 2**62)) for _ in range(3000)] + [("hot", None), ("hot", 5), ("hot", 5)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(8)
+    key = lambda x: (x[0] is not None, x[0] or "", x[1] is not None, x[1] or 0)
+    placed = numbering.positions(df, ["g", "k"], "place")
+    assert [(x["g"], x["k"]) for x in placed.orderBy("place").collect()] == sorted(rows, key=key)
+    assert sorted(x["place"] for x in placed.collect()) == list(range(len(rows)))
+    ranks = {(x["g"], x["k"]): x["ordinal"] for x in numbering.ordinals(df, "g", "k").collect()}
+    for group in ("hot", "b", None):
+        assert [ranks[x] for x in sorted({x for x in rows if x[0] == group}, key=key)] == list(range(len({x for x in rows if x[0] == group})))
+    spread = df.repartitionByRange(4, "g", "k").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(spread) == 4 and max(x["count"] for x in spread) < 2000
