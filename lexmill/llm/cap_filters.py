@@ -101,6 +101,7 @@ def _compare(rows: list[tuple], filter_: int, left: int, right: int, cosine: flo
     """Links between the blocks ``left`` and ``right`` of a filter: copies linked by row, and a spanning forest."""
     ids = [r[0] for r in rows]
     x = np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     norm = np.sqrt((x * x).sum(axis=1))
     in_left = np.array([r[4] == left for r in rows])
     in_right = np.array([r[4] == right for r in rows])

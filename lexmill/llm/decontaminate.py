@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import best_window
-from .common import CHARS_AT_ONCE, by_slabs, filled, only
+from .common import by_slabs, filled, only
 
 #: Edits allowed for each character of an item.
 ERROR = 0.1
 #: Characters of a q-gram, for items from so many characters on and for shorter ones.
 Q, LONG, Q_SHORT = 8, 40, 4
+#: Characters that are hashed together; a worker holds some fifty bytes for each.
+SCANNED_AT_ONCE = 1_000_000
 #: Benchmark text that one scan of the documents looks for; a larger benchmark takes several scans.
 BLOCK_CHARS = 2_000_000
 #: Longer documents are scanned in overlapping windows.
@@ -176,7 +178,7 @@ def scan(texts: list[str], groups: list[Items]) -> list[tuple[int, object, int,
 
     size = 0
     for w in windows:
-        if held and size + len(w[2]) > CHARS_AT_ONCE:
+        if held and size + len(w[2]) > SCANNED_AT_ONCE:
             run()
             size = 0
         held.append(w)

@@ -563,3 +563,12 @@ def test_edits_spread_evenly_leave_sketches_in_common(n, step):
         assert len(at) <= int(0.2 * n + 1e-9)
         met += bool(np.intersect1d(order_minhash.sketches(one), order_minhash.sketches(other)).size)
     assert met >= 90
+
+
+def test_vectors_of_extreme_length_link(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 24))
+    near = base + 0.05 * rng.standard_normal(base.shape)
+    rows = [(2 * k + j, (v * scale).tolist()) for k, scale in enumerate((1.0, 1e200, 1e-200, 1e300, 1e-300, 1e150)) for j, v in enumerate((base[k], near[k]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i - i % 2) for i, _ in rows}
