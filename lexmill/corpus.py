@@ -33,7 +33,7 @@ class Corpus:
     def build(self, html: dict[str, str] | None = None, markdown: dict[str, str] | None = None, graph: str | None = None) -> DataFrame:
         """Reads folders (category: folder) and stores passages and vocabulary, and a graph's folder if there is one; returns the
         counters by source. The categories keep this order: those of HTML first."""
-        parts = [files.html_paragraphs(files.texts(self.spark, folder, "*.html", "*.htm")).select(F.lit(c).alias("source"), "relative_path", "title", F.lit("").alias("book"), "anchor", "ordinal", "text") for c, folder in (html or {}).items()]
+        parts = [files.html_paragraphs(files.texts(self.spark, folder, "*.html", "*.htm")).select(F.lit(c).alias("source"), "relative_path", "title", "book", "anchor", "ordinal", "text") for c, folder in (html or {}).items()]
         parts += [files.markdown_passages(files.texts(self.spark, folder, "*.md")).select(F.lit(c).alias("source"), "relative_path", "title", F.lit("").alias("book"), "anchor", "ordinal", "text") for c, folder in (markdown or {}).items()]
         if not parts:
             raise QueryError("nothing to read")
@@ -47,9 +47,8 @@ class Corpus:
         first = search.first_wins(normal, ["source", "relative_path", "anchor", "normal"], [F.col("ordinal")]).drop("normal")
         order = [F.col("source"), F.lower("relative_path"), F.col("relative_path"), F.col("ordinal"), F.col("anchor")]
         numbered = numbering.positions(first, order, "__k").withColumn("id", F.col("__k") + 1).drop("__k")
-        placed = search.with_words(postings.placed(numbered))
-        # sorted by id within folders, so that the rows of a result are a few pages of a file
-        placed.repartitionByRange("source", "id").sortWithinPartitions("source", "id").write.partitionBy("source").parquet(f"{build}/passages")
+        # rows come in the order of their ids, folder by folder, so that those of a result are a few pages of a file
+        numbered.write.partitionBy("source").parquet(f"{build}/passages")
         stored = self.spark.read.parquet(f"{build}/passages")
         postings.store(postings.postings(stored), f"{build}/postings")
         terms = self.spark.read.parquet(f"{build}/postings").groupBy("source", "term").agg(F.count(F.lit(1)).alias("document_frequency"), F.sum(postings.occurrences()).alias("term_frequency"))

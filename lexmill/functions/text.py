@@ -68,6 +68,50 @@ def normalize(text: Column) -> Column:
     return F.when(is_ascii, F.lower(text)).otherwise(F.translate(letters_of_hangul(expanded), source, target))
 
 
+@lru_cache(maxsize=1)
+def folding() -> tuple[str, str, dict[str, str], str]:
+    """What folding case does to single characters (as in ``character_map``), and the characters by which a text may be changed by NFKC.
+
+    These are the ones that NFKC changes by themselves, those with a combining class, and those that come second in a composition.
+    """
+    single, several, unsure = [], {}, []
+    second = {int(parts[1], 16) for code in range(0x110000) if (parts := unicodedata.decomposition(chr(code)).split()) and len(parts) == 2 and "<" not in parts[0]}
+    for code in (*range(0xD800), *range(0xE000, 0x110000)):
+        c = chr(code)
+        if code in second or unicodedata.combining(c) or 0x1160 <= code <= 0x11FF or unicodedata.normalize("NFKC", c) != c:
+            unsure.append(code)
+        elif (image := c.casefold()) != c:
+            if len(image) == 1:
+                single.append((c, image))
+            else:
+                several[c] = image
+    runs: list[list[int]] = []
+    for code in unsure:
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    classes = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several, f"[{classes}]"
+
+
+def compatible(text: Column) -> Column:
+    """Text in NFKC with its case folded. Texts that NFKC can't change stay on built-in functions; the others go to Python in batches."""
+    source, target, several, unsure = folding()
+    is_ascii = F.octet_length(text) == F.length(text)
+    asks = ~is_ascii & text.rlike(unsure)
+
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+    chained = text
+    for c, image in several.items():
+        chained = F.replace(chained, F.lit(c), F.lit(image))
+    expanded = F.when(text.rlike("[" + "".join(several) + "]"), chained).otherwise(text)
+    plainly = F.when(is_ascii, F.lower(text)).otherwise(F.translate(expanded, source, target))
+    return F.coalesce(F.pandas_udf(fold, "string")(F.when(asks, text)), plainly)
+
+
 def tokens(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(WORD), F.lit(0))
 
@@ -106,10 +150,39 @@ def html_to_text(page: Column) -> Column:
     return collapse(unescape(bare))
 
 
-def html_title(page: Column, pattern: str = "(?is)<title[^>]*>(.*?)</title>") -> Column:
-    """The page's title, else its first heading; null if neither has text."""
-    parts = [collapse(F.regexp_replace(F.regexp_extract(page, p, 1), "(?s)<[^>]*>", "")) for p in (pattern, "(?is)<h1[^>]*>(.*?)</h1>")]
-    return unescape(F.coalesce(*(F.nullif(p, F.lit("")) for p in parts)))
+# Where a page's title may stand, in order; what a number in front of it looks like; what announces its book and what ends the place where that stands.
+TITLES = (
+    r"(?is)<!--\s*block\s+a=title\s+type=title\s*-->(.*?)<!--\s*/block\s*-->",
+    r"(?is)<div[^>]*class\s*=\s*[\"'][^\"']*\bdiscourse_title\b[^\"']*[\"'][^>]*>(.*?)</div>",
+    r"(?is)<title[^>]*>(.*?)</title>",
+    r"(?is)<(?:p|div|h1)[^>]*class\s*=\s*(?:[\"'][^\"']*\btitle\b[^\"']*[\"']|[^\s>]*\btitle\b[^\s>]*)[^>]*>(.*?)</(?:p|div|h1)>",
+)
+TITLE_NUMBER = r"^EE7[.\d]*\s*(?:-|–|&ndash;|&#8211;)\s*"
+BOOK_MARK, BOOK_END, LINK = r"Published\s+in\s*:?", r"<!-- /References -->|(?i:</div>)|(?i:</body>)", r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+REFERENCES = r"(?is)<div[^>]*class\s*=\s*[\"'][^\"']*discourse_references[^\"']*[\"'][^>]*>(.*?)</div\s*>"
+
+
+def _bare(fragment: Column) -> Column:
+    """Markup as text, but for character references other than blanks."""
+    spaced_ = F.regexp_replace(F.regexp_replace(fragment, f"(?i)</?(?:{BLOCK_TAGS})\\b[^>]*>|&nbsp;|&#160;", " "), "(?s)<[^>]*>", "")
+    return collapse(spaced_)
+
+
+def html_title(page: Column) -> Column:
+    """The page's title: a title block, a title division, the title element or an element of class title, without a number in front; else its first heading; null if none has text."""
+    parts = [F.regexp_replace(_bare(F.regexp_extract(page, p, 1)), TITLE_NUMBER, "") for p in (*TITLES, "(?is)<h1[^>]*>(.*?)</h1>")]
+    return collapse(unescape(F.coalesce(*(F.nullif(p, F.lit("")) for p in parts))))
+
+
+def html_book(page: Column) -> Column:
+    """The book of a page: the first link with text after a publication mark, up to the end of where these stand; else the first link of a division of references that has such a mark; null if none.
+
+    What follows a mark reaches to the next one here: a link beyond that is the next mark's own.
+    """
+    texts = lambda parts: F.filter(F.transform(parts, lambda p: _bare(F.regexp_extract(p, LINK, 1))), lambda t: t != "")
+    after = F.transform(F.slice(F.split(page, BOOK_MARK, -1), 2, 2**31 - 2), lambda p: F.get(F.split(p, BOOK_END, 2), F.lit(0)))
+    listed = F.filter(F.regexp_extract_all(page, F.lit(REFERENCES), F.lit(1)), lambda p: p.rlike(BOOK_MARK))
+    return collapse(unescape(F.coalesce(F.get(texts(after), F.lit(0)), F.get(texts(listed), F.lit(0)))))
 
 
 def markdown_to_text(block: Column) -> Column:

@@ -20,8 +20,8 @@ MOST_PER_DOCUMENT, MOST_CLAIMS = 15, 5
 
 
 def evidence(text: Column) -> Column:
-    """The form in which quotes are compared: lower case, straight quotes, single blanks."""
-    return T.collapse(F.lower(F.translate(text, "\u2018\u2019\u201a\u201c\u201d\u201e\u00a0", "'''\"\"\" ")))
+    """The form in which quotes are compared: NFKC, case folded, straight quotes, single blanks."""
+    return T.collapse(F.translate(T.compatible(text), "\u2018\u2019\u201c\u201d", "''\"\""))
 
 
 def claim_id(document: Column, passage: Column, quote: Column) -> Column:

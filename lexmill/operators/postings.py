@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.query import Scope, SearchPlan, parse, scope, within
+from ..sources.shared import staged
 from . import search as ranked
-from .numbering import positions
 
 #: Folders of a stored index; a term is in one of them.
 BUCKETS = 64
 #: Passages of the rarest term up to which their ids are sent to all tasks that read the other terms' lists.
 FEW = 1_000_000
 PLACES = tuple(f"{f}_at" for f in ranked.FIELDS)
-SCHEMA = "term string, id long, source string, place long, " + ", ".join(f"{p} array<int>" for p in PLACES)
+SCHEMA = "term string, id long, source string, " + ", ".join(f"{p} array<int>" for p in PLACES)
 
 
 def bucket(term: Column) -> Column:
@@ -28,32 +28,27 @@ def bucket(term: Column) -> Column:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Terms of passages with their places in each field, from fields of spaced words."""
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.list_(pa.int32())] * len(PLACES)]
-    schema = pa.schema(list(zip(("term", "id", "source", "place", *PLACES), kinds, strict=True)))
+    kinds = [pa.string(), pa.int64(), pa.string(), *[pa.list_(pa.int32())] * len(PLACES)]
+    schema = pa.schema(list(zip(("term", "id", "source", *PLACES), kinds, strict=True)))
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            for id_, source, place, *fields in zip(*(batch.column(c).to_pylist() for c in ("id", "source", "place", *ranked.FIELDS)), strict=True):
+            for id_, source, *fields in zip(*(batch.column(c).to_pylist() for c in ("id", "source", *ranked.FIELDS)), strict=True):
                 terms: dict[str, tuple[list, ...]] = {}
                 for k, words in enumerate(fields):
-                    for at, word in enumerate(words.split(" ")[1:-1] if words.strip() else ()):
+                    for at, word in enumerate(words.split()):
                         terms.setdefault(word, tuple([] for _ in fields))[k].append(at)
                 for term, at in terms.items():
-                    yield term, id_, source, place, *at
+                    yield term, id_, source, *at
 
     todo = rows()
     while held := list(islice(todo, 8192)):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(kinds)], schema=schema)
 
 
-def placed(passages: DataFrame) -> DataFrame:
-    """Passages with the ``place`` that decides between equal scores: by path, anchor and id."""
-    return positions(passages, [F.lower("relative_path"), T.natural_key(F.col("anchor")), F.col("id")], "place")
-
-
 def postings(passages: DataFrame) -> DataFrame:
-    """One row per term and passage: places of the term in title, book and text. ``passages`` have a ``place``."""
-    words = ranked.with_words(passages).select("id", "source", "place", *(F.col(f"{f}_words").alias(f) for f in ranked.FIELDS))
+    """One row per term and passage: places of the term in title, book and text."""
+    words = ranked.with_words(passages).select("id", "source", *(F.col(f"{f}_words").alias(f) for f in ranked.FIELDS))
     return words.mapInArrow(_listed, SCHEMA)
 
 
@@ -87,14 +82,14 @@ def _phrase(run: tuple[str, ...], field: str, names: dict[str, str]) -> Column:
 
 
 def hits(index: DataFrame, frequencies: DataFrame, plan: SearchPlan, where: Scope = "all") -> DataFrame:
-    """``id``, ``place``, ``score`` and ``match_count`` of the passages that have all terms and phrases.
+    """``id``, ``score`` and ``match_count`` of the passages that have all terms and phrases.
 
     Lists are joined from the rarest on (``frequencies``: ``term``, ``document_frequency``); where the rarest is known to
     be short, its ids go to the tasks that read the others, and only what they have in common is joined.
     """
     spark = index.sparkSession
     known = {r["term"]: r["n"] for r in frequencies.where(F.col("term").isin(*plan.words)).groupBy("term").agg(F.sum("document_frequency").alias("n")).collect()}  # a row a word
-    empty = spark.range(0).select("id", F.col("id").alias("place"), F.col("id").alias("score"), F.col("id").alias("match_count"))
+    empty = spark.range(0).select("id", F.col("id").alias("score"), F.col("id").alias("match_count"))
     if len(known) < len(plan.words):
         return empty
     found = scope(where)
@@ -103,7 +98,7 @@ def hits(index: DataFrame, frequencies: DataFrame, plan: SearchPlan, where: Scop
     for word, name in names.items():
         rows = of_term(index, word)
         lists[name] = rows if found is None else rows.where(F.col("source").isin(*found))
-    met = lists["t0"].select("id", "place", *(F.col(p).alias(f"t0_{p}") for p in PLACES))
+    met = lists["t0"].select("id", *(F.col(p).alias(f"t0_{p}") for p in PLACES))
     few = known[next(iter(names))] <= FEW
     for name, rows in list(lists.items())[1:]:
         if few:
@@ -115,20 +110,26 @@ def hits(index: DataFrame, frequencies: DataFrame, plan: SearchPlan, where: Scop
     for run in runs:
         met = met.where(run > 0)
     points = ranked.total(count(w, f) * (ranked.WEIGHTS[f] + 1) for w in plan.words for f in ranked.FIELDS)
-    return met.select("id", "place", (ranked.total(runs) * ranked.PHRASE_WEIGHT + points).cast("long").alias("score"), total.cast("long").alias("match_count"))
+    return met.select("id", (ranked.total(runs) * ranked.PHRASE_WEIGHT + points).cast("long").alias("score"), total.cast("long").alias("match_count"))
 
 
 def search(index: DataFrame, frequencies: DataFrame, passages: DataFrame, query: str, where: Scope = "default", limit: int = 10, context: int | None = 220, book: str | None = None, title: str | None = None) -> DataFrame:
     """What ``operators.search.search`` gives, from the index: texts are read for the rows of the result alone, found by their ids.
 
-    Only a filter on book or title also reads these two columns of the passages.
+    Of the passages only paths and anchors are read besides, which decide between equal scores, and book and title if there is a filter on them.
     """
     within(limit=limit, context=context or 0)
     plan = parse(query)
     found = hits(index, frequencies, plan, where)
     if book or title:
         found = found.join(ranked.in_scope(passages.select("id", "source", "book", "title"), where, book, title).select("id"), "id", "left_semi")
-    best = found.orderBy(F.desc("score"), "place").limit(limit).collect()  # at most ``limit`` rows of numbers
+    found = staged(found, "hits")
+    least = found.orderBy(F.desc("score")).limit(limit).agg(F.min("score")).first()[0]  # one number
+    tied = found.where(F.col("score") >= (0 if least is None else least))
+    if found.count() <= FEW:
+        tied = F.broadcast(tied)
+    named = passages.select("id", "relative_path", "anchor").join(tied, "id")
+    best = named.orderBy(*ranked.ordering(F.desc("score"))).limit(limit).select("id", "score", "match_count").collect()  # at most ``limit`` rows of numbers
     ids = [r["id"] for r in best] or [None]
     told = index.sparkSession.createDataFrame([(k, r["id"], r["score"], r["match_count"]) for k, r in enumerate(best, 1)], "rank int, id long, score long, match_count long")
     rows = passages.where(F.col("id").isin(*ids)).join(F.broadcast(told), "id")

@@ -370,8 +370,9 @@ def quoted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- claims --------------------------------------------------------------------------------
 
-CURLY, STRAIGHT = "\u2018\u2019\u201a\u201c\u201d\u201e\u00a0", "'''\"\"\" "
-NORMAL_QUOTE = rf"trim(regexp_replace(lower(translate(text, {sql_text(CURLY)}, {sql_text(STRAIGHT)})), '\s+', ' ', 'g'))"
+CURLY, STRAIGHT = "\u2018\u2019\u201c\u201d\u00a0", "''\"\" "
+#: DuckDB composes, but has no NFKC; of what that adds these texts hold none but no-break spaces.
+NORMAL_QUOTE = rf"trim(regexp_replace(replace(lower(translate(nfc_normalize(text), {sql_text(CURLY)}, {sql_text(STRAIGHT)})), 'ß', 'ss'), '\s+', ' ', 'g'))"
 QUOTES_SQL = f"""WITH d AS (SELECT doc_id, ' ' || {NORMAL_QUOTE} AS body FROM documents), q AS (SELECT item_id, ' ' || {NORMAL_QUOTE} AS quote FROM benchmark)
 SELECT doc_id, item_id FROM d JOIN q ON contains(body, quote)"""
 
@@ -445,4 +446,4 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").cast("long").alias("sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
 
 
-from . import queries_glossary, queries_more  # noqa: E402, F401  (they register their queries here)
+from . import queries_glossary, queries_more, queries_responses  # noqa: E402, F401  (they register their queries here)

@@ -34,14 +34,12 @@ def texts(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
 
 
 def html_paragraphs(pages: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """One row for each ``<p>`` (or list item) of a page with ``least`` characters: anchor, ordinal, text. The ordinal counts kept ones."""
+    """One row for each ``<p>`` (or list item) of a page with ``least`` characters: title, book, anchor, ordinal, text. The ordinal counts kept ones."""
     found = F.regexp_extract_all("text", F.lit(r"(?is)<(?:p|li|blockquote)\b[^>]*>(.*?)(?=</?(?:p|li|blockquote|div|article|section|body)\b)"), F.lit(1))
-    each = pages.select("path", "relative_path", T.html_title(F.col("text")).alias("title"), F.posexplode(found).alias("k", "raw"))
+    each = pages.select("path", "relative_path", T.html_title(F.col("text")).alias("title"), T.html_book(F.col("text")).alias("book"), F.posexplode(found).alias("k", "raw"))
     kept = each.withColumn("text", T.html_to_text(F.col("raw"))).where(F.length("text") >= least)
-
-
     ordinal = F.row_number().over(Window.partitionBy("path").orderBy("k")) - 1
-    return kept.select("path", "relative_path", "title", F.concat(F.lit("p"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")).alias("anchor"), ordinal.alias("ordinal"), "text")
+    return kept.select("path", "relative_path", "title", F.coalesce("book", F.lit("")).alias("book"), F.concat(F.lit("p"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")).alias("anchor"), ordinal.alias("ordinal"), "text")
 
 
 def markdown_passages(docs: DataFrame) -> DataFrame:
