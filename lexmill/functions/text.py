@@ -231,37 +231,43 @@ def strip_code_fence(text: Column) -> Column:
 NON_TEXT = ("non-text", "non text", "illustration", "no readable text", "no text transcribed", "image or illustration")
 
 
-def page_quality(text: Column) -> dict[str, Column]:
-    """Counts and warnings of a transcribed page."""
+def page_counts(text: Column) -> dict[str, Column]:
+    """What is counted of a transcribed page; worth computing once (see ``page_quality``)."""
     lines = F.filter(F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")), lambda x: x != "")
     # one pass over the sorted lines: the second of equal lines counts for two, each further one for itself
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("total"), F.lit(0).alias("lines"))
 
     def step(acc: Column, x: Column) -> Column:
-        same = x == acc["last"]
+        counts = F.length(x) >= 8
+        same = counts & (x == acc["last"])
         grown = acc["total"] + F.when(same, F.when(acc["run"] == 1, 2).otherwise(1)).otherwise(0)
-        return F.struct(x.alias("last"), F.when(same, acc["run"] + 1).otherwise(1).alias("run"), grown.alias("total"))
-
-    repeated = F.aggregate(F.array_sort(F.filter(lines, lambda x: F.length(x) >= 8)), start, step, lambda acc: acc["total"])
-    count = F.size(lines)
-    ratio = F.when(count > 0, repeated / count).otherwise(F.lit(0.0))
-    words = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_'-])(?=['-]*[\p{L}\p{N}_])[\p{L}\p{N}_'-]+"))
-    replaced = F.regexp_count(text, F.lit("�"))
-    control = F.regexp_count(text, F.lit(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]"))
+        return F.struct(F.when(counts, x).otherwise(acc["last"]).alias("last"), F.when(same, acc["run"] + 1).when(counts, 1).otherwise(acc["run"]).alias("run"), grown.alias("total"), (acc["lines"] + 1).alias("lines"))
+
     note = F.lit(False)
     for mark in NON_TEXT:
         note = note | F.contains(F.lower(text), F.lit(mark))
+    return {
+        "of_lines": F.aggregate(F.array_sort(lines), start, step, lambda acc: F.struct(acc["total"].alias("repeated"), acc["lines"].alias("count"))),
+        "characters": F.length(text), "words": F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_'-])(?=['-]*[\p{L}\p{N}_])[\p{L}\p{N}_'-]+")),
+        "replaced": F.regexp_count(text, F.lit("�")), "control": F.regexp_count(text, F.lit(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")), "note": note,
+    }
+
+
+def page_quality() -> dict[str, Column]:
+    """Counts and warnings of a page from the columns of ``page_counts``."""
+    count, words, replaced, control = F.col("of_lines.count"), F.col("words"), F.col("replaced"), F.col("control")
+    ratio = F.when(count > 0, F.col("of_lines.repeated") / count).otherwise(F.lit(0.0))
     warnings = F.array_compact(
         F.array(
             F.when(replaced > 0, "replacement_characters"),
             F.when(control > 0, "control_characters"),
-            F.when(F.length(text) > 60_000, "unusually_long_page_output"),
+            F.when(F.col("characters") > 60_000, "unusually_long_page_output"),
             F.when((ratio >= 0.6) & (count >= 4), "repeated_lines"),
-            F.when((words < 3) & ~note, "very_short_output"),
+            F.when((words < 3) & ~F.col("note"), "very_short_output"),
         )
     )
     return {
-        "status": F.when(F.size(warnings) > 0, "warning").otherwise("ok"), "warnings": warnings, "character_count": F.length(text), "word_count": words,
+        "status": F.when(F.size(warnings) > 0, "warning").otherwise("ok"), "warnings": warnings, "character_count": F.col("characters"), "word_count": words,
         "line_count": count, "replacement_character_count": replaced, "control_character_count": control, "repeated_line_ratio": F.bround(ratio, 4),
     }
 

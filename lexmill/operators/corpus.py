@@ -13,8 +13,13 @@ from .alike import alike
 
 
 def assess_pages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The quality counts and warnings of every page; null texts count as empty."""
-    return docs.select(id_col, *(v.alias(k) for k, v in T.page_quality(F.coalesce("text", F.lit(""))).items()))
+    """The quality counts and warnings of every page; null texts count as empty.
+
+    Counts come out of a generator of one row, so that ratio, warnings and status read them instead of counting again.
+    """
+    counts = F.struct(*(v.alias(k) for k, v in T.page_counts(F.coalesce("text", F.lit(""))).items()))
+    counted = docs.select(F.col(id_col).alias("__id"), F.inline(F.array(counts)))
+    return counted.select(F.col("__id").alias(id_col), *(v.alias(k) for k, v in T.page_quality().items()))
 
 
 def ingest_counters(passages: DataFrame) -> DataFrame:

@@ -203,8 +203,9 @@ BASES_SQL = f"MAP {{{', '.join(f"'{a}': '{b}'" for a, b in glossary.IRREGULAR.it
 ORACLE["glossary_terms"] = rf"""WITH base AS MATERIALIZED (SELECT term AS word FROM ({VOCABULARY_SQL}) GROUP BY term HAVING sum(document_frequency) * 50 >= (SELECT count(*) FROM documents)),
 s AS (SELECT doc_id, unnest(regexp_extract_all(text, {sql_text(glossary.TERM)})) AS surface FROM documents),
 c AS (SELECT doc_id, surface, count(*) AS n FROM s GROUP BY ALL),
-t AS (SELECT doc_id, surface, n, {sql_normal('surface')} AS term FROM c WHERE regexp_matches(surface, '\p{{L}}')),
-g AS MATERIALIZED (SELECT term, sum(n)::BIGINT AS frequency, count(DISTINCT doc_id)::BIGINT AS documents, count(DISTINCT surface)::INTEGER AS surfaces FROM t WHERE length(term) >= 3 GROUP BY term),
+u AS MATERIALIZED (SELECT surface, {sql_normal('surface')} AS term FROM (SELECT DISTINCT surface FROM c) WHERE regexp_matches(surface, '\p{{L}}')),
+d AS (SELECT term, doc_id, sum(n) AS n FROM c JOIN u USING (surface) WHERE length(term) >= 3 GROUP BY ALL),
+g AS MATERIALIZED (SELECT term, frequency, documents, surfaces FROM (SELECT term, sum(n)::BIGINT AS frequency, count(*)::BIGINT AS documents FROM d GROUP BY term) JOIN (SELECT term, count(*)::INTEGER AS surfaces FROM u GROUP BY term) USING (term)),
 f AS (SELECT term, unnest(list_filter([term, b[term], {sql_forms(glossary.SUFFIXES, 'term')}], lambda x: x IS NOT NULL)) AS form FROM g, (SELECT {BASES_SQL} AS b)),
 e AS MATERIALIZED (SELECT DISTINCT term FROM f SEMI JOIN base ON form = word)
 SELECT term, frequency, documents, surfaces, ({glossary.WEIGHTS['not_in_english_baseline']} + least(documents, 5) + 1)::BIGINT AS priority FROM g ANTI JOIN e USING (term)"""
