@@ -169,7 +169,7 @@ def as_plain(rows):
 LISTED = set("the a of is and to in word means self human dog story called known as mind his it was great read common creation".split())
 SCORE = {"common": 5.0, "rare": 1.7, "reverberate": 3.0, "reverberated": 1.2, "nation": 4.0, "spoken": 2.6, "walk": 6.1}
 PASSAGES = [
-    ("a.html", 0, 'The word "Ātma" means the self. In ānanda-mārga practice, dharma is called the way of human creation; "known word" is common.', None),
+    ("a.html", 0, 'The word "Ātma" means the self. In jñāna-mārga practice, dharma is called the way of human creation; "known word" is common.', None),
     ("a.html", 1, "Sādhanā / sādhana sadhana, the dog's story and the guru's story. His great mind: samskāra vikāra is known as the rare common mind.", "His great <i>mind</i> and <em class='x'>samskāra <b>vikāra</b></em> or <i></i>"),
     ("b.html", 0, "He said 'read the story' and ‘brahma cakra’, reverberated walks. ATMA Atma ātma; \"a long quoted word of the story and dharma cakra in the mind of the dog and human\"", "<i>the common walk</i> &amp; <i>common dog</i>"),
     ("c.html", 0, None, None),
