@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import staged
 from .graph import ATTRIBUTIONS, CLAIM_TYPES, MODALITIES, MOST_PER_DOCUMENT, claim_id, evidence
 from .numbering import positions
 
@@ -105,6 +106,8 @@ def judge(found: DataFrame, passages: DataFrame, per_document: int = MOST_PER_DO
     fit = F.col("early").isNull() & F.col("own").isNull()
     again = F.row_number().over(Window.partitionBy(fit, "document_id", "passage_id", "evidence").orderBy("position")) > 1
     rows = rows.withColumn("own", F.coalesce("own", F.when(fit & again, "repeated evidence")))
+    # limits read the rows twice more: written once, the texts are compared once
+    rows = staged(rows.withColumn("item", F.to_json("item")), "own").withColumn("item", F.parse_json("item"))
     sound = rows.where("early IS NULL AND own IS NULL").select("document_id", "position")
     nth = sound.withColumn("k", F.row_number().over(Window.partitionBy("document_id").orderBy("position"))).where(F.col("k") <= per_document)
     last = nth.groupBy("document_id").agg(F.max(F.when(F.col("k") == per_document, F.col("position"))).alias("last")).where("last IS NOT NULL")
