@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .alike import alike
+from .alike import alike, in_slices
 
 
 def assess_pages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -59,17 +59,20 @@ def pack(parts: Column, most: int, gap: int) -> Column:
 def chunk_sentences(docs: DataFrame, most: int = 2400, id_col: str = "doc_id") -> DataFrame:
     """Chunks of whole sentences of ``most`` characters at most, numbered from 1; an overlong sentence is packed by words."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, parts in zip(batch["id"], batch["parts"], strict=True):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            at, texts = [], []
+            for i, parts in enumerate(batch.column("parts").to_pylist()):
                 chunks = greedy([p for s in parts for p in (greedy(s.split(), most) if len(s) > most else [s])], most)
-                rows += [(i, k, c, len(c)) for k, c in enumerate(chunks, 1)]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "text", "n_chars"])
+                at.append((i, len(chunks)))
+                texts += chunks
+            ids = batch.column("id").take(pa.array([i for i, n in at for _ in range(n)], pa.int64()))
+            numbers = pa.array([k for _, n in at for k in range(1, n + 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, numbers, pa.array(texts, pa.string()), pa.array([len(c) for c in texts], pa.int64())], names=["id", "chunk", "text", "n_chars"])
 
     parts = docs.select(F.col(id_col).alias("id"), sentences(T.collapse(F.coalesce("text", F.lit("")))).alias("parts"))
     kind = parts.schema["id"].dataType.simpleString()
-    return parts.mapInPandas(cut, f"id {kind}, chunk long, text string, n_chars long").withColumnRenamed("id", id_col)
+    return parts.mapInArrow(cut, f"id {kind}, chunk long, text string, n_chars long").withColumnRenamed("id", id_col)
 
 
 def greedy(parts: list[str], most: int) -> list[str]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import staged
+from .alike import in_slices
 from .glossary import DEFINES, TERM, WEIGHTS, derived_forms, excerpt, has_marks, lookup_forms
 
 #: Reasons in alphabetical order; their places are the bits of a mask.
@@ -127,7 +128,7 @@ class Word(NamedTuple):
     key: str
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def key_of(surface: str) -> str:
     """``term_key`` for strings."""
     straight = html.unescape(surface).replace("’", "'").replace("‘", "'")
@@ -243,7 +244,7 @@ OBSERVED = "document string, ordinal int, at int, kind string, term string, surf
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[tuple]]]:
     """Document, ordinal and events of each passage: at, kind, term, surface, reasons, counts, whole."""
-    for batch in batches:
+    for batch in in_slices(batches):
         for document, ordinal, text, marks, unknown, special in zip(*(batch.column(c).to_pylist() for c in GIVEN), strict=True):
             passage = Passage(text or "", set(unknown or ()), set(special or ()))
             told = []
@@ -253,7 +254,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, lis
             yield document, ordinal, told
 
 
-def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 8192) -> Iterator[pa.RecordBatch]:
+def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 2048) -> Iterator[pa.RecordBatch]:
     while held := list(islice(rows, most)):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(schema.types)], schema=schema)
 
