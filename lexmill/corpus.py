@@ -12,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from .functions import text as T
 from .operators import glossary, graph, numbering, postings, search
 from .plans.query import QueryError, Scope, scope
-from .sources import files
+from .sources import files, shared
 
 GRAPH_TABLES = ("claims", "connections", "themes")
 
@@ -37,21 +37,21 @@ class Corpus:
         parts += [files.markdown_passages(files.texts(self.spark, folder, "*.md")).select(F.lit(c).alias("source"), "relative_path", "title", F.lit("").alias("book"), "anchor", "ordinal", "text") for c, folder in (markdown or {}).items()]
         if not parts:
             raise QueryError("nothing to read")
-        return self.store(reduce(DataFrame.unionByName, parts), tuple(dict.fromkeys([*(html or {}), *(markdown or {})])), graph and files.graph_artifact(self.spark, graph))
+        return self.store(shared.staged(reduce(DataFrame.unionByName, parts), "parsed"), tuple(dict.fromkeys([*(html or {}), *(markdown or {})])), graph and files.graph_artifact(self.spark, graph))
 
     def store(self, passages: DataFrame, categories: tuple[str, ...] | None = None, graph_tables: tuple[DataFrame, ...] | None = None) -> DataFrame:
         """Stores passages (without ids), an inverted index of them and their vocabulary. Of equal texts under one anchor the first wins,
         told by their digests; ids follow source, path and ordinal without gaps."""
         build = f"{self.root}/{uuid.uuid4().hex}"
-        normal = passages.withColumn("normal", F.sha2(T.normalize(F.col("text")), 256))
-        first = search.first_wins(normal, ["source", "relative_path", "anchor", "normal"], [F.col("ordinal")]).drop("normal")
+        first = search.first_of_equal(passages)
         order = [F.col("source"), F.lower("relative_path"), F.col("relative_path"), F.col("ordinal"), F.col("anchor")]
-        numbered = numbering.positions(first, order, "__k").withColumn("id", F.col("__k") + 1).drop("__k")
+        numbered = numbering.positions(first, order, "__k", f"{build}/dealt").withColumn("id", F.col("__k") + 1).drop("__k")
         # rows come in the order of their ids, folder by folder, so that those of a result are a few pages of a file
         numbered.write.partitionBy("source").parquet(f"{build}/passages")
+        shared.discard(self.spark, f"{build}/dealt")
         stored = self.spark.read.parquet(f"{build}/passages")
         postings.store(postings.postings(stored), f"{build}/postings")
-        terms = self.spark.read.parquet(f"{build}/postings").groupBy("source", "term").agg(F.count(F.lit(1)).alias("document_frequency"), F.sum(postings.occurrences()).alias("term_frequency"))
+        terms = self.spark.read.parquet(f"{build}/postings").groupBy("source", "term").agg(*(F.sum(c).alias(c) for c in ("document_frequency", "term_frequency")))
         terms.repartitionByRange("source", "term").sortWithinPartitions("source", "term").write.partitionBy("source").parquet(f"{build}/terms")
         names = categories or tuple(sorted(r["source"] for r in passages.select("source").distinct().collect()))  # a handful
         self.spark.createDataFrame(list(enumerate(names)), "position int, source string").coalesce(1).write.parquet(f"{build}/categories")

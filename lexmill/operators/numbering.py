@@ -9,14 +9,14 @@ from ..sources.shared import staged
 from .alike import alike
 
 
-def positions(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+def positions(rows: DataFrame, order: list[Column | str], name: str, path: str | None = None) -> DataFrame:
     """``rows`` with their 0-based place in ``order``, which must tell rows apart for the numbers to be the same each time.
 
     Rows are dealt to tasks by ranges of the order and counted there; a task's numbers begin after what the tasks before it hold, which takes one
-    row of each task. Equal keys and sparse or hashed ones spread like any other.
+    row of each task. Equal keys and sparse or hashed ones spread like any other. The dealt rows are stored meanwhile, at ``path`` if a caller names one.
     """
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    dealt = staged(dealt, "positions").withColumn("__task", F.shiftright("__m", 33))
+    dealt = staged(dealt, "positions", path).withColumn("__task", F.shiftright("__m", 33))
     before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     starts = dealt.groupBy("__task").count().select("__task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
     within = F.col("__m") - F.shiftleft("__task", 33)
