@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,12 +34,15 @@ def texts(spark: SparkSession, root: str, *patterns: str) -> DataFrame:
 
 
 def html_paragraphs(pages: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """One row for each ``<p>`` (or list item) of a page with ``least`` characters: title, book, anchor, ordinal, text. The ordinal counts kept ones."""
+    """One row for each ``<p>`` (or list item) of a page with ``least`` characters: title, book, anchor, ordinal, text. The ordinal counts kept ones.
+
+    A page's title, book and paragraphs are made in its own row, once; no more than these go into the rows of its paragraphs, and nothing is shuffled.
+    """
     found = F.regexp_extract_all("text", F.lit(r"(?is)<(?:p|li|blockquote)\b[^>]*>(.*?)(?=</?(?:p|li|blockquote|div|article|section|body)\b)"), F.lit(1))
-    each = pages.select("path", "relative_path", T.html_title(F.col("text")).alias("title"), T.html_book(F.col("text")).alias("book"), F.posexplode(found).alias("k", "raw"))
-    kept = each.withColumn("text", T.html_to_text(F.col("raw"))).where(F.length("text") >= least)
-    ordinal = F.row_number().over(Window.partitionBy("path").orderBy("k")) - 1
-    return kept.select("path", "relative_path", "title", F.coalesce("book", F.lit("")).alias("book"), F.concat(F.lit("p"), F.lpad((F.col("k") + 1).cast("string"), 4, "0")).alias("anchor"), ordinal.alias("ordinal"), "text")
+    each = pages.select("path", "relative_path", T.html_title(F.col("text")).alias("title"), F.coalesce(T.html_book(F.col("text")), F.lit("")).alias("book"), F.transform(found, T.html_bare).alias("parts"))
+    parts = F.transform(T.unescape_each(F.col("parts")), lambda part, k: F.struct(k.alias("k"), T.collapse(part).alias("text")))
+    kept = each.select("path", "relative_path", "title", "book", F.posexplode(F.filter(parts, lambda x: F.length(x["text"]) >= least)).alias("ordinal", "part"))
+    return kept.select("path", "relative_path", "title", "book", F.concat(F.lit("p"), F.lpad((F.col("part.k") + 1).cast("string"), 4, "0")).alias("anchor"), "ordinal", F.col("part.text").alias("text"))
 
 
 def markdown_passages(docs: DataFrame) -> DataFrame:
